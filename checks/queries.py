@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeimpact.operators import checkpoints as ck
 from lakeimpact.operators import columns, graph, impact, medallion, overlay, pyrefs, sqlrefs
 from lakeimpact.plans import audit as auditing
-from lakeimpact.session import apply_settings
+from lakeimpact.session import Scratch, apply_settings
 from lakeimpact.sources import landing, records
 
 from . import fixtures as fx
@@ -147,8 +147,10 @@ def tables_written(spark, sf):
 
 
 def consumers(spark, sf):
-    owned = fx.owned_edges(spark, sf)
-    written = impact.tables_written(owned, records.changed_entities(fx.diffs(spark, sf)))
+    scratch = Scratch(spark, "consumers")
+    owned = scratch.cut(fx.owned_edges(spark, sf), "edges")
+    changed = records.changed_entities(fx.diffs(spark, sf))
+    written = scratch.cut(impact.tables_written(owned, changed), "written")
     radius = graph.blast_radius(written.select("table_name").distinct(), *graph.links(owned))
     return impact.consumers(owned, impact.affected_tables(written, radius))
 
