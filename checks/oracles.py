@@ -154,17 +154,17 @@ owned AS (
   FROM reference r LEFT JOIN symbols s ON r.file_path = s.file_path AND line BETWEEN start_line AND end_line
   GROUP BY k, r.file_path, line)"""
 OWNED_EDGES = f"""{SYMBOLS},
-edges AS (
+edges AS MATERIALIZED (
   SELECT *, (k + line * 7) // 3 AS id,
          'L' || (k % 4 + CASE WHEN line % 2 = 1 THEN 0 ELSE 1 END) || '.T' || ((k + line * 7) // 3) AS table_name,
          CASE WHEN line % 2 = 1 THEN 'READS_TABLE' ELSE 'WRITES_TABLE' END AS type,
          CASE WHEN owner IS NULL THEN 'file:' || file_path ELSE file_path || '::' || owner END AS from_id
   FROM owned),
 good AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 50 <> 49),
-written AS (
+written AS MATERIALIZED (
   SELECT DISTINCT k AS change_id, table_name FROM edges SEMI JOIN good USING (k)
   WHERE type = 'WRITES_TABLE' AND (owner = 'f1' OR owner IS NULL)),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT DISTINCT r.table_name AS source, w.table_name AS target
   FROM edges r JOIN edges w ON r.from_id = w.from_id AND r.type = 'READS_TABLE' AND w.type = 'WRITES_TABLE'
   WHERE r.table_name <> w.table_name),
@@ -172,7 +172,7 @@ reach AS (
   SELECT table_name AS start_table, table_name, 0 AS depth FROM (SELECT DISTINCT table_name FROM written)
   UNION
   SELECT start_table, target, depth + 1 FROM reach JOIN pairs ON source = table_name),
-radius AS (SELECT DISTINCT start_table, table_name FROM reach WHERE depth > 0 AND start_table <> table_name)"""
+radius AS MATERIALIZED (SELECT DISTINCT start_table, table_name FROM reach WHERE depth > 0 AND start_table <> table_name)"""
 LAYERED = """
 edges AS (
   SELECT DISTINCT 's' || l_orderkey AS from_id,
@@ -312,25 +312,25 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT branch, files.id, table_name, type FROM files JOIN refs ON refs.id = file_path""",
         "audit_summary": f"""WITH RECURSIVE {OWNED_EDGES},
             good_or_bad AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
-            line_use AS (
+            line_use AS MATERIALIZED (
               SELECT k, line, 'c' || ((k * 7 + line * line) % {COLUMNS}) AS column_name
               FROM good_or_bad, (SELECT unnest(range(1, 81)) AS line)),
-            live AS (
+            live AS MATERIALIZED (
               SELECT DISTINCT table_name, 'c' || i AS column_name
               FROM edges, (SELECT unnest(range({COLUMNS})) AS i) WHERE id % 5 <> 0),
-            produced AS (
+            produced AS MATERIALIZED (
               SELECT DISTINCT table_name, column_name FROM edges JOIN (SELECT DISTINCT k, column_name FROM line_use) USING (k)
               WHERE type = 'WRITES_TABLE'),
-            gone AS (SELECT change_id, table_name, column_name FROM written JOIN live USING (table_name)
+            gone AS MATERIALIZED (SELECT change_id, table_name, column_name FROM written JOIN live USING (table_name)
                      ANTI JOIN produced USING (table_name, column_name)),
-            scope AS (
+            scope AS MATERIALIZED (
               SELECT DISTINCT k, table_name, owner, coalesce(start_line, 1) AS a, coalesce(end_line, 80) AS b
               FROM edges LEFT JOIN symbols ON edges.file_path = symbols.file_path AND owner = name
               WHERE type = 'READS_TABLE'),
-            reading AS (
-              SELECT DISTINCT scope.k, table_name, owner, column_name
-              FROM scope JOIN line_use ON scope.k = line_use.k AND line_use.line BETWEEN a AND b
-                   JOIN live USING (table_name, column_name)),
+            in_scope AS MATERIALIZED (
+              SELECT DISTINCT k, table_name, owner, column_name
+              FROM (SELECT *, unnest(range(a, b + 1)) AS line FROM scope) JOIN line_use USING (k, line)),
+            reading AS MATERIALIZED (SELECT * FROM in_scope SEMI JOIN live USING (table_name, column_name)),
             finding AS (
               SELECT change_id, count(*) AS findings FROM gone JOIN reading USING (table_name, column_name) GROUP BY ALL),
             per AS (
