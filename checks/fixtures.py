@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that arrives in fewer partitions than there are cores (one small file) is
+    redistributed before row work that costs more than the exchange; a large one is not."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -69,7 +76,7 @@ def raw_users(spark, sf) -> DataFrame:
 
 def _numbered(spark, sf) -> DataFrame:
     layer = F.col("o_orderkey") % 5
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).select(
         "o_orderkey",
         text("main.l", layer, ".t", F.col("o_custkey")).alias("r"),
         text("main.l", layer, ".t", F.col("o_custkey") + 7).alias("r2"),
@@ -120,7 +127,7 @@ def python_symbols(spark, sf) -> DataFrame:
                 ),
             )
     return (
-        table(spark, sf, "orders")
+        spread(table(spark, sf, "orders").select("o_orderkey"))
         .select(path.alias("file_path"), shape.alias("s"))
         .where("s is not null")
         .select(F.concat("file_path", F.lit("::"), "s.name").alias("id"), "file_path", "s.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.intervals import blocks_of_line, blocks_of_range
+from ..functions.intervals import blocks_of_line, pieces_of_range
 from .pyrefs import LITERAL, python_table_refs
 from .sqlrefs import sql_table_refs
 
@@ -13,12 +13,12 @@ OWNER = ("owner_id", "owner_name", "owner_start", "owner_end")
 EDGE = ("from_id", "table_name", "type", "file_path", "line", "resolution")
 
 
-def innermost_by_block(symbols: DataFrame) -> DataFrame:
-    """For each block of lines, the innermost symbol among those covering all of it.
+def innermost_by_piece(symbols: DataFrame) -> DataFrame:
+    """Symbols cut into pieces of blocks, and of those with the same piece the innermost.
 
-    At most one row per block: the narrowest range wins, then the earliest symbol (column
-    ``ordinal``, or the id where there is none). What the block size does not decide is
-    left to the choice between a line's blocks.
+    The narrowest symbol wins, then the earliest (column ``ordinal``, or the id where there
+    is none). However many symbols overlap in a file, a block keeps a bounded number of
+    different pieces.
     """
     rank = F.struct(
         (F.col("end_line").cast("bigint") - F.col("start_line").cast("bigint")).alias("span"),
@@ -33,27 +33,23 @@ def innermost_by_block(symbols: DataFrame) -> DataFrame:
     return (
         symbols.select(
             "file_path",
-            rank.alias("rank"),
-            owner.alias("owner"),
-            F.inline(blocks_of_range(F.col("start_line"), F.col("end_line"))),
+            F.struct(rank.alias("rank"), owner.alias("owner")).alias("candidate"),
+            F.inline(pieces_of_range(F.col("start_line"), F.col("end_line"))),
         )
-        .groupBy("file_path", "level", "block")
-        .agg(F.min(F.struct("rank", "owner")).alias("best"))
+        .groupBy("file_path", "size", "block", "low", "high")
+        .agg(F.min("candidate").alias("candidate"))
     )
 
 
 def ref_owner(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Add the innermost enclosing symbol of each (file_path, line), null where none.
-
-    A line has five blocks and each block one candidate, so the work does not depend on how
-    many symbols or references share a file.
-    """
+    """Add the innermost enclosing symbol of each (file_path, line), null where none."""
     lines = refs.select("file_path", "line").distinct()
     owners = (
         lines.select("file_path", "line", F.inline(blocks_of_line(F.col("line"))))
-        .join(innermost_by_block(symbols), ["file_path", "level", "block"])
+        .join(innermost_by_piece(symbols), ["file_path", "size", "block"])
+        .where(F.col("line").between(F.col("low"), F.col("high")))
         .groupBy("file_path", "line")
-        .agg(F.min("best").alias("best"))
+        .agg(F.min("candidate").alias("best"))
         .select("file_path", "line", "best.owner.*")
     )
     return refs.join(owners, ["file_path", "line"], "left").select(*refs.columns, *OWNER)
