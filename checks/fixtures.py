@@ -196,9 +196,9 @@ def symbol_lines(spark, sf) -> DataFrame:
     other = F.to_json(F.struct(F.lit("relation").alias("record_type"), "id", "name"))
     return s.select(
         F.explode(
-            F.when(F.col("kind") == "class", F.array(bare, other)).otherwise(
-                F.array(full, F.concat(F.lit("{"), "id"))
-            )
+            F.when(
+                F.col("kind") == "class", F.array(bare, other, F.concat(F.lit("{"), "id"))
+            ).otherwise(F.array(full))
         ).alias("value")
     )
 

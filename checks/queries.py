@@ -66,7 +66,7 @@ def sql_table_refs(spark, sf):
 
 
 def sql_refs_in_documents(spark, sf):
-    documents = fx.table(spark, sf, "documents").select("doc_id", "text")
+    documents = fx.spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
     return sqlrefs.sql_table_refs(documents)
 
 

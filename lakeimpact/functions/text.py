@@ -10,24 +10,30 @@ from pyspark.sql import Column, functions as F
 
 WORD = r"[\p{L}\p{N}_]"
 OTHER = r"[^\p{L}\p{N}_]"
-EDGE = rf"(?<!{WORD})"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
+
+def _word(keyword: str) -> str:
+    """A whole word. The look at the character before it comes after the keyword, so that
+    a scan compares letters first and looks back only where the keyword stands."""
+    return rf"{keyword}(?<!{WORD}{keyword})"
+
+
 # The clause patterns and the words that never name a table.
 NAME = rf"`?([A-Za-z_]{WORD}*(?:`?\.`?[A-Za-z_]{WORD}*){{0,2}})`?"
 READ_CLAUSES = (
-    rf"(?i){EDGE}FROM{SPACE}+{NAME}",
-    rf"(?i){EDGE}JOIN{SPACE}+{NAME}",
+    rf"(?i){_word('FROM')}{SPACE}+{NAME}",
+    rf"(?i){_word('JOIN')}{SPACE}+{NAME}",
 )
 WRITE_CLAUSES = (
-    rf"(?i){EDGE}CREATE{SPACE}+(?:OR{SPACE}+REPLACE{SPACE}+)?(?:TABLE|VIEW){SPACE}+"
+    rf"(?i){_word('CREATE')}{SPACE}+(?:OR{SPACE}+REPLACE{SPACE}+)?(?:TABLE|VIEW){SPACE}+"
     rf"(?:IF{SPACE}+NOT{SPACE}+EXISTS{SPACE}+)?{NAME}",
-    rf"(?i){EDGE}INSERT{SPACE}+(?:INTO|OVERWRITE){SPACE}+(?:TABLE{SPACE}+)?{NAME}",
-    rf"(?i){EDGE}MERGE{SPACE}+INTO{SPACE}+{NAME}",
-    rf"(?i){EDGE}UPDATE{SPACE}+{NAME}",
+    rf"(?i){_word('INSERT')}{SPACE}+(?:INTO|OVERWRITE){SPACE}+(?:TABLE{SPACE}+)?{NAME}",
+    rf"(?i){_word('MERGE')}{SPACE}+INTO{SPACE}+{NAME}",
+    rf"(?i){_word('UPDATE')}{SPACE}+{NAME}",
 )
 CTE_CLAUSE = (
-    rf"(?i)(?:{EDGE}WITH{SPACE}+(?:RECURSIVE{SPACE}+)?|,{SPACE}*)"
+    rf"(?i)(?:{_word('WITH')}{SPACE}+(?:RECURSIVE{SPACE}+)?|,{SPACE}*)"
     rf"`?({WORD}+)`?(?:{SPACE}*\([^)]*\))?{SPACE}+AS{SPACE}*\("
 )
 NOT_A_TABLE = ("select", "values", "lateral", "unnest", "table", "set")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.intervals import blocks_of_line, pieces_of_range
+from ..functions.intervals import blocks_of_line, cut_ranges
 from .pyrefs import LITERAL, python_table_refs
 from .sqlrefs import sql_table_refs
 
@@ -30,12 +30,14 @@ def innermost_by_piece(symbols: DataFrame) -> DataFrame:
         F.col("start_line").cast("int").alias("owner_start"),
         F.col("end_line").cast("int").alias("owner_end"),
     )
+    candidates = symbols.select(
+        "file_path",
+        F.struct(rank.alias("rank"), owner.alias("owner")).alias("candidate"),
+        "start_line",
+        "end_line",
+    )
     return (
-        symbols.select(
-            "file_path",
-            F.struct(rank.alias("rank"), owner.alias("owner")).alias("candidate"),
-            F.inline(pieces_of_range(F.col("start_line"), F.col("end_line"))),
-        )
+        cut_ranges(candidates, "start_line", "end_line")
         .groupBy("file_path", "size", "block", "low", "high")
         .agg(F.min("candidate").alias("candidate"))
     )

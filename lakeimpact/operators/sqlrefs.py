@@ -38,6 +38,9 @@ def explode_names(df: DataFrame, as_is: Column | None = None) -> DataFrame:
         F.struct(F.lit(WRITES).alias("type"), F.array_distinct("_writes").alias("names")),
     )
     name = F.lower("table_name")
+    # A bare array_contains() would let the optimizer test _ctes for null further down, and
+    # for that compute it a second time.
+    own_name = F.coalesce(F.array_contains("_ctes", name), F.lit(False))
     return (
         df.select(*keep, "_as_is", "_ctes", F.inline(tagged))
         .select(*keep, "_as_is", "_ctes", "type", F.explode("names").alias("table_name"))
@@ -45,7 +48,7 @@ def explode_names(df: DataFrame, as_is: Column | None = None) -> DataFrame:
             (name != "")
             & (
                 F.col("_as_is")
-                | (~name.isin(*tx.NOT_A_TABLE) & ~F.array_contains("_ctes", name))
+                | (~name.isin(*tx.NOT_A_TABLE) & ~own_name)
             )
         )
         .select(*keep, "table_name", "type")
