@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.intervals import blocks_of_line, cut_ranges
+from ..session import Scratch
 from .pyrefs import LITERAL, python_table_refs
 from .sqlrefs import sql_table_refs
 
@@ -77,12 +78,19 @@ def sql_file_refs(sources: DataFrame) -> DataFrame:
     )
 
 
+def _stored(refs: DataFrame) -> DataFrame:
+    """Ownership reads the references twice. They are small and the sources they come from
+    are not, so they are stored once instead of found twice."""
+    return Scratch(refs.sparkSession, "overlay").cut(refs, "refs")
+
+
 def sql_file_edges(sources: DataFrame, symbols: DataFrame, repo_key: str = "") -> DataFrame:
-    return own(sql_file_refs(sources), symbols, repo_key)
+    return own(_stored(sql_file_refs(sources)), symbols, repo_key)
 
 
 def python_file_edges(sources: DataFrame, symbols: DataFrame, repo_key: str = "") -> DataFrame:
-    return own(python_table_refs(sources.select("file_path", "text")), symbols, repo_key)
+    refs = python_table_refs(sources.select("file_path", "text"))
+    return own(_stored(refs), symbols, repo_key)
 
 
 def suffix_is(suffix: str) -> Column:
@@ -96,7 +104,7 @@ def build_edges(sources: DataFrame, symbols: DataFrame, repo_key: str = "") -> D
     refs = sql_file_refs(sources.where(suffix_is(".sql"))).unionByName(
         python_table_refs(sources.where(suffix_is(".py")).select("file_path", "text"))
     )
-    return own(refs, symbols, repo_key)
+    return own(_stored(refs), symbols, repo_key)
 
 
 def relation_records(edges: DataFrame, repo_key: str = "") -> DataFrame:

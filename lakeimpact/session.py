@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 # forceOptimizeSkewedJoin lets the runtime split a hot join key even where the split
 # costs one more shuffle: a join on table_name is often followed by a grouping on
 # (change_id, table_name, ...), which would otherwise keep the hot key in one task.
+# The small minimum keeps all cores at work where few bytes carry much work, such as paths
+# of files to parse; the runtime still merges down to one partition per core.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
