@@ -1,0 +1,35 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from lakeimpact.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    home = tmp_path_factory.mktemp("spark")
+    session = local_session(
+        "tests",
+        4,
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.driver.memory": "4g",
+            "spark.sql.warehouse.dir": str(home / "warehouse"),
+        },
+    )
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def rows():
+    """Rows of a DataFrame as a sorted list of plain tuples."""
+
+    def collect(df, *columns):
+        df = df.select(*columns) if columns else df
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    return collect
