@@ -1,0 +1,153 @@
+"""Written tables, readers and verdicts; the safe and the breaking change from end to end."""
+
+import pytest
+
+from lakeimpact.operators import impact
+from lakeimpact.operators.checkpoints import checkpoints_normalized, latest_checkpoint
+from lakeimpact.plans.audit import audit
+from lakeimpact.sources.records import changed_entities, checkpoint_envelopes
+
+from .test_columns import CATALOG, EDGE
+from .test_overlay import CLEAN, project
+
+LIVE = {
+    "main.silver.sessions": ["user_id", "country"],
+    "main.silver.users": ["user_id", "plan_tier"],
+}
+
+
+def live(spark, tables=LIVE):
+    rows = [(t, c, "string", i) for t, cs in tables.items() for i, c in enumerate(cs)]
+    return spark.createDataFrame(rows, CATALOG)
+
+
+def changed(spark, *names):
+    """One change per name, each to a function of the cleaning job."""
+    rows = [(n, "jobs/clean.py", n) for n in names]
+    return spark.createDataFrame(rows, "change_id string, file_path string, name string")
+
+
+# The country goes, and the statement becomes plain enough to be read.
+DROPPED = [x.replace("user_id, country FROM ev WHERE age < {TIMEOUT * 60}", "user_id FROM ev") for x in CLEAN]
+SHORTER = [x.replace("TIMEOUT = 30", "TIMEOUT = 20") for x in CLEAN]
+
+
+def test_dropping_a_column_is_blocked(spark, rows):
+    edges, sources = project(spark, {"jobs/clean.py": "\n".join(DROPPED)})
+    result = audit(edges, changed(spark, "sessions", "users"), sources, live(spark))
+    assert rows(result.written) == [("sessions", "main.silver.sessions"), ("users", "main.silver.users")]
+    assert rows(result.breaks) == [
+        ("sessions", "main.silver.sessions", "country", "string", "jobs/gold.py::by_country")
+    ]
+    assert rows(result.verdict) == [("sessions", "BLOCK"), ("users", "PASS")]
+    assert rows(result.consumers) == [
+        ("main.gold.daily_revenue", "dash/revenue.sql"),
+        ("main.silver.sessions", "jobs/gold.py"),
+        ("main.silver.users", "jobs/gold.py"),
+    ]
+    n = edges.count()
+    assert rows(result.summary) == [
+        ("sessions", 1, 1, 3, 1, n, "BLOCK"),
+        ("users", 1, 1, 2, 0, n, "PASS"),
+    ]
+
+
+def test_changing_a_constant_passes(spark, rows):
+    edges, sources = project(spark, {"jobs/clean.py": "\n".join(SHORTER)})
+    result = audit(edges, changed(spark, "TIMEOUT"), sources, live(spark))
+    assert rows(result.written) == [] and rows(result.breaks) == []
+    assert rows(result.verdict) == [("TIMEOUT", "PASS")]
+    assert rows(result.summary) == [("TIMEOUT", 1, 0, 0, 0, edges.count(), "PASS")]
+
+
+def test_a_table_without_live_columns_is_unverified(spark, rows):
+    edges, sources = project(spark, {"jobs/clean.py": "\n".join(DROPPED)})
+    known = {"main.silver.users": LIVE["main.silver.users"]}
+    result = audit(edges, changed(spark, "sessions", "users"), sources, live(spark, known))
+    assert rows(result.verdict) == [("sessions", "UNVERIFIED"), ("users", "PASS")]
+
+
+def test_each_change_with_its_own_text(spark, rows):
+    edges, sources = project(spark)
+    proposals = spark.createDataFrame(
+        [("keeps", "main.silver.sessions", "user_id, country"), ("drops", "main.silver.sessions", "user_id")],
+        "change_id string, table_name string, text string",
+    )
+    both = spark.createDataFrame(
+        [("keeps", "jobs/clean.py", "sessions"), ("drops", "jobs/clean.py", "sessions")],
+        "change_id string, file_path string, name string",
+    )
+    result = audit(edges, both, sources, live(spark), proposals=proposals)
+    assert rows(result.verdict) == [("drops", "BLOCK"), ("keeps", "PASS")]
+
+
+def edge(owner, path, table, kind="WRITES_TABLE"):
+    name = owner and owner.split("::")[1]
+    return (owner or f"file:{path}", table, kind, path, 1, "literal", owner, name, 1, 9)
+
+
+@pytest.mark.parametrize("by_name_only, extra", [(False, []), (True, [("c", "t_namesake")])])
+def test_tables_written(spark, rows, by_name_only, extra):
+    edges = spark.createDataFrame(
+        [
+            edge("a.py::f", "a.py", "t_f"),
+            edge("a.py::g", "a.py", "t_neighbour"),
+            edge("b.py::f", "b.py", "t_namesake"),
+            edge(None, "a.py", "t_file"),
+            edge(None, "q.sql", "t_sql"),
+            edge("a.py::f", "a.py", "t_read", "READS_TABLE"),
+        ],
+        EDGE,
+    )
+    entities = spark.createDataFrame(
+        [("c", "a.py", "f"), ("c", "a.py", None), ("d", "q.sql", "x"), ("d", "", "g"), ("e", "z.py", "")],
+        "change_id string, file_path string, name string",
+    )
+    got = impact.tables_written(edges, entities, by_name_only)
+    named = [("d", "t_neighbour")] if by_name_only else []
+    assert rows(got) == sorted([("c", "t_f"), ("c", "t_file"), ("d", "t_sql")] + extra + named)
+
+
+def test_changed_entities(spark, rows):
+    payloads = [
+        ("a", '{"files":[{"path":"x.py","changes":[{"name":"f","type":"added"},{"type":"removed"}]},{"path":"y.py"}]}'),
+        ("b", "{not json"),
+        ("c", '{"files":[{"changes":[{"name":"g"}]},{"path":"z","changes":null}]}'),
+        ("d", "{}"),
+        ("e", None),
+    ]
+    df = spark.createDataFrame(payloads, "change_id string, payload string")
+    got = rows(changed_entities(df), "change_id", "file_path", "name", "change_type")
+    assert got == sorted(
+        [("a", "x.py", "f", "added"), ("a", "x.py", None, "removed"), ("c", "", "g", None)], key=repr
+    )
+
+
+def test_checkpoints(spark, rows):
+    payloads = [
+        ("list", '[{"id":" a1 ","session":"s","intent":"  why\\n","files":["x","y"]},{"sha":"old"}]'),
+        ("wrapped", '{"checkpoints":[{"id":"","checkpoint_id":"b","session_id":"t","summary":"so","files":[],'
+                    '"changed_files":[{"path":"p"},{"path":" ","file":"q"},{"kind":"x"},4,null,["z"]," r "]}]}'),
+        ("types", '[{"id":3,"sha":"c","description":"d","intent":["no"],"files":[{"file_path":"f"}]}]'),
+        ("empty", "[]"),
+        ("none", "{}"),
+        ("bad", "[{"),
+    ]
+    df = spark.createDataFrame(payloads, "branch string, payload string")
+    normal = checkpoints_normalized(checkpoint_envelopes(df))
+    latest = {r["branch"]: tuple(r)[1:] for r in latest_checkpoint(normal).collect()}
+    assert latest == {
+        "list": ("a1", "s", "why", ["x", "y"]),
+        "wrapped": ("b", "t", "so", ["p", "q", " r "]),
+        "types": ("c", "", "d", ["f"]),
+    }
+    assert rows(normal, "branch", "position", "id") == [
+        ("list", 0, "a1"), ("list", 1, "old"), ("types", 0, "c"), ("wrapped", 0, "b"),
+    ]
+
+
+def test_explained_checkpoint(spark):
+    from lakeimpact.sources.records import explained_checkpoint
+
+    df = spark.createDataFrame([('{"checkpoint":{"id":"a"}}',), ('{"id":"b"}',), ("{}",)], "payload string")
+    assert [r["id"] for r in checkpoints_normalized(explained_checkpoint(df)).collect()] == ["a", "b", ""]

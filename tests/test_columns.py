@@ -1,0 +1,101 @@
+"""Column mentions and breaks, against a regular expression per name."""
+
+import random
+import re
+
+from lakeimpact.operators.columns import (
+    column_breaks,
+    columns_mentioned,
+    dropped_columns,
+    reader_mentions,
+)
+
+CATALOG = "table_name string, column_name string, data_type string, ordinal int"
+NAMES = ["country", "user_id", "id", "Revenue", "order-id", "naïve", "größe", "a b", "$x", "x.y", "c++"]
+TEXTS = [
+    "SELECT country, USER_ID FROM t",
+    "FROM main.gold.revenue_by_country",
+    "select revenue/100, `order-id` from t",
+    "xorder-id order-idx",
+    "(a b) a  b ab",
+    "$x a$x $xy",
+    "x.y xxy x.yz",
+    "GRÖSSE größe NAÏVE",
+    "c++ c++d id-id",
+    "énaïve naïveé",
+    "",
+]
+
+
+def mentioned(text, name):
+    return re.search(rf"\b{re.escape(name)}\b", text, re.I) is not None
+
+
+def catalog(spark, table="t", names=NAMES):
+    return spark.createDataFrame([(table, n, "string", i) for i, n in enumerate(names)], CATALOG)
+
+
+def test_mentions_equal_a_search_per_name(spark):
+    texts = spark.createDataFrame([(i, "t", x) for i, x in enumerate(TEXTS)], "id int, table_name string, text string")
+    got = {(r["id"], r["column_name"]) for r in columns_mentioned(texts, catalog(spark)).collect()}
+    assert got == {(i, n) for i, x in enumerate(TEXTS) for n in NAMES if mentioned(x, n)}
+
+
+def test_dropped_by_no_writer(spark, rows):
+    proposals = spark.createDataFrame(
+        [(1, "t", "SELECT country"), (1, "t", "id, c++ "), (2, "t", "nothing"), (3, "other", "x")],
+        "change_id int, table_name string, text string",
+    )
+    got = rows(dropped_columns(proposals, catalog(spark)), "change_id", "column_name")
+    both = "SELECT country\nid, c++ "
+    assert got == sorted(
+        [(1, n) for n in NAMES if not mentioned(both, n)] + [(2, n) for n in NAMES], key=repr
+    )
+
+
+EDGE = (
+    "from_id string, table_name string, type string, file_path string, line int, resolution string, "
+    "owner_id string, owner_name string, owner_start int, owner_end int"
+)
+
+
+def test_reader_scopes_equal_a_search_per_scope(spark, rows):
+    """Short and long files, nested scopes, several tables per scope, whole files."""
+    rng = random.Random(11)
+    names = ["c0", "c1", "c2", "c3", "a-b", "c0_x"]
+    files = {}
+    for path, length in (("s.py", 5), ("m.py", 64), ("n.py", 63), ("l.py", 700), ("xl.py", 9000)):
+        files[path] = [rng.choice(["pass", "use c1", "C2 c0_x", "a-b c3", "", "xc0", "c0"]) for _ in range(length)]
+        if length > 600:  # rare, so that the position of a line decides
+            files[path] = [x if rng.random() < 0.01 else "pass" for x in files[path]]
+    edges, expected = [], set()
+    for path, lines in files.items():
+        for n in range(30):
+            start = rng.randint(0, len(lines))
+            end = min(start + rng.choice([0, 5, 70, 5000]), len(lines) + rng.choice([0, 0, 50_000]))
+            table = rng.choice(["t", "u"])
+            edges.append((f"{path}{n}", table, "READS_TABLE", path, start, "literal", f"{path}{n}", f"f{n}", start, end))
+            scope = "\n".join(lines[max(start, 1) - 1 : end])
+            expected |= {(table, c, f"{path}::f{n}") for c in names if mentioned(scope, c)}
+        edges.append((f"file:{path}", "u", "READS_TABLE", path, 1, "literal", None, None, None, None))
+        expected |= {("u", c, path) for c in names if mentioned("\n".join(lines), c)}
+        edges.append((f"w:{path}", "u", "WRITES_TABLE", path, 1, "literal", "w", "w", 1, 9))
+    sources = [(p, rng.choice(["\n", "\r\n"]).join(x)) for p, x in files.items()]
+    both = catalog(spark, "t", names).union(catalog(spark, "u", names))
+    got = rows(
+        reader_mentions(
+            spark.createDataFrame(edges, EDGE), spark.createDataFrame(sources, "file_path string, text string"), both
+        ),
+        "table_name", "column_name", "consumer",
+    )
+    assert got == sorted(expected, key=repr)
+
+
+def test_breaks_name_each_reader_once(spark, rows):
+    dropped = spark.createDataFrame([(1, "t", "a", "int", 0), (2, "t", "b", "int", 1)], "change_id int, " + CATALOG)
+    readers = spark.createDataFrame(
+        [("t", "a", "x.py::f"), ("t", "a", "y.sql"), ("u", "b", "z")],
+        "table_name string, column_name string, consumer string",
+    )
+    got = rows(column_breaks(dropped, readers))
+    assert got == [(1, "t", "a", "int", "x.py::f"), (1, "t", "a", "int", "y.sql")]
