@@ -44,18 +44,28 @@ def innermost_by_piece(symbols: DataFrame) -> DataFrame:
     )
 
 
+# A line with many references is looked up in this many shares. A line with few has no more
+# shares than references, so the number costs ordinary lines nothing.
+SHARES = 256
+
+
 def ref_owner(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Add the innermost enclosing symbol of each (file_path, line), null where none."""
-    lines = refs.select("file_path", "line").distinct()
+    others = [c for c in refs.columns if c not in ("file_path", "line")]
+    share = F.pmod(F.xxhash64(*others), F.lit(SHARES)) if others else F.lit(0)
+    refs, columns = refs.withColumn("share", share), refs.columns
+    place = ["file_path", "line", "share"]
     owners = (
-        lines.select("file_path", "line", F.inline(blocks_of_line(F.col("line"))))
+        refs.select(*place)
+        .distinct()
+        .select(*place, F.inline(blocks_of_line(F.col("line"))))
         .join(innermost_by_piece(symbols), ["file_path", "size", "block"])
         .where(F.col("line").between(F.col("low"), F.col("high")))
-        .groupBy("file_path", "line")
+        .groupBy(*place)
         .agg(F.min("candidate").alias("best"))
-        .select("file_path", "line", "best.owner.*")
+        .select(*place, "best.owner.*")
     )
-    return refs.join(owners, ["file_path", "line"], "left").select(*refs.columns, *OWNER)
+    return refs.join(owners, place, "left").select(*columns, *OWNER)
 
 
 def own(refs: DataFrame, symbols: DataFrame, repo_key: str = "") -> DataFrame:

@@ -67,5 +67,5 @@ def sql_table_refs(df: DataFrame, text: str = "text", keep: list[str] | None = N
 
 def known_table_refs(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """References to tables with at least one live column."""
-    live = catalog.select("table_name").distinct()
+    live = catalog.select("table_name")
     return refs.join(live, "table_name", "left_semi").select(*refs.columns)

@@ -61,6 +61,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """A small DataFrame as a table of its own.
+
+    The runtime splits a hot join key only where both sides of the join come straight from
+    an exchange. A side that was just grouped by the join key does not; once stored, it does,
+    and its size is known when the join is planned.
+    """
+    return Scratch(df.sparkSession, purpose).cut(df, "rows")
+
+
 class Scratch:
     """Tables written on the way to a result, under one new folder of the shared root.
 
