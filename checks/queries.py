@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeimpact.operators import checkpoints as ck
 from lakeimpact.operators import columns, graph, impact, medallion, overlay, pyrefs, sqlrefs
 from lakeimpact.plans import audit as auditing
-from lakeimpact.session import Scratch, apply_settings
+from lakeimpact.session import apply_settings, stored
 from lakeimpact.sources import landing, records
 
 from . import fixtures as fx
@@ -126,12 +126,12 @@ def _all_read(edges):
 
 
 def blast_radius(spark, sf):
-    found = fx.layered_edges(spark, sf)
+    found = stored(fx.layered_edges(spark, sf), "edges")
     return graph.blast_radius(_all_read(found), *graph.links(found))
 
 
 def blast_radius_order(spark, sf):
-    found = fx.layered_edges(spark, sf)
+    found = stored(fx.layered_edges(spark, sf), "edges")
     return graph.blast_radius(_all_read(found), graph.table_graph(found), ordered=True)
 
 
@@ -141,16 +141,19 @@ def changed_entities(spark, sf):
     return found.select("change_id", "file_path", "name", "change_type", was)
 
 
-def tables_written(spark, sf):
+def _changed(spark, sf):
     changed = records.changed_entities(fx.diffs(spark, sf))
-    return impact.tables_written(fx.owned_edges(spark, sf), changed)
+    return stored(changed.select("change_id", "file_path", "name"), "changed")
+
+
+def tables_written(spark, sf):
+    edges = stored(fx.owned_edges(spark, sf), "edges")
+    return impact.tables_written(edges, _changed(spark, sf))
 
 
 def consumers(spark, sf):
-    scratch = Scratch(spark, "consumers")
-    owned = scratch.cut(fx.owned_edges(spark, sf), "edges")
-    changed = records.changed_entities(fx.diffs(spark, sf))
-    written = scratch.cut(impact.tables_written(owned, changed), "written")
+    owned = stored(fx.owned_edges(spark, sf), "edges")
+    written = stored(impact.tables_written(owned, _changed(spark, sf)), "written")
     radius = graph.blast_radius(written.select("table_name").distinct(), *graph.links(owned))
     return impact.consumers(owned, impact.affected_tables(written, radius))
 

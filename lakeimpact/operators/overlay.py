@@ -59,7 +59,9 @@ def ref_owner(refs: DataFrame, symbols: DataFrame) -> DataFrame:
         refs.select(*place)
         .distinct()
         .select(*place, F.inline(blocks_of_line(F.col("line"))))
-        .join(innermost_by_piece(symbols), ["file_path", "size", "block"])
+        # Both sides grow with the code and were just multiplied into blocks, which size
+        # estimates do not see: never a broadcast.
+        .join(innermost_by_piece(symbols).hint("merge"), ["file_path", "size", "block"])
         .where(F.col("line").between(F.col("low"), F.col("high")))
         .groupBy(*place)
         .agg(F.min("candidate").alias("best"))

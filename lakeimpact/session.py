@@ -18,6 +18,12 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Whether a side is small enough to broadcast is judged by its file size, which is
+    # compressed; the sizes in memory are several times that.
+    "spark.sql.sources.fileCompressionFactor": "4",
+    # Source files differ in size by orders of magnitude, so a batch that goes to Python is
+    # limited by its bytes and not only by its number of rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
