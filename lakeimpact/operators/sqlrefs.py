@@ -1,7 +1,7 @@
 """Tables that SQL text reads and writes.
 
-Not a parser: the clauses that name a table are recognised and the rest is ignored, so an
-unknown shape yields no reference rather than a wrong one.
+Patterns find the names behind the few clauses that introduce a table; nothing else of a
+statement is looked at, and text without such a clause has no rows.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ from ..session import Scratch
 SUFFIXES = (".sql", ".py")
 SKIPPED = (".venv", ".git")
 ENTRIES = "file_path string, is_dir boolean"
+BATCH_CHARACTERS = 16 << 20
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
@@ -70,6 +71,7 @@ def read_source_files(spark: SparkSession, root: str, tasks: int | None = None)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _open(root)
+        rows, held = [], 0
         for batch in batches:
             for path in batch["file_path"]:
                 try:
@@ -78,7 +80,12 @@ def read_source_files(spark: SparkSession, root: str, tasks: int | None = None)
                 except (UnicodeDecodeError, OSError):
                     continue
                 text = text.replace("\r\n", "\n").replace("\r", "\n")
-                yield pd.DataFrame([(path, text)], columns=["file_path", "text"])
+                rows.append((path, text))
+                held += len(text)
+                if held > BATCH_CHARACTERS:
+                    yield pd.DataFrame(rows, columns=["file_path", "text"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["file_path", "text"])
 
     tasks = tasks or 4 * spark.sparkContext.defaultParallelism
     # An explicit number of partitions: paths are tiny, and the runtime would merge them
