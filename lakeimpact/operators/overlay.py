@@ -21,10 +21,8 @@ def innermost_by_piece(symbols: DataFrame) -> DataFrame:
     is none). However many symbols overlap in a file, a block keeps a bounded number of
     different pieces.
     """
-    rank = F.struct(
-        (F.col("end_line").cast("bigint") - F.col("start_line").cast("bigint")).alias("span"),
-        F.col("ordinal" if "ordinal" in symbols.columns else "id").alias("ordinal"),
-    )
+    span = F.col("end_line").cast("bigint") - F.col("start_line").cast("bigint")
+    order = ["ordinal"] if "ordinal" in symbols.columns else []
     owner = F.struct(
         F.col("id").alias("owner_id"),
         F.col("name").alias("owner_name"),
@@ -33,7 +31,8 @@ def innermost_by_piece(symbols: DataFrame) -> DataFrame:
     )
     candidates = symbols.select(
         "file_path",
-        F.struct(rank.alias("rank"), owner.alias("owner")).alias("candidate"),
+        # Compared field by field: the owner starts with its id.
+        F.struct(span.alias("span"), *order, owner.alias("owner")).alias("candidate"),
         "start_line",
         "end_line",
     )
