@@ -62,9 +62,8 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="lakeimpact-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeimpact-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

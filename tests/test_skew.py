@@ -144,6 +144,15 @@ def test_scratch_folder_is_the_shared_one(spark, monkeypatch):
     if named:
         assert scratch_root(spark) == named.rstrip("/")
 
+    # A local session without the setting makes a folder of its own, once.
+    class Unset:
+        get = staticmethod(lambda *_: None)
+
+    class Local:
+        conf, sparkContext = Unset, spark.sparkContext  # noqa: N815
+
+    assert scratch_root(Local) == scratch_root(Local)
+
     class Cluster:
         class conf:  # noqa: N801
             get = staticmethod(lambda *_: None)
