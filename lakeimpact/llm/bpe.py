@@ -10,6 +10,7 @@ so a match of a million letters is as cheap per byte as a short one.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -20,14 +21,16 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-_MASKS = [1 << b for b in range(64)]
+_MASKS = [1 << b for b in range(256)]
 
 
 class Bpe:
     """Encoder and decoder for one rank file and splitting pattern."""
 
     # Distinct units and matches kept per worker; a full memory starts anew, which costs time only.
-    REMEMBERED = 300_000
+    # What is longer than LONG hardly comes back.
+    REMEMBERED = 1_000_000
+    LONG = 64
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -48,13 +51,12 @@ class Bpe:
         # can be cut there, and each unit be split and merged once.
         self.units = re.compile(f"[{space}]*[^{space}]+|[{space}]+")
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match: lowest rank first, leftmost first.
 
         The queue: ``buckets`` holds positions by rank; bit b of ``low[w]`` says that rank
-        64 w + b has a bucket, bit w of ``top`` that ``low[w]`` is not 0.
+        256 w + b has a bucket, bit w of ``top`` that ``low[w]`` is not 0.
         """
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -73,16 +75,16 @@ class Bpe:
                     buckets[rank].append(i)
                 else:
                     buckets[rank] = [i]
-                    word = rank >> 6
+                    word = rank >> 8
                     if word in low:
-                        low[word] |= masks[rank & 63]
+                        low[word] |= masks[rank & 255]
                     else:
-                        low[word] = masks[rank & 63]
+                        low[word] = masks[rank & 255]
                         top |= 1 << word
         while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
-            rank = word << 6 | (bits & -bits).bit_length() - 1
+            rank = word << 8 | (bits & -bits).bit_length() - 1
             bits &= bits - 1
             if bits:
                 low[word] = bits
@@ -111,11 +113,11 @@ class Bpe:
                         else:
                             buckets[new] = [i]
                             sooner = new < rank
-                            word = new >> 6
+                            word = new >> 8
                             if word in low:
-                                low[word] |= masks[new & 63]
+                                low[word] |= masks[new & 255]
                             else:
-                                low[word] = masks[new & 63]
+                                low[word] = masks[new & 255]
                                 top |= 1 << word
                 else:
                     pair[i] = None
@@ -128,16 +130,16 @@ class Bpe:
                         else:
                             buckets[new] = [left]
                             sooner = sooner or new < rank
-                            word = new >> 6
+                            word = new >> 8
                             if word in low:
-                                low[word] |= masks[new & 63]
+                                low[word] |= masks[new & 255]
                             else:
-                                low[word] = masks[new & 63]
+                                low[word] = masks[new & 255]
                                 top |= 1 << word
                 if sooner and k < len(places):  # a lower rank appeared: the others wait
                     buckets[rank] = places[k:]
-                    word = rank >> 6
-                    low[word] = low.get(word, 0) | masks[rank & 63]
+                    word = rank >> 8
+                    low[word] = low.get(word, 0) | masks[rank & 255]
                     top |= 1 << word
                     break
         out, i = [], 0
@@ -147,22 +149,25 @@ class Bpe:
         return out
 
     def _unit(self, unit: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        pieces = self.pieces
-        for match in self.split.findall(unit):
-            found = pieces.get(match)
-            if found is None:
-                found = tuple(self.merge(match.encode()))
-                if len(match) <= 64:  # what is longer hardly comes back
-                    if len(pieces) >= self.REMEMBERED:
-                        pieces.clear()
-                    pieces[match] = found
-            ids += found
-        found = tuple(ids)
-        if len(unit) <= 64:
-            if len(self.known) >= self.REMEMBERED:
-                self.known.clear()
-            self.known[unit] = found
+        """Ids of a unit not met before, or not for long."""
+        known = self.known
+        matches = self.split.findall(unit)
+        if len(matches) == 1:
+            found = tuple(self.merge(unit.encode()))
+        else:
+            ids: list[int] = []
+            for match in matches:
+                part = known.get(match)
+                if part is None:
+                    part = tuple(self.merge(match.encode()))
+                    if len(match) <= self.LONG:
+                        known[match] = part
+                ids += part
+            found = tuple(ids)
+        if len(unit) <= self.LONG:
+            if len(known) >= self.REMEMBERED:
+                known.clear()
+            known[unit] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -216,6 +221,13 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(name, pattern)
+        gc.disable()  # a million small tuples and no cycles
+        try:
+            yield from coded(coder, batches)
+        finally:
+            gc.enable()
+
+    def coded(coder: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for body in batch.column(1).to_pylist():
