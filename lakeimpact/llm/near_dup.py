@@ -6,10 +6,11 @@
    its neighbours in that order that share the tree's minimal prefix: the ones with the longest common
    prefix stand next to it. In a sparse region that is everybody with the prefix, in a dense region
    the order reaches only deeper prefixes, so the depth adapts to the region.
-3. Each node's most similar candidate is confirmed first. Nodes joined by that need no further
-   comparison with one another. A second forest then holds the nodes of small components and
-   a bounded number of central nodes for each large one, which thins dense regions out, and
-   everything similar enough across components is confirmed.
+3. The first round confirms each node's most similar candidate. What that joins needs no further
+   comparison with one another: the next forest holds the nodes of small components and a bounded
+   number of central nodes for each large one, which thins dense regions out, and looks only for
+   candidates across components. The second round confirms the most similar ones again, the last
+   one everything that is similar enough.
 4. The components of the confirmed links are the groups.
 """
 
@@ -29,7 +30,8 @@ from .components import components
 TREES, DEPTH, MINIMUM = 16, 8, 3  # minimum: values that candidates of one tree share at least
 VALUES = TREES * DEPTH
 WINDOW = 64  # neighbours looked at on each side
-CENTRAL = 32  # nodes that stand for a large component in the second forest
+# Rounds, and how many nodes stand for a large component in the forest after each.
+ROUNDS = {"first": 32, "second": 4096, "third": 0}
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -124,13 +126,13 @@ def _pairs_of(tree, label, node, n, sig, component, start, across: bool, least:
     if not found_i:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     i, j, e = map(np.concatenate, (found_i, found_j, found_e))
-    # All pairs above ``sure`` and the ``best`` of each row, seen from both of its sides.
+    # All pairs above ``sure`` and the ``best`` of each row, whichever side they are on.
     keep = e >= sure
-    for mine in (i, j):
-        order = np.lexsort((-e, mine))
-        first = np.r_[True, mine[order][1:] != mine[order][:-1]] if len(order) else np.empty(0, bool)
-        place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        keep[order[place < best]] = True
+    pair = np.r_[np.arange(len(i)), np.arange(len(i))]
+    mine = np.r_[i, j]
+    order = np.lexsort((-e[pair], mine))
+    place = np.arange(len(order)) - np.searchsorted(mine[order], mine[order])
+    keep[pair[order[place < best]]] = True
     return node[i[keep]], node[j[keep]], e[keep]
 
 
@@ -212,7 +214,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) ->
             found = [shingle_set(b, k).tobytes() for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "members"])
 
-    bodies = docs.select(F.col(doc_id).cast("bigint").alias("node"), utf8(text).alias("body")).join(wanted, "node", "left_semi")
+    bodies = docs.select(F.col(doc_id).cast("bigint").alias("node"), utf8(text).alias("body"))
+    # The documents' side is the large one whatever the number of candidates: always the same plan.
+    bodies = bodies.join(wanted.hint("merge"), "node", "left_semi")
     return bodies.mapInArrow(run, "node bigint, members binary")
 
 
@@ -231,24 +235,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = work.cut(real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
 
     plain = nodes.select("node", "n", "sig", F.col("node").alias("component"))
-    rows = _tree_rows(plain, work, "first")
-    near = work.cut(_candidates(rows, work, "first", False, 0.6, 2.0, 1).distinct(), "first-candidates")
-    # Confirm the most similar candidate of every node.
-    seen = near.union(near.select("b", "a", "likeness"))
-    closest = seen.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b"))
-    count = work.write(closest, "closest")
-    links, comps = None, None
-    if count:
-        closest = work.read("closest", closest.schema)
-        sets = work.cut(_sets(docs, closest.select(F.col("a").alias("node")), doc_id, text, k), "sets")
-        links = _confirmed(closest, sets, count, work, "first")
-        comps = components(links, work, "first")
-        second = _second_forest(plain, closest, links, comps, work)
-        more = work.cut(_candidates(second, work, "second", True, 0.6, 0.68, 2).select("a", "b").distinct(), "second-candidates")
-        count = more.count()
-        if count:
-            links = links.union(_confirmed(more, sets, count, work, "second"))
-            comps = components(links, work, "second")
+    sets, links, comps, forest = None, None, None, plain
+    for name in ROUNDS:
+        last = not ROUNDS[name]
+        rows = _tree_rows(forest, work, name)
+        near = _candidates(rows, work, name, links is not None, 0.6, 0.68 if last else 2.0, 2 if last else 1)
+        near = work.cut(near.distinct(), f"{name}-candidates")
+        if last:
+            chosen = near.select("a", "b")
+        else:  # the most similar one of every node
+            seen = near.union(near.select("b", "a", "likeness"))
+            chosen = seen.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b"))
+        count = work.write(chosen, f"{name}-chosen")
+        if not count:
+            break
+        chosen = work.read(f"{name}-chosen", chosen.schema)
+        if sets is None:  # every node that has a candidate is an "a" of the first round
+            had = chosen.select(F.col("a").alias("node"))
+            sets = work.cut(_sets(docs, had, doc_id, text, k), "sets")
+        found = _confirmed(chosen, sets, count, work, name)
+        links = found if links is None else links.union(found)
+        comps = components(links, work, name)
+        if not last:
+            forest = _thinned(plain, had, links, comps, work, name, ROUNDS[name])
     labels = nodes.select("fp1", "fp2", "n", "node")
     if comps is not None:
         labels = labels.join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
@@ -265,21 +274,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _second_forest(plain: DataFrame, closest: DataFrame, links: DataFrame, comps: DataFrame, work: Scratch) -> DataFrame:
-    """Rows of the nodes that had candidates: all of small components, central ones of large.
+def _thinned(plain: DataFrame, had: DataFrame, links: DataFrame, comps: DataFrame, work: Scratch, name: str, central: int) -> DataFrame:
+    """The nodes of the next forest: of those that had candidates all in small components, central ones in large.
 
-    Central are the nodes with most confirmed links, one for each of CENTRAL shares of the ids.
+    Central are the nodes with most confirmed links, one for each of ``central`` shares of the ids.
     """
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    known = closest.select(F.col("a").alias("node")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = work.cut(known.join(degree, "node", "left").fillna(0, ["degree"]), "known")
+    known = had.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = work.cut(known.join(degree, "node", "left").fillna(0, ["degree"]), f"{name}-known")
     size = stored(known.groupBy("component").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > WINDOW), "large")
-    marked = work.cut(known.join(size, "component", "left"), "marked")
-    central = (
+    marked = work.cut(known.join(size, "component", "left"), f"{name}-marked")
+    middle = (
         marked.filter("held is not null")
-        .groupBy("component", F.pmod(F.xxhash64("node"), F.lit(CENTRAL)).alias("share"))
+        .groupBy("component", F.pmod(F.xxhash64("node"), F.lit(central)).alias("share"))
         .agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("node"))
     )
-    chosen = marked.filter("held is null").select("node", "component").union(central.select("node", "component"))
-    nodes = plain.drop("component").join(work.cut(chosen, "chosen"), "node")
-    return _tree_rows(work.cut(nodes, "second-nodes"), work, "second")
+    chosen = marked.filter("held is null").select("node", "component").union(middle.select("node", "component"))
+    return work.cut(plain.drop("component").join(work.cut(chosen, f"{name}-kept"), "node"), f"{name}-forest")
