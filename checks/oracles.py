@@ -338,12 +338,13 @@ def oracle_sql() -> dict[str, str]:
                      bool_or(table_name NOT IN (SELECT table_name FROM live)) AS unchecked
               FROM written LEFT JOIN (SELECT start_table, count(*) AS n FROM radius GROUP BY ALL) ON start_table = table_name
               GROUP BY ALL)
-            SELECT good.k AS change_id, CAST(3 AS BIGINT) AS entities,
+            SELECT g.k AS change_id, CAST(CASE WHEN g.k % 50 = 49 THEN 0 ELSE 3 END AS BIGINT) AS entities,
                    CAST(coalesce(tables_written, 0) AS BIGINT) AS tables_written,
                    CAST(coalesce(downstream, 0) AS BIGINT) AS downstream,
                    CAST(coalesce(findings, 0) AS BIGINT) AS findings,
                    CAST((SELECT count(*) FROM edges) AS BIGINT) AS edges,
-                   CASE WHEN findings > 0 THEN 'BLOCK' WHEN unchecked THEN 'UNVERIFIED' ELSE 'PASS' END AS verdict
-            FROM good LEFT JOIN per ON per.change_id = good.k LEFT JOIN finding ON finding.change_id = good.k""",
+                   CASE WHEN findings > 0 THEN 'BLOCK' WHEN unchecked OR g.k % 50 = 49 THEN 'UNVERIFIED' ELSE 'PASS' END AS verdict
+            FROM good_or_bad g LEFT JOIN per ON per.change_id = g.k LEFT JOIN finding ON finding.change_id = g.k""",
     }
+    sql["sessions_from_landing"] = sql["silver_sessions"]
     return sql

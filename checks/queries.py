@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeimpact.operators import checkpoints as ck
 from lakeimpact.operators import columns, graph, impact, medallion, overlay, pyrefs, sqlrefs
 from lakeimpact.plans import audit as auditing
-from lakeimpact.session import apply_settings, stored
+from lakeimpact.session import Scratch, apply_settings, stored
 from lakeimpact.sources import landing, records
 
 from . import fixtures as fx
@@ -24,7 +24,8 @@ def _users(spark, sf):
 
 
 def _cents(df, *names):
-    return df.withColumns({n: F.round(n, 2) for n in names})
+    """Exact decimals as the doubles that the check SQL has."""
+    return df.withColumns({n: F.round(n, 2).cast("double") for n in names})
 
 
 def bronze_ingest(spark, sf):
@@ -211,14 +212,26 @@ def checkpoint_tables(spark, sf):
 
 
 def audit_summary(spark, sf):
+    diffs = fx.diffs(spark, sf)
     return auditing.audit(
         fx.owned_edges(spark, sf),
-        records.changed_entities(fx.diffs(spark, sf)),
+        records.changed_entities(diffs),
         fx.owned_sources(spark, sf),
         fx.owned_catalog(spark, sf),
+        changes=records.change_list(diffs),
     ).summary
 
 
+def sessions_from_landing(spark, sf):
+    """Landing files of all events, read back by schema, to sessions."""
+    raw = fx.raw_events(spark, sf)
+    work = Scratch(spark, "landing")
+    raw.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{work.root}/events")
+    read = landing.read_events(spark, f"{work.root}/events", raw.schema)
+    window = medallion.SESSION_WINDOW_MINUTES
+    return _cents(medallion.clean_sessions(read, fx.AS_OF, window, ("event_id",)), "revenue")
+
+
 REGISTERED = (
     bronze_ingest, silver_sessions, silver_sessions_month, silver_users, gold_daily_revenue,
     gold_user_retention, gold_revenue_by_country, dashboard_revenue, sql_table_refs,
@@ -226,7 +239,7 @@ REGISTERED = (
     python_file_edges, edges, ref_owner, symbols_from_ndjson, relation_records, table_graph,
     blast_radius, blast_radius_order, changed_entities, tables_written, consumers,
     columns_mentioned, dropped_columns, column_breaks, change_verdict, checkpoints_normalized,
-    latest_checkpoint, checkpoint_tables, audit_summary,
+    latest_checkpoint, checkpoint_tables, audit_summary, sessions_from_landing,
 )
 
 

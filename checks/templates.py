@@ -14,11 +14,11 @@ STATEMENTS = [
     "CREATE OR REPLACE TABLE <w> AS\nSELECT a\nFROM <r> x\nJOIN <r2> y USING (a)",
     "INSERT OVERWRITE <w>\nSELECT a FROM <r>",
     "WITH c1 AS (SELECT * FROM <r>), C2 AS (SELECT * FROM c1)\nSELECT * FROM c2",
-    "-- don't read FROM main.dead.t\nSELECT 'FROM main.fake.t -- x' AS note, '--' AS z FROM <r>"
-    " /* JOIN\nmain.blk.t */ JOIN <r2>",
-    "SELECT * FROM `main`.`l`.`t` JOIN ev USING (id)",
+    "SELECT concat('UPDATE main.fake.t', ' -- ') AS hint\nFROM <r> /* INSERT INTO main.blk.t */\n"
+    "-- it's JOIN main.dead.t\nJOIN <r2>",
+    "SELECT count(*) FROM lookup RIGHT JOIN `main`.`l`.`t` ON true",
     "MERGE INTO <w> USING s ON a=b WHEN MATCHED THEN UPDATE SET x = 1",
-    "SHOW TABLES IN main.l1",
+    "DESCRIBE EXTENDED main.l1",
 ]
 
 # CTE shapes, chosen by o_orderkey % 5.
@@ -32,8 +32,8 @@ CTES = [
 
 # Python files, chosen by o_orderkey % 6. l: layer number, c: table number.
 PYTHON = [
-    'ROOT = "main"\nLAYER = f"{ROOT}.l<l>"\ndef load(spark):\n'
-    '    return spark.table(f"{LAYER}.t<c>")\n',
+    'ZONE = "main"\nPLACE = f"{ZONE}.l<l>.t<c>"\ndef rows_of(session):\n'
+    '    return session.read.table(PLACE)\n',
     'def save(df):\n    df.write.mode("overwrite").saveAsTable("main.l<l>.t<c>")\n',
     'SOURCE = "main.l<l>.t<c>"\ndef build(spark):\n    spark.sql(\n        f"""\n'
     "        CREATE OR REPLACE TABLE main.l9.t<c> AS\n"

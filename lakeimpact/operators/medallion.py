@@ -8,12 +8,22 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Fixed value: events older than this many minutes are left out.
 SESSION_WINDOW_MINUTES = 30 * 60
 
 
+def _timed(raw_events: DataFrame) -> DataFrame:
+    """Events whose event_ts is a time: text, as inferred from JSON, is cast on the way in."""
+    kind = raw_events.schema["event_ts"].dataType
+    if isinstance(kind, T.StringType):
+        return raw_events.withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"event_ts is {kind.simpleString()}, not a timestamp")
+    return raw_events
+
+
 def _moment(at: datetime, like: DataFrame, column: str) -> Column:
     """A literal of the column's own timestamp type, so the comparison reaches the scan."""
     return F.lit(at.isoformat(sep=" ")).cast(like.schema[column].dataType)
@@ -31,6 +41,7 @@ def clean_sessions(
     as being less than n minutes old; written this way the filter is pushed to the scan.
     ``country`` is that of the earliest event; ``tie_breakers`` order events of one instant.
     """
+    raw_events = _timed(raw_events)
     oldest = _moment(as_of - timedelta(minutes=window_minutes), raw_events, "event_ts")
     first = F.struct("event_ts", *tie_breakers, "country")
     return (
@@ -40,7 +51,7 @@ def clean_sessions(
             F.min("event_ts").alias("started_at"),
             F.max("event_ts").alias("ended_at"),
             F.count(F.lit(1)).alias("event_count"),
-            (F.sum("revenue_cents").cast("double") / 100).alias("revenue"),
+            (F.sum("revenue_cents").cast("decimal(20,0)") / 100).cast("decimal(27,6)").alias("revenue"),
             F.min_by("country", first).alias("country"),
         )
     )

@@ -58,9 +58,11 @@ def run(
     as_of: datetime,
     to: Layers = Layers(),
     window_minutes: int = medallion.SESSION_WINDOW_MINUTES,
+    schema=landing.EVENTS,
 ) -> DataFrame:
-    """All layers in order; returns the dashboard."""
-    ingest_raw_events(spark, events_path, to, ingested_at=as_of)
+    """All layers in order; returns the dashboard. Landing events are read by ``schema``, once;
+    None infers it, with times as text."""
+    ingest_raw_events(spark, events_path, to, ingested_at=as_of, schema=schema)
     ingest_users(spark, users_path, to)
     refresh_sessions(spark, to, as_of, window_minutes)
     refresh_users(spark, to)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -52,18 +51,14 @@ def local_session(app: str, cores: int = 8, **conf: str) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, else one below the warehouse.
 
-    Only a local session may fall back to a folder of its own: on a cluster the
-    executors and the driver do not see each other's disks.
+    Both are places that every executor reaches; a folder of one machine is never taken.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeimpact-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return root.rstrip("/")
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -98,6 +93,12 @@ class Scratch:
         """Read a table (or a folder of ``column=value`` tables) back with a known schema."""
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Delete the tables; results that read them can't be evaluated again."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self.write(df, name)
         return self.read(name, df.schema)

@@ -42,7 +42,7 @@ def list_source_files(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for parent in batch["file_path"]:
                 found = []
-                selector = pafs.FileSelector(f"{base}/{parent}".rstrip("/"), allow_not_found=True)
+                selector = pafs.FileSelector(f"{base}/{parent}".rstrip("/"))
                 for info in system.get_file_info(selector):
                     path = PurePosixPath(info.path).relative_to(base)
                     is_dir = info.type == pafs.FileType.Directory
@@ -65,33 +65,54 @@ def list_source_files(spark: SparkSession, root: str) -> DataFrame:
     return scratch.read("level", level.schema).where("not is_dir").select("file_path")
 
 
-def read_source_files(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
-    """(file_path, text) of the source files; unreadable ones and other encodings are left
-    out, and line ends become ``\\n``."""
+def _text_of(system: pafs.FileSystem, path: str, tries: int = 3) -> tuple[str | None, str | None]:
+    """(text, None), or (None, reason) for another encoding or a file that may not be read.
+
+    Any other failure may pass, so it is tried again and then fails the task.
+    """
+    for left in reversed(range(tries)):
+        try:
+            with system.open_input_stream(path) as stream:
+                return stream.read().decode("utf-8"), None
+        except UnicodeDecodeError:
+            return None, "not UTF-8"
+        except PermissionError:
+            return None, "no permission"
+        except OSError:
+            if not left:
+                raise
+
+
+def read_source_files(
+    spark: SparkSession, root: str, tasks: int | None = None, with_reason: bool = False
+) -> DataFrame:
+    """(file_path, text) of the source files; line ends become ``\\n``.
+
+    Files in other encodings or without permission are left out, or stay as rows with a null text and a
+    ``reason`` if asked for.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _open(root)
         rows, held = [], 0
         for batch in batches:
             for path in batch["file_path"]:
-                try:
-                    with system.open_input_stream(f"{base}/{path}") as stream:
-                        text = stream.read().decode("utf-8")
-                except (UnicodeDecodeError, OSError):
-                    continue
-                text = text.replace("\r\n", "\n").replace("\r", "\n")
-                rows.append((path, text))
-                held += len(text)
+                text, reason = _text_of(system, f"{base}/{path}")
+                if text is not None:
+                    text = text.replace("\r\n", "\n").replace("\r", "\n")
+                rows.append((path, text, reason))
+                held += len(text or "")
                 if held > BATCH_CHARACTERS:
-                    yield pd.DataFrame(rows, columns=["file_path", "text"])
+                    yield pd.DataFrame(rows, columns=["file_path", "text", "reason"])
                     rows, held = [], 0
-        yield pd.DataFrame(rows, columns=["file_path", "text"])
+        yield pd.DataFrame(rows, columns=["file_path", "text", "reason"])
 
     tasks = tasks or 4 * spark.sparkContext.defaultParallelism
     # An explicit number of partitions: paths are tiny, and the runtime would merge them
     # into one task although the files behind them are not.
-    return (
+    found = (
         list_source_files(spark, root)
         .repartition(tasks)
-        .mapInPandas(read, "file_path string, text string")
+        .mapInPandas(read, "file_path string, text string, reason string")
     )
+    return found if with_reason else found.where("reason is null").drop("reason")

@@ -5,14 +5,15 @@ import pytest
 from lakeimpact.operators import impact
 from lakeimpact.operators.checkpoints import checkpoints_normalized, latest_checkpoint
 from lakeimpact.plans.audit import audit
-from lakeimpact.sources.records import changed_entities, checkpoint_envelopes
+from lakeimpact.sources.records import change_list, changed_entities, checkpoint_envelopes
 
 from .test_columns import CATALOG, EDGE
-from .test_overlay import CLEAN, project
+from .test_overlay import SHELVES, project
 
+PATH = "etl/shelves.py"
 LIVE = {
-    "main.silver.sessions": ["user_id", "country"],
-    "main.silver.users": ["user_id", "plan_tier"],
+    "depot.shelf.stock": ["sku", "batch", "expires"],
+    "depot.shelf.recalled": ["sku", "batch"],
 }
 
 
@@ -22,65 +23,86 @@ def live(spark, tables=LIVE):
 
 
 def changed(spark, *names):
-    """One change per name, each to a function of the cleaning job."""
-    rows = [(n, "jobs/clean.py", n) for n in names]
-    return spark.createDataFrame(rows, "change_id string, file_path string, name string")
+    """One change per name, each to a part of the shelves' file."""
+    return spark.createDataFrame([(n, PATH, n) for n in names], "change_id string, file_path string, name string")
 
 
-# The country goes, and the statement becomes plain enough to be read.
-DROPPED = [x.replace("user_id, country FROM ev WHERE age < {TIMEOUT * 60}", "user_id FROM ev") for x in CLEAN]
-SHORTER = [x.replace("TIMEOUT = 30", "TIMEOUT = 20") for x in CLEAN]
+DROPPED = [x.replace('"batch", "expires")', '"batch")') for x in SHELVES]
+SHORTER = [x.replace("KEEP_DAYS = 400", "KEEP_DAYS = 30") for x in SHELVES]
 
 
 def test_dropping_a_column_is_blocked(spark, rows):
-    edges, sources = project(spark, {"jobs/clean.py": "\n".join(DROPPED)})
-    result = audit(edges, changed(spark, "sessions", "users"), sources, live(spark))
-    assert rows(result.written) == [("sessions", "main.silver.sessions"), ("users", "main.silver.users")]
-    assert rows(result.breaks) == [
-        ("sessions", "main.silver.sessions", "country", "string", "jobs/gold.py::by_country")
-    ]
-    assert rows(result.verdict) == [("sessions", "BLOCK"), ("users", "PASS")]
+    edges, sources = project(spark, {PATH: "\n".join(DROPPED)})
+    result = audit(edges, changed(spark, "fill", "recall"), sources, live(spark))
+    assert rows(result.written) == [("fill", "depot.shelf.stock"), ("recall", "depot.shelf.recalled")]
+    assert rows(result.breaks) == [("fill", "depot.shelf.stock", "expires", "string", "marts/expiry.py::soon")]
+    assert rows(result.verdict) == [("fill", "BLOCK"), ("recall", "PASS")]
     assert rows(result.consumers) == [
-        ("main.gold.daily_revenue", "dash/revenue.sql"),
-        ("main.silver.sessions", "jobs/gold.py"),
-        ("main.silver.users", "jobs/gold.py"),
+        ("depot.mart.expiring", "views/board.sql"),
+        ("depot.mart.reorder", "views/board.sql"),
+        ("depot.shelf.recalled", "marts/expiry.py"),
+        ("depot.shelf.recalled", "views/returns.sql"),
+        ("depot.shelf.stock", "etl/shelves.py"),
+        ("depot.shelf.stock", "marts/expiry.py"),
     ]
     n = edges.count()
     assert rows(result.summary) == [
-        ("sessions", 1, 1, 3, 1, n, "BLOCK"),
-        ("users", 1, 1, 2, 0, n, "PASS"),
+        ("fill", 1, 1, 4, 1, n, "BLOCK"),
+        ("recall", 1, 1, 2, 0, n, "PASS"),
     ]
 
 
 def test_changing_a_constant_passes(spark, rows):
-    edges, sources = project(spark, {"jobs/clean.py": "\n".join(SHORTER)})
-    result = audit(edges, changed(spark, "TIMEOUT"), sources, live(spark))
+    edges, sources = project(spark, {PATH: "\n".join(SHORTER)})
+    result = audit(edges, changed(spark, "KEEP_DAYS"), sources, live(spark))
     assert rows(result.written) == [] and rows(result.breaks) == []
-    assert rows(result.verdict) == [("TIMEOUT", "PASS")]
-    assert rows(result.summary) == [("TIMEOUT", 1, 0, 0, 0, edges.count(), "PASS")]
+    assert rows(result.verdict) == [("KEEP_DAYS", "PASS")]
+    assert rows(result.summary) == [("KEEP_DAYS", 1, 0, 0, 0, edges.count(), "PASS")]
 
 
 def test_a_table_without_live_columns_is_unverified(spark, rows):
-    edges, sources = project(spark, {"jobs/clean.py": "\n".join(DROPPED)})
-    known = {"main.silver.users": LIVE["main.silver.users"]}
-    result = audit(edges, changed(spark, "sessions", "users"), sources, live(spark, known))
-    assert rows(result.verdict) == [("sessions", "UNVERIFIED"), ("users", "PASS")]
+    edges, sources = project(spark, {PATH: "\n".join(DROPPED)})
+    known = {"depot.shelf.recalled": LIVE["depot.shelf.recalled"]}
+    result = audit(edges, changed(spark, "fill", "recall"), sources, live(spark, known))
+    assert rows(result.verdict) == [("fill", "UNVERIFIED"), ("recall", "PASS")]
 
 
 def test_each_change_with_its_own_text(spark, rows):
     edges, sources = project(spark)
     proposals = spark.createDataFrame(
-        [("keeps", "main.silver.sessions", "user_id, country"), ("drops", "main.silver.sessions", "user_id")],
+        [("keeps", "depot.shelf.stock", "sku, batch, expires"), ("drops", "depot.shelf.stock", "sku, batch")],
         "change_id string, table_name string, text string",
     )
     both = spark.createDataFrame(
-        [("keeps", "jobs/clean.py", "sessions"), ("drops", "jobs/clean.py", "sessions")],
-        "change_id string, file_path string, name string",
+        [("keeps", PATH, "fill"), ("drops", PATH, "fill")], "change_id string, file_path string, name string"
     )
     result = audit(edges, both, sources, live(spark), proposals=proposals)
     assert rows(result.verdict) == [("drops", "BLOCK"), ("keeps", "PASS")]
 
 
+def test_no_change_vanishes(spark, rows):
+    """Unreadable, oversized and empty payloads have a row; intent comes by branch."""
+    edges, sources = project(spark, {PATH: "\n".join(DROPPED)})
+    named = '{"files":[{"path":"etl/shelves.py","changes":[{"name":"fill"}]}]}'
+    # One string beyond what the JSON reader takes.
+    huge = named[:-1] + ',"note":"' + "x" * (32 << 20) + '"}'
+    payloads = spark.createDataFrame(
+        [("good", "b1", named), ("empty", "b2", "{}"), ("bad", "b1", "{oops"), ("none", None, None), ("huge", "b3", huge)],
+        "change_id string, branch string, payload string",
+    )
+    intent = spark.createDataFrame([("b1", "k7", "drop it")], "branch string, id string, intent string")
+    entities = changed_entities(payloads).drop("branch")
+    result = audit(edges, entities, sources, live(spark), intent, changes=change_list(payloads))
+    n = edges.count()
+    assert rows(result.summary) == [
+        ("bad", 0, 0, 0, 0, n, "UNVERIFIED", "b1", "k7", "drop it"),
+        ("empty", 0, 0, 0, 0, n, "PASS", "b2", None, None),
+        ("good", 1, 1, 4, 1, n, "BLOCK", "b1", "k7", "drop it"),
+        ("huge", 0, 0, 0, 0, n, "UNVERIFIED", "b3", None, None),
+        ("none", 0, 0, 0, 0, n, "UNVERIFIED", None, None, None),
+    ]
+
+
 def edge(owner, path, table, kind="WRITES_TABLE"):
     name = owner and owner.split("::")[1]
     return (owner or f"file:{path}", table, kind, path, 1, "literal", owner, name, 1, 9)

@@ -45,80 +45,84 @@ def test_ties_go_to_the_earliest_symbol(spark):
     assert ref_owner(refs, df.drop("ordinal")).first()["owner_id"] == "a"
 
 
-# A small pipeline of the usual three layers. The lines matter, so they are written out.
-INGEST = [
-    "def land_events(spark):",
-    '    raw = spark.read.json("/landing/events")',
-    '    raw.write.mode("overwrite").saveAsTable("main.bronze.raw_events")',
+# The stock of a medical depot. The lines matter, so they are written out.
+SCANS = [
+    "import json",
     "",
-    "def land_users(spark):",
-    '    spark.read.csv("/landing/users").write.saveAsTable("main.bronze.raw_users")',
+    "def receive(spark, box):",
+    '    rows = spark.read.option("multiLine", True).json(box)',
+    '    rows.write.insertInto("depot.inbox.scan")',
 ]
-CLEAN = [
-    "TIMEOUT = 30",
-    "def sessions(spark):",
-    '    ev = spark.table("main.bronze.raw_events")',
-    '    out = spark.sql(f"SELECT user_id, country FROM ev WHERE age < {TIMEOUT * 60}")',
-    '    out.write.saveAsTable("main.silver.sessions")',
-    "def users(spark):",
-    "    spark.sql(",
-    '        """CREATE OR REPLACE TABLE main.silver.users AS',
-    '        SELECT id AS user_id, plan_tier FROM main.bronze.raw_users"""',
-    "    )",
+SHELVES = [
+    'AREA = "depot.shelf"',
+    'STOCK = f"{AREA}.stock"',
+    "KEEP_DAYS = 400",
+    "class Shelves:",
+    "    def fill(self, spark):",
+    '        seen = spark.table("depot.inbox.scan")',
+    '        seen.select("sku", "batch", "expires").write.saveAsTable(STOCK)',
+    "    def recall(self, spark, reason):",
+    '        spark.sql("INSERT INTO depot.shelf.recalled "',
+    '                  "SELECT sku, batch FROM depot.shelf.stock JOIN depot.ref.maker USING (sku)")',
+    "        spark.table(reason)",
 ]
-GOLD = [
-    'ROOT = "main"',
-    'LAYER = f"{ROOT}.gold"',
-    "def daily(spark):",
-    '    s = spark.table("main.silver.sessions")',
-    '    u = spark.read.table("main.silver.users")',
-    '    s.join(u, "user_id").groupBy("plan_tier").count().write.saveAsTable(f"{LAYER}.daily_revenue")',
-    "def retention(spark):",
-    '    spark.sql("CREATE OR REPLACE TABLE main.gold.user_retention AS SELECT plan_tier, user_id "',
-    '              "FROM main.silver.sessions s JOIN main.silver.users u USING (user_id)")',
-    "def by_country(spark):",
-    '    spark.sql("INSERT OVERWRITE main.gold.revenue_by_country SELECT country, count(*) "',
-    '              "FROM main.silver.sessions GROUP BY country")',
+EXPIRY = [
+    "def soon(spark, days):",
+    '    stock = spark.read.table("depot.shelf.stock")',
+    '    stock.where(stock.expires < days).write.saveAsTable("depot.mart.expiring")',
+    "",
+    "def wanted(spark):",
+    '    spark.sql("""',
+    "        CREATE TABLE IF NOT EXISTS depot.mart.reorder AS",
+    "        WITH gone AS (SELECT sku FROM depot.shelf.recalled)",
+    '        SELECT sku, batch FROM depot.shelf.stock ANTI JOIN gone USING (sku)""")',
+]
+BOARD = [
+    "CREATE VIEW depot.mart.board AS",
+    "SELECT e.sku",
+    "FROM depot.mart.expiring e",
+    "JOIN depot.mart.reorder r",
+    "  ON e.sku = r.sku;",
 ]
-DASHBOARD = "-- the numbers\nSELECT day\nFROM main.gold.daily_revenue\nORDER BY day"
 SOURCES = [
-    ("jobs/ingest.py", "\n".join(INGEST)),
-    ("jobs/clean.py", "\n".join(CLEAN)),
-    ("jobs/gold.py", "\n".join(GOLD)),
-    ("dash/revenue.sql", DASHBOARD),
-    ("README.md", "spark.table('no.such.t')"),
+    ("etl/scans.py", "\n".join(SCANS)),
+    ("etl/shelves.py", "\n".join(SHELVES)),
+    ("marts/expiry.py", "\n".join(EXPIRY)),
+    ("views/board.sql", "\n".join(BOARD)),
+    ("views/returns.sql", "SELECT count(*)\nFROM depot.shelf.recalled"),
+    ("notes.md", "spark.table('depot.none.t')"),
 ]
 FUNCTIONS = [
-    ("jobs/ingest.py", "land_events", 1, 3),
-    ("jobs/ingest.py", "land_users", 5, 6),
-    ("jobs/clean.py", "sessions", 2, 5),
-    ("jobs/clean.py", "users", 6, 10),
-    ("jobs/gold.py", "daily", 3, 6),
-    ("jobs/gold.py", "retention", 7, 9),
-    ("jobs/gold.py", "by_country", 10, 12),
+    ("etl/scans.py", "receive", 3, 5),
+    ("etl/shelves.py", "Shelves", 4, 11),
+    ("etl/shelves.py", "fill", 5, 7),
+    ("etl/shelves.py", "recall", 8, 11),
+    ("marts/expiry.py", "soon", 1, 3),
+    ("marts/expiry.py", "wanted", 5, 9),
+    ("views/board.sql", "board", 1, 5),
 ]
 R, W = "READS_TABLE", "WRITES_TABLE"
 EDGES = [
-    ("jobs/ingest.py", 3, "land_events", W, "main.bronze.raw_events", "literal"),
-    ("jobs/ingest.py", 6, "land_users", W, "main.bronze.raw_users", "literal"),
-    ("jobs/clean.py", 3, "sessions", R, "main.bronze.raw_events", "literal"),
-    ("jobs/clean.py", 5, "sessions", W, "main.silver.sessions", "literal"),
-    ("jobs/clean.py", 7, "users", R, "main.bronze.raw_users", "literal"),
-    ("jobs/clean.py", 7, "users", W, "main.silver.users", "literal"),
-    ("jobs/gold.py", 4, "daily", R, "main.silver.sessions", "literal"),
-    ("jobs/gold.py", 5, "daily", R, "main.silver.users", "literal"),
-    ("jobs/gold.py", 6, "daily", W, "main.gold.daily_revenue", "inferred"),
-    ("jobs/gold.py", 8, "retention", R, "main.silver.sessions", "literal"),
-    ("jobs/gold.py", 8, "retention", R, "main.silver.users", "literal"),
-    ("jobs/gold.py", 8, "retention", W, "main.gold.user_retention", "literal"),
-    ("jobs/gold.py", 11, "by_country", R, "main.silver.sessions", "literal"),
-    ("jobs/gold.py", 11, "by_country", W, "main.gold.revenue_by_country", "literal"),
-    ("dash/revenue.sql", 3, None, R, "main.gold.daily_revenue", "literal"),
+    ("etl/scans.py", 5, "receive", W, "depot.inbox.scan", "literal"),
+    ("etl/shelves.py", 6, "fill", R, "depot.inbox.scan", "literal"),
+    ("etl/shelves.py", 7, "fill", W, "depot.shelf.stock", "inferred"),
+    ("etl/shelves.py", 9, "recall", R, "depot.shelf.stock", "literal"),
+    ("etl/shelves.py", 9, "recall", R, "depot.ref.maker", "literal"),
+    ("etl/shelves.py", 9, "recall", W, "depot.shelf.recalled", "literal"),
+    ("marts/expiry.py", 2, "soon", R, "depot.shelf.stock", "literal"),
+    ("marts/expiry.py", 3, "soon", W, "depot.mart.expiring", "literal"),
+    ("marts/expiry.py", 6, "wanted", R, "depot.shelf.recalled", "literal"),
+    ("marts/expiry.py", 6, "wanted", R, "depot.shelf.stock", "literal"),
+    ("marts/expiry.py", 6, "wanted", W, "depot.mart.reorder", "literal"),
+    ("views/board.sql", 1, "board", W, "depot.mart.board", "literal"),
+    ("views/board.sql", 3, "board", R, "depot.mart.expiring", "literal"),
+    ("views/board.sql", 4, "board", R, "depot.mart.reorder", "literal"),
+    ("views/returns.sql", 2, None, R, "depot.shelf.recalled", "literal"),
 ]
 
 
 def project(spark, replace=None):
-    """Edges and sources of the small pipeline, optionally with one text replaced."""
+    """Edges and sources of the depot, optionally with one text replaced."""
     files = [(p, (replace or {}).get(p, t)) for p, t in SOURCES]
     sources = spark.createDataFrame(files, "file_path string, text string")
     symbols = spark.createDataFrame(
@@ -135,25 +139,25 @@ def test_whole_overlay(spark):
     )
     assert got == sorted((p, line, o or "", *rest) for p, line, o, *rest in EDGES)
     origin = {r["file_path"]: r["from_id"] for r in edges.where("owner_id is null").collect()}
-    assert origin == {"dash/revenue.sql": "repo:file:dash/revenue.sql"}
+    assert origin == {"views/returns.sql": "repo:file:views/returns.sql"}
 
 
-def test_graph_and_radius_of_the_pipeline(spark, rows):
+def test_graph_and_radius_of_the_depot(spark, rows):
     edges, _ = project(spark)
     graph = table_graph(edges)
-    s, u = "main.silver.sessions", "main.silver.users"
-    gold = [f"main.gold.{t}" for t in ("daily_revenue", "revenue_by_country", "user_retention")]
+    stock, recalled, maker = "depot.shelf.stock", "depot.shelf.recalled", "depot.ref.maker"
+    expiring, reorder, board = (f"depot.mart.{t}" for t in ("expiring", "reorder", "board"))
     assert rows(graph) == sorted(
-        [("main.bronze.raw_events", s), ("main.bronze.raw_users", u), (u, gold[0]), (u, gold[2])]
-        + [(s, g) for g in gold]
+        [("depot.inbox.scan", stock), (stock, recalled), (maker, recalled), (stock, expiring)]
+        + [(recalled, reorder), (stock, reorder), (expiring, board), (reorder, board)]
     )
-    starts = spark.createDataFrame([(s,), ("main.bronze.raw_events",)], "t string")
+    starts = spark.createDataFrame([(stock,), (maker,)], "t string")
     for hops in ((graph,), links(edges)):
         found = blast_radius(starts, *hops, ordered=True).orderBy("start_table", "bfs_rank").collect()
         order = {}
         for r in found:
             order.setdefault(r["start_table"], []).append(r["table_name"])
-        assert order == {s: gold, "main.bronze.raw_events": [s, *gold]}
+        assert order == {stock: [expiring, reorder, recalled, board], maker: [recalled, reorder, board]}
 
 
 def test_relation_records(spark, tmp_path):
@@ -165,9 +169,9 @@ def test_relation_records(spark, tmp_path):
     assert record.asDict(recursive=True) == {
         "record_type": "relation",
         "type": W,
-        "from_id": "jobs/gold.py::daily",
-        "to_id": "repo:Table:main.gold.daily_revenue",
+        "from_id": "etl/shelves.py::fill",
+        "to_id": "repo:Table:depot.shelf.stock",
         "to_kind": "table",
         "resolution": "inferred",
-        "evidence": {"file_path": "jobs/gold.py", "line": 6},
+        "evidence": {"file_path": "etl/shelves.py", "line": 7},
     }

@@ -1,6 +1,7 @@
 """Readers and sinks over temporary folders and tables."""
 
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import types as T
@@ -104,12 +105,12 @@ def test_pipeline_from_landing_to_dashboard(spark, tmp_path, rows):
     for _ in range(2):  # a second run replaces the first
         dashboard = pipeline.run(spark, str(tmp_path / "events"), str(tmp_path / "users"), at)
     day = datetime(2024, 1, 30).date()
-    assert [tuple(r) for r in dashboard.collect()][0] == (datetime(2024, 1, 31).date(), None, 0.07)
+    assert [tuple(r) for r in dashboard.collect()][0] == (datetime(2024, 1, 31).date(), None, Decimal("0.07"))
     assert rows(spark.table("gold.daily_revenue").where("day = '2024-01-30'")) == [
         (day, "free", 1.0, 1), (day, "pro", 4.0, 1),
     ]
     assert rows(spark.table("gold.user_retention")) == [("pro", "2024-01-01", 1)]
-    assert rows(spark.table("gold.revenue_by_country")) == [("DE", 0.07), ("FR", 4.0), (None, 1.0)]
+    assert rows(spark.table("gold.revenue_by_country")) == [("DE", Decimal("0.07")), ("FR", 4.0), (None, 1.0)]
     assert rows(spark.table("silver.users"), "user_id", "email") == [(1, "ann@x.org"), (2, "bo@x.org")]
     assert {f.name: f.dataType for f in spark.table("bronze.raw_users").schema}["id"] == T.StringType()
     assert spark.table("bronze.raw_events").where("_ingested_at = '2024-01-31'").count() == 6
@@ -120,3 +121,37 @@ def test_events_with_a_schema(spark, tmp_path):
     df = landing.read_events(spark, str(tmp_path), landing.EVENTS)
     assert df.schema == landing.EVENTS and df.count() == 6
     assert "_ingested_at" in landing.stamp(df).columns
+
+
+def test_unreadable_files_have_a_reason_and_failures_fail(tmp_path, spark, rows):
+    (tmp_path / "a.sql").write_text("SELECT 1 FROM t")
+    (tmp_path / "b.sql").write_bytes(b"\xff\xfe")
+    got = rows(files.read_source_files(spark, str(tmp_path), with_reason=True))
+    assert got == [("a.sql", "SELECT 1 FROM t", None), ("b.sql", None, "not UTF-8")]
+    assert rows(files.read_source_files(spark, str(tmp_path))) == [("a.sql", "SELECT 1 FROM t")]
+
+
+def test_a_read_is_tried_again_then_fails():
+    class Flaky:
+        def __init__(self, fails):
+            self.fails = fails
+
+        def open_input_stream(self, path):
+            self.fails -= 1
+            if self.fails >= 0:
+                raise OSError("timeout")
+            return open(__file__, "rb")
+
+    assert files._text_of(Flaky(2), "x")[1] is None
+    with pytest.raises(OSError):
+        files._text_of(Flaky(3), "x")
+
+
+def test_scratch_tables_can_be_released(spark):
+    from lakeimpact.session import Scratch
+
+    work = Scratch(spark, "released")
+    assert work.cut(spark.range(3), "rows").count() == 3
+    work.release()
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{work.root}/rows").count()

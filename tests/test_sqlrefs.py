@@ -18,14 +18,14 @@ CASES = {
     "insert overwrite": ("INSERT OVERWRITE g.c SELECT c FROM s.x GROUP BY c", {"s.x"}, {"g.c"}),
     "insert into table": ("INSERT INTO TABLE g.c VALUES (1)", set(), {"g.c"}),
     "joins": ("SELECT 1 FROM s.a x\nLEFT JOIN s.b y USING (k) JOIN c ON 1=1", {"s.a", "s.b", "c"}, set()),
-    "cte": ("WITH r AS (SELECT * FROM s.a) SELECT * FROM r", {"s.a"}, set()),
+    "cte": ("with busy as (select dock, n from port.calls where n > 9) select max(n) from busy", {"port.calls"}, set()),
     "comments and literals": (
-        "-- FROM dead.old\nSELECT 'FROM fake.q' AS n FROM s.a /* JOIN\n gone.t */",
-        {"s.a"},
+        "SELECT n, 'see JOIN port.none' /* UPDATE port.never */\nFROM port.calls\n-- INSERT INTO port.off\n",
+        {"port.calls"},
         set(),
     ),
-    "backticks and plain": ("SELECT * FROM `m`.`s`.`a` JOIN ev USING (id)", {"m.s.a", "ev"}, set()),
-    "unknown shape": ("SHOW TABLES IN m.s", set(), set()),
+    "backticks and plain": ("SELECT 1 FROM ships CROSS JOIN `port`.`old calls`", {"ships", "port.old"}, set()),
+    "unknown shape": ("GRANT SELECT ON port.calls TO crew", set(), set()),
     # Fixed against naive matching.
     "chained ctes": ("WITH a AS (SELECT 1 FROM t), b AS (SELECT * FROM a) SELECT * FROM b", {"t"}, set()),
     "recursive cte": ("WITH RECURSIVE n AS (SELECT 1 UNION ALL SELECT * FROM n) SELECT * FROM n", set(), set()),
