@@ -144,22 +144,14 @@ def test_scratch_folder_is_the_shared_one(spark, monkeypatch):
     if named:
         assert scratch_root(spark) == named.rstrip("/")
 
-    # A local session without the setting makes a folder of its own, once.
+    # Without the setting the folder lies below the warehouse, whatever the master.
     class Unset:
-        get = staticmethod(lambda *_: None)
-
-    class Local:
-        conf, sparkContext = Unset, spark.sparkContext  # noqa: N815
-
-    assert scratch_root(Local) == scratch_root(Local)
-
-    class Cluster:
         class conf:  # noqa: N801
-            get = staticmethod(lambda *_: None)
+            get = staticmethod(lambda key, *_: {"spark.sql.warehouse.dir": "store:/lake/"}.get(key))
 
         class sparkContext:  # noqa: N801
-            master = "yarn"
             getCheckpointDir = staticmethod(lambda: None)
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_root(Cluster)
+    for master in ("local[2]", "yarn"):
+        Unset.sparkContext.master = master
+        assert scratch_root(Unset) == "store:/lake/_scratch"
