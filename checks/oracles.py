@@ -266,13 +266,13 @@ def oracle_sql() -> dict[str, str]:
                    'literal' AS resolution, file_path AS evidence_file, line AS evidence_line FROM edges""",
         "table_graph": f"WITH {LAYERED} SELECT source, target FROM pairs",
         "blast_radius": f"""WITH RECURSIVE {LAYERED}, r AS (
-              SELECT DISTINCT table_name AS start_table, table_name, 0 AS depth FROM edges WHERE type = 'READS_TABLE'
+              SELECT DISTINCT table_name AS start_table, table_name, 0 AS depth FROM edges WHERE type = 'WRITES_TABLE'
               UNION SELECT start_table, target, depth + 1 FROM r JOIN pairs ON source = table_name)
             SELECT start_table, table_name, CAST(min(depth) AS INTEGER) AS depth FROM r
             WHERE start_table <> table_name GROUP BY ALL""",
         "blast_radius_order": f"""WITH RECURSIVE {LAYERED}, r AS (
               SELECT DISTINCT table_name AS start_table, table_name, 0 AS depth, [''] AS path
-              FROM edges WHERE type = 'READS_TABLE'
+              FROM edges WHERE type = 'WRITES_TABLE'
               UNION ALL SELECT start_table, target, depth + 1, list_append(path, target)
               FROM r JOIN pairs ON source = table_name),
             shortest AS (

@@ -122,18 +122,18 @@ def table_graph(spark, sf):
     return graph.table_graph(fx.layered_edges(spark, sf))
 
 
-def _all_read(edges):
-    return edges.where(F.col("type") == sqlrefs.READS).select("table_name").distinct()
+def _all_written(edges):
+    return edges.where(F.col("type") == sqlrefs.WRITES).select("table_name").distinct()
 
 
 def blast_radius(spark, sf):
     found = stored(fx.layered_edges(spark, sf), "edges")
-    return graph.blast_radius(_all_read(found), *graph.links(found))
+    return graph.blast_radius(_all_written(found), *graph.links(found))
 
 
 def blast_radius_order(spark, sf):
     found = stored(fx.layered_edges(spark, sf), "edges")
-    return graph.blast_radius(_all_read(found), graph.table_graph(found), ordered=True)
+    return graph.blast_radius(_all_written(found), *graph.links(found), ordered=True)
 
 
 def changed_entities(spark, sf):
@@ -155,8 +155,8 @@ def tables_written(spark, sf):
 def consumers(spark, sf):
     owned = stored(fx.owned_edges(spark, sf), "edges")
     written = stored(impact.tables_written(owned, _changed(spark, sf)), "written")
-    radius = graph.blast_radius(written.select("table_name").distinct(), *graph.links(owned))
-    return impact.consumers(owned, impact.affected_tables(written, radius))
+    affected = graph.reached_tables(written.select("table_name"), *graph.links(owned))
+    return impact.consumers(owned, affected)
 
 
 def columns_mentioned(spark, sf):
@@ -168,22 +168,21 @@ def dropped_columns(spark, sf):
     return columns.dropped_columns(fx.proposals(spark, sf), fx.live_catalog(spark, sf))
 
 
-def _readers(spark, sf):
-    return columns.reader_mentions(
-        fx.reader_edges(spark, sf), fx.reader_files(spark, sf), fx.live_catalog(spark, sf)
-    )
+def _readers(spark, sf, dropped):
+    gone = stored(dropped.select("table_name", "column_name").distinct(), "gone")
+    return columns.reader_mentions(fx.reader_edges(spark, sf), fx.reader_files(spark, sf), gone)
 
 
 def column_breaks(spark, sf):
-    return columns.column_breaks(dropped_columns(spark, sf), _readers(spark, sf))
+    dropped = stored(dropped_columns(spark, sf), "dropped")
+    return columns.column_breaks(dropped, _readers(spark, sf, dropped))
 
 
 def change_verdict(spark, sf):
     changes = fx.proposals(spark, sf).select("change_id", "table_name")
     catalog = fx.live_catalog(spark, sf)
-    statuses = impact.change_verdict(
-        changes, dropped_columns(spark, sf), _readers(spark, sf), catalog
-    )
+    dropped = stored(dropped_columns(spark, sf), "dropped")
+    statuses = impact.change_verdict(changes, dropped, _readers(spark, sf, dropped), catalog)
     return impact.verdicts(changes, statuses)
 
 

@@ -3,11 +3,14 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lakeimpact.operators.columns import (
     column_breaks,
     columns_mentioned,
     dropped_columns,
     reader_mentions,
+    word_lines,
 )
 
 CATALOG = "table_name string, column_name string, data_type string, ordinal int"
@@ -91,6 +94,25 @@ def test_reader_scopes_equal_a_search_per_scope(spark, rows):
     assert got == sorted(expected, key=repr)
 
 
+def test_no_text_is_shuffled(spark, rows):
+    """Words are found beside the scan of the files that scopes name, and only names go on."""
+    sources = spark.range(200).select(
+        F.concat(F.lit("f"), F.col("id"), F.lit(".py")).alias("file_path"),
+        F.concat(F.lit("plain words\nuse C1 here "), F.col("id")).alias("text"),
+    )
+    edges = spark.createDataFrame(
+        [("f7.py::f", "t", "READS_TABLE", "f7.py", 2, "literal", "f7.py::f", "f", 2, 2),
+         ("f9.py::g", "t", "READS_TABLE", "f9.py", 1, "literal", "f9.py::g", "g", 1, 1)], EDGE
+    )
+    names = catalog(spark, "t", ["c1", "c2"])
+    scopes = edges.select("file_path")
+    assert rows(word_lines(scopes, sources, names)) == [("f7.py", 2, "c1"), ("f9.py", 2, "c1")]
+    found = reader_mentions(edges, sources, names)
+    assert rows(found) == [("t", "c1", "f7.py::f")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "lines" not in plan
+
+
 def test_breaks_name_each_reader_once(spark, rows):
     dropped = spark.createDataFrame([(1, "t", "a", "int", 0), (2, "t", "b", "int", 1)], "change_id int, " + CATALOG)
     readers = spark.createDataFrame(

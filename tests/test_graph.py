@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lakeimpact.operators.graph import blast_radius, links, table_graph
+from lakeimpact.operators.graph import blast_radius, links, reached_tables, table_graph
 from lakeimpact.operators.ranking import rank_within
 
 
@@ -78,11 +78,25 @@ def test_random_graph_with_owners(spark, rows):
     assert orders(blast_radius(starts, *links(df), ordered=True)) == expected
     found = rows(blast_radius(starts, *links(df)), "start_table", "table_name")
     assert found == sorted(((k, t) for k, v in expected.items() for t in v), key=repr)
+    # For the set of starts: the same tables, once each, with the starts.
+    everything = {f"t{i}" for i in range(0, 62, 5)} | {t for v in expected.values() for t in v}
+    assert rows(reached_tables(starts, *links(df))) == sorted((t,) for t in everything)
 
 
 def test_no_starts(spark):
     starts, df = frames(spark, [("a", "b")], ["a"])
     assert blast_radius(starts.where("false"), df).count() == 0
+    assert blast_radius(starts.where("false"), df, ordered=True).count() == 0
+    assert reached_tables(starts.where("false"), df).count() == 0
+
+
+def test_a_reader_that_writes_nothing_is_no_link(spark, rows):
+    edges = spark.createDataFrame(
+        [("board", "t1", "READS_TABLE"), ("job", "t1", "READS_TABLE"), ("job", "t2", "WRITES_TABLE")],
+        "from_id string, table_name string, type string",
+    )
+    reads, writes = links(edges)
+    assert rows(reads) == [("t1", "job")] and rows(writes) == [("job", "t2")]
 
 
 def test_rank_within_a_group_that_fills_several_partitions(spark):
