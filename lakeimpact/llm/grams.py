@@ -39,15 +39,21 @@ def shape(body: bytes, orders: tuple[int, ...], bits: int) -> np.ndarray:
     return np.sqrt(found / every).astype(np.float32) if every else found.astype(np.float32)
 
 
+MOST_LABELS = 1000
+
+
 def labelled_sample(
     rows: DataFrame, label: str, doc_id: str, text: str, most: int, features: Callable[[bytes], np.ndarray]
 ) -> tuple[np.ndarray, np.ndarray, dict]:
     """Vectors and labels of about ``most`` rows per label, ``most`` x labels at most; row counts per label.
 
     Rows are chosen by a hash of their id and text, so that the same input gives the same sample;
-    whole texts are turned to vectors on the executors.
+    whole texts are turned to vectors on the executors. A model has a class per label, so more than
+    ``MOST_LABELS`` of them are refused.
     """
-    held = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    held = {r[0]: r[1] for r in rows.groupBy(label).count().take(MOST_LABELS + 1)}
+    if len(held) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}")
     if not held:
         return np.zeros((0, 0), np.float32), np.zeros(0, object), held
     share = F.lit(0.0)
@@ -64,10 +70,12 @@ def labelled_sample(
                 vectors = [features(b).astype(np.float16).tobytes() for b in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(vectors, pa.binary())], names=["label", "vector"])
 
-    got = chosen.mapInArrow(run, f"label {kind}, vector binary").limit(most * len(held)).toPandas()
-    got = got.sort_values(["label", "vector"], kind="stable")  # tasks finish in any order
-    x = np.stack([np.frombuffer(v, np.float16) for v in got["vector"]]).astype(np.float32) if len(got) else np.zeros((0, 0), np.float32)
-    return x, got["label"].to_numpy(), held
+    got = chosen.mapInArrow(run, f"label {kind}, vector binary").take(most * len(held))
+    got.sort(key=lambda r: (r["label"], bytes(r["vector"])))  # tasks finish in any order
+    x = np.stack([np.frombuffer(r["vector"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 0), np.float32)
+    y = np.empty(len(got), object)
+    y[:] = [r["label"] for r in got]
+    return x, y, held
 
 
 def descend(gradient: Callable[[np.ndarray], np.ndarray], w: np.ndarray, rate: float, steps: int) -> np.ndarray:

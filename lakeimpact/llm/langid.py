@@ -101,10 +101,7 @@ def identify(
     or nothing was learned. The score is the winner's share when codewords weigh exp(-loss);
     below ``clear`` the row is ambiguous. Ties go to the first language in code point order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: features x bits
-
     def rows_of(bodies):
-        model = shared.value
         known = [b is not None and bool(model.languages) and _LETTER.search(b.decode()) is not None for b in bodies]
         out = [(UNKNOWN, 0.0, None, True)] * len(bodies)
         if any(known):

@@ -132,7 +132,8 @@ def scan(
     learned = rows.filter("not held_out and label is not null")
     ready = work.cut(_with_odds(rows, learned, work), "ready")
     usable = ready.filter("not held_out and label is not null")
-    held_by = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
+    counts = usable.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    held_by = {label: n for label, n in enumerate(counts) if n}
     named = ["doc_id", "word_no", "run_no", F.col("length").cast("int").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "label", "held_out"]
     if len(held_by) < 2:
         only = float(next(iter(held_by), 0))
