@@ -31,7 +31,8 @@ TREES, DEPTH, MINIMUM = 16, 8, 3  # minimum: values that candidates of one tree
 VALUES = TREES * DEPTH
 WINDOW = 64  # neighbours looked at on each side
 # Rounds, and how many nodes stand for a large component in the forest after each.
-ROUNDS = {"first": 32, "second": 4096, "third": 0}
+WHOLE = 1 << 62
+ROUNDS = {"first": 32, "second": 4096, "third": WHOLE, "rest": WHOLE}
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -235,9 +236,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = work.cut(real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
 
     plain = nodes.select("node", "n", "sig", F.col("node").alias("component"))
-    sets, links, comps, forest = None, None, None, plain
-    for name in ROUNDS:
-        last = not ROUNDS[name]
+    sets, links, comps, forest, large = None, None, None, plain, None
+    for name, central in ROUNDS.items():
+        last = central == WHOLE
         rows = _tree_rows(forest, work, name)
         near = _candidates(rows, work, name, links is not None, 0.6, 0.68 if last else 2.0, 2 if last else 1)
         near = work.cut(near.distinct(), f"{name}-candidates")
@@ -247,17 +248,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             seen = near.union(near.select("b", "a", "likeness"))
             chosen = seen.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b"))
         count = work.write(chosen, f"{name}-chosen")
-        if not count:
+        if not count and (large is None or large.isEmpty()):
             break
-        chosen = work.read(f"{name}-chosen", chosen.schema)
-        if sets is None:  # every node that has a candidate is an "a" of the first round
-            had = chosen.select(F.col("a").alias("node"))
-            sets = work.cut(_sets(docs, had, doc_id, text, k), "sets")
-        found = _confirmed(chosen, sets, count, work, name)
-        links = found if links is None else links.union(found)
-        comps = components(links, work, name)
-        if not last:
-            forest = _thinned(plain, had, links, comps, work, name, ROUNDS[name])
+        if count:
+            chosen = work.read(f"{name}-chosen", chosen.schema)
+            if sets is None:  # every node that has a candidate is an "a" of the first round
+                had = chosen.select(F.col("a").alias("node"))
+                sets = work.cut(_sets(docs, had, doc_id, text, k), "sets")
+            found = _confirmed(chosen, sets, count, work, name)
+            links = found if links is None else links.union(found)
+            comps = components(links, work, name)
+        if last and large.isEmpty():
+            break
+        forest, large = _thinned(plain, had, links, comps, work, name, central)
     labels = nodes.select("fp1", "fp2", "n", "node")
     if comps is not None:
         labels = labels.join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
@@ -274,15 +277,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _thinned(plain: DataFrame, had: DataFrame, links: DataFrame, comps: DataFrame, work: Scratch, name: str, central: int) -> DataFrame:
-    """The nodes of the next forest: of those that had candidates all in small components, central ones in large.
+def _thinned(
+    plain: DataFrame, had: DataFrame, links: DataFrame, comps: DataFrame, work: Scratch, name: str, central: int
+) -> tuple[DataFrame, DataFrame]:
+    """The nodes of the next forest, and the components that were thinned for it.
 
-    Central are the nodes with most confirmed links, one for each of ``central`` shares of the ids.
+    Of the nodes that had candidates, all in small components and central ones in large: those with
+    most confirmed links, one for each of ``central`` shares of the ids.
     """
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     known = had.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = work.cut(known.join(degree, "node", "left").fillna(0, ["degree"]), f"{name}-known")
-    size = stored(known.groupBy("component").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > WINDOW), "large")
+    size = stored(known.groupBy("component").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > max(WINDOW, central)), "large")
     marked = work.cut(known.join(size, "component", "left"), f"{name}-marked")
     middle = (
         marked.filter("held is not null")
@@ -290,4 +296,4 @@ def _thinned(plain: DataFrame, had: DataFrame, links: DataFrame, comps: DataFram
         .agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("node"))
     )
     chosen = marked.filter("held is null").select("node", "component").union(middle.select("node", "component"))
-    return work.cut(plain.drop("component").join(work.cut(chosen, f"{name}-kept"), "node"), f"{name}-forest")
+    return work.cut(plain.drop("component").join(work.cut(chosen, f"{name}-kept"), "node"), f"{name}-forest"), size

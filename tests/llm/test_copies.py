@@ -87,6 +87,10 @@ def test_near_copies_equal_brute_force(documents):
             copy[draw.randrange(len(copy))] = draw.choice(VOCABULARY)
         rows.append((n, " ".join(copy), "en", "a"))
         n += 1
+    check_near(documents, rows)
+
+
+def check_near(documents, rows):
     ids = [r[0] for r in rows if r[0] is not None]
     sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
     parent = {i: i for i in ids}
@@ -111,6 +115,23 @@ def test_near_copies_equal_brute_force(documents):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), r.doc_id == root(r.doc_id))
 
 
+def test_texts_like_one_member_of_a_thinned_group(documents, monkeypatch):
+    """Few nodes stand for a large group in the second and third round; the last one has them all."""
+    monkeypatch.setattr(near_dup, "ROUNDS", {"first": 2, "second": 3, "third": near_dup.WHOLE, "rest": near_dup.WHOLE})
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        member = list(base)
+        member[5 + i] = f"m{i}"
+        rows.append((1000 + i, " ".join(member), "en", "a"))
+        if i % 4 == 0:  # 0.75 or more of the union with this member only
+            like = list(member)
+            for at in (0, 1, 2, 116, 117, 118, 119) if i % 8 else (30 if i > 40 else 60, 110):
+                like[at] = f"x{i}-{at}"
+            rows.append((i, " ".join(like), "en", "a"))
+    check_near(documents, rows)
+
+
 def test_components_of_chains_and_stars(spark, rows):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (300, 299), (299, 300)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
