@@ -134,9 +134,16 @@ def python_symbols(spark, sf) -> DataFrame:
     )
 
 
-def no_symbols(spark) -> DataFrame:
-    return spark.createDataFrame(
-        [], "id string, name string, file_path string, start_line int, end_line int"
+def statement_symbols(spark, sf) -> DataFrame:
+    """Symbols around SQL references: a third of the files has two nested ones, a third one, a third none."""
+    key = F.col("o_orderkey")
+    spans = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(1).alias("start_line"), F.lit(end).alias("end_line"))
+                      for name, end in (("all", 9), ("head", 2))])
+    return (
+        spread(table(spark, sf, "orders").select("o_orderkey"))
+        .where(key % 3 != 2)
+        .select(text("q/", key, ".sql").alias("file_path"), F.inline(F.slice(spans, 1, F.when(key % 3 == 0, 2).otherwise(1))))
+        .select(F.concat("file_path", F.lit("::"), "name").alias("id"), "file_path", "name", "start_line", "end_line")
     )
 
 

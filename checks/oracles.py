@@ -94,10 +94,14 @@ refs AS (
   WHERE lower(table_name) NOT IN ('select', 'values', 'lateral', 'unnest', 'table', 'set')
     AND NOT list_contains(ctes, lower(table_name)))"""
 SQL_EDGES = """
+sql_lines AS (
+  SELECT *, CAST(regexp_extract(id, '[0-9]+') AS BIGINT) % 3 AS kind,
+         CAST(length(part) - length(replace(part, chr(10), '')) + 1 AS INTEGER) AS line
+  FROM (SELECT *, substr(text, 1, instr(text, split_part(table_name, '.', -1)) - 1) AS part FROM refs)),
 sql_edges AS (
-  SELECT 'k:file:' || id AS from_id, table_name, type, id AS file_path,
-         CAST(length(part) - length(replace(part, chr(10), '')) + 1 AS INTEGER) AS line, 'literal' AS resolution
-  FROM (SELECT *, substr(text, 1, instr(text, split_part(table_name, '.', -1)) - 1) AS part FROM refs))"""
+  SELECT CASE WHEN kind = 2 THEN 'k:file:' || id WHEN kind = 0 AND line <= 2 THEN id || '::head' ELSE id || '::all' END AS from_id,
+         table_name, type, id AS file_path, line, 'literal' AS resolution
+  FROM sql_lines)"""
 
 # What the templates say, written down by hand: number, name, type, line, resolution.
 CTE_EXPECTED = [
@@ -347,4 +351,6 @@ def oracle_sql() -> dict[str, str]:
             FROM good_or_bad g LEFT JOIN per ON per.change_id = g.k LEFT JOIN finding ON finding.change_id = g.k""",
     }
     sql["sessions_from_landing"] = sql["silver_sessions"]
+    sql["users_from_landing"] = sql["silver_users"]
+    sql["revenue_tables"] = sql["gold_daily_revenue"]
     return sql

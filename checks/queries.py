@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakeimpact.operators import checkpoints as ck
 from lakeimpact.operators import columns, graph, impact, medallion, overlay, pyrefs, sqlrefs
 from lakeimpact.plans import audit as auditing
 from lakeimpact.session import Scratch, apply_settings, stored
-from lakeimpact.sources import landing, records
+from lakeimpact.sources import landing, records, tables
 
 from . import fixtures as fx
 
@@ -82,7 +84,7 @@ def known_table_refs(spark, sf):
 
 
 def sql_file_edges(spark, sf):
-    return overlay.sql_file_edges(fx.statements(spark, sf), fx.no_symbols(spark), "k").select(*EDGE)
+    return overlay.sql_file_edges(fx.statements(spark, sf), fx.statement_symbols(spark, sf), "k").select(*EDGE)
 
 
 def python_table_refs(spark, sf):
@@ -97,7 +99,8 @@ def python_file_edges(spark, sf):
 
 def edges(spark, sf):
     sources = fx.statements(spark, sf).unionByName(fx.python_files(spark, sf))
-    return overlay.build_edges(sources, fx.python_symbols(spark, sf), "k").select(*EDGE)
+    symbols = fx.python_symbols(spark, sf).unionByName(fx.statement_symbols(spark, sf))
+    return overlay.build_edges(sources, symbols, "k").select(*EDGE)
 
 
 def ref_owner(spark, sf):
@@ -206,7 +209,7 @@ def latest_checkpoint(spark, sf):
 
 
 def checkpoint_tables(spark, sf):
-    found = overlay.sql_file_edges(fx.statements(spark, sf), fx.no_symbols(spark))
+    found = overlay.sql_file_edges(fx.statements(spark, sf), fx.statement_symbols(spark, sf))
     return ck.checkpoint_tables(_checkpoints(spark, sf), found, ["branch", "id"])
 
 
@@ -231,6 +234,26 @@ def sessions_from_landing(spark, sf):
     return _cents(medallion.clean_sessions(read, fx.AS_OF, window, ("event_id",)), "revenue")
 
 
+def users_from_landing(spark, sf):
+    """Landing files of all users as CSV, read back by schema, to users."""
+    raw = fx.raw_users(spark, sf)
+    work = Scratch(spark, "landing")
+    raw.write.option("header", True).csv(f"{work.root}/users")
+    users = medallion.clean_users(landing.read_users(spark, f"{work.root}/users"))
+    return users.withColumn("signup_date", F.col("signup_date").cast("date"))  # CSV has text only
+
+
+def revenue_tables(spark, sf):
+    """Daily revenue through the table sinks: another table's rows, replaced by a select, overwritten by position."""
+    name = f"revenue_{uuid.uuid4().hex}"
+    users = _users(spark, sf)
+    daily = medallion.daily_revenue(_sessions(spark, sf), users)
+    tables.overwrite_table(users, name)
+    tables.replace_table_as(daily.withColumn("revenue", -F.col("revenue")), name)
+    tables.insert_overwrite(daily, name)
+    return _cents(spark.table(name), "revenue")
+
+
 REGISTERED = (
     bronze_ingest, silver_sessions, silver_sessions_month, silver_users, gold_daily_revenue,
     gold_user_retention, gold_revenue_by_country, dashboard_revenue, sql_table_refs,
@@ -239,6 +262,7 @@ REGISTERED = (
     blast_radius, blast_radius_order, changed_entities, tables_written, consumers,
     columns_mentioned, dropped_columns, column_breaks, change_verdict, checkpoints_normalized,
     latest_checkpoint, checkpoint_tables, audit_summary, sessions_from_landing,
+    users_from_landing, revenue_tables,
 )
 
 

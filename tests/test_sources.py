@@ -155,3 +155,12 @@ def test_scratch_tables_can_be_released(spark):
     work.release()
     with pytest.raises(Exception):
         spark.read.parquet(f"{work.root}/rows").count()
+
+
+def test_columns_of_an_information_schema(spark, rows):
+    listed = spark.createDataFrame(
+        [("main", "shelf", "stock", "Item", "BIGINT", 0, "x"), ("main", "shelf", "stock", "at", "DATE", 1, None)],
+        "table_catalog string, table_schema string, table_name string, column_name string, data_type string, ordinal_position long, note string",
+    )
+    got = rows(tables.schema_table_columns(listed))
+    assert got == [("main.shelf.stock", "Item", "bigint", 0), ("main.shelf.stock", "at", "date", 1)]
