@@ -9,9 +9,12 @@
 3. The first round confirms each node's most similar candidate. What that joins needs no further
    comparison with one another: the next forest holds the nodes of small components and a bounded
    number of central nodes for each large one, which thins dense regions out, and looks only for
-   candidates across components. The second round confirms the most similar ones again, the last
-   one everything that is similar enough.
-4. The components of the confirmed links are the groups.
+   candidates across components. The second round confirms the most similar ones again. These
+   rounds only join what is cheap to find.
+4. The last round has no window: in every tree, all nodes that share the minimal prefix are compared
+   across components, large regions in blocks. First a spanning forest of the likely pairs is
+   confirmed, then every pair that is left between two components.
+5. The components of the confirmed links are the groups.
 """
 
 from __future__ import annotations
@@ -30,9 +33,12 @@ from .components import components
 TREES, DEPTH, MINIMUM = 16, 8, 3  # minimum: values that candidates of one tree share at least
 VALUES = TREES * DEPTH
 WINDOW = 64  # neighbours looked at on each side
-# Rounds, and how many nodes stand for a large component in the forest after each.
+BLOCK = 1024  # rows of a large region that are compared with another block at a time
+CELL_PAIRS = 500  # pairs confirmed together
+# Rounds, and how many nodes stand for a large component in the forest after each. The first round
+# with WHOLE compares whole regions and is the last.
 WHOLE = 1 << 62
-ROUNDS = {"first": 32, "second": 4096, "third": WHOLE, "rest": WHOLE}
+ROUNDS = {"first": 32, "second": 4096, "third": WHOLE}
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -185,14 +191,141 @@ def _candidates(rows: DataFrame, work: Scratch, name: str, across: bool, least:
     return seen.filter("a is not null").select("a", "b", "likeness").union(borders)
 
 
+def _spanning(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Places of the pairs of a spanning forest of the components x and y, the likeliest first."""
+    order = np.argsort(-e, kind="stable")
+    known, ends = np.unique(np.r_[x[order], y[order]], return_inverse=True)
+    x, y = ends[: len(order)], ends[len(order) :]
+    label, kept = np.arange(len(known)), []
+    while True:
+        left = np.flatnonzero(label[x] != label[y])
+        if not len(left):
+            return order[np.concatenate(kept)] if kept else np.empty(0, np.int64)
+        places = np.repeat(left, 2)  # the best pair of every component comes first
+        _, first = np.unique(np.c_[label[x[left]], label[y[left]]].ravel(), return_index=True)
+        best = np.unique(places[first])
+        kept.append(best)
+        for one, two in zip(x[best], y[best]):
+            label[label == label[two]] = label[one]
+
+
+def _across(tree, region, side, node, n, sig, component, every: bool):
+    """Pairs of different components that share a region and have an estimate of 0.6 or more.
+
+    Side 0 is compared with side 1, and rows of side 2 with one another. A pair is found in the first of
+    its trees only. Without ``every``, a spanning forest over the components is enough.
+    """
+    rows = len(node)
+    values = np.frombuffer(b"".join(sig), ">u2").astype(np.uint16).reshape(rows, VALUES)
+    by_value = np.ascontiguousarray(values.T)
+    heads = values.reshape(rows, TREES, DEPTH)[:, :, :MINIMUM]
+    found = [], [], []
+    bounds = np.r_[0, np.flatnonzero(region[1:] != region[:-1]) + 1, rows]
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        at = np.arange(start, end)
+        one, two = at[side[at] != 1], at[side[at] != 0]
+        for low in range(0, len(one), 64):
+            a = one[low : low + 64]
+            small, great = np.minimum(n[a][:, None], n[two]), np.maximum(n[a][:, None], n[two])
+            open_ = (component[a][:, None] != component[two]) & (4 * small >= 3 * great)
+            open_ &= (side[a][:, None] != 2) | (a[:, None] < two)
+            i, j = np.nonzero(open_)
+            if not len(i):
+                continue
+            if 8 * len(i) > open_.size:
+                same = np.zeros(open_.shape, np.uint8)
+                for v in by_value:
+                    same += v[a][:, None] == v[two]
+                e = same[i, j] / VALUES
+            else:
+                e = (values[a[i]] == values[two[j]]).mean(axis=1)
+            near = e >= 0.6
+            i, j, e = a[i[near]], two[j[near]], e[near]
+            shared = (heads[i] == heads[j]).all(axis=2).argmax(axis=1) == tree[i]
+            for out, part in zip(found, (i[shared], j[shared], e[shared])):
+                out.append(part)
+    if not found[0]:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    i, j, e = map(np.concatenate, found)
+    if not every and len(i):
+        kept = _spanning(component[i], component[j], e)
+        i, j, e = i[kept], j[kept], e[kept]
+    return node[i], node[j], e
+
+
+def _in_regions(nodes: DataFrame, work: Scratch, name: str, every: bool) -> DataFrame:
+    """(a, b, likeness) of all pairs across components in all regions of all trees.
+
+    Regions of one component need no comparison. Small regions are compared as they are, several to a
+    cell; large ones are cut into blocks, each pair of blocks being a cell. A component with
+    many rows in a region has blocks of its own, which are not compared with one another.
+    """
+    width = 2 * DEPTH
+    keyed = nodes.select(
+        "node",
+        "n",
+        "component",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(TREES - 1)),
+                lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring(F.col("sig"), t * width + 1, F.lit(2 * MINIMUM))).alias("region")),
+            )
+        ).alias("at"),
+    ).select("node", "n", "component", "at.*")
+    regions = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    regions = stored(regions.filter("low <> high").select("region", "held"), "open-regions")
+    live = keyed.join(regions, "region")
+    rows = work.write(live, f"{name}-live")
+    live = work.read(f"{name}-live", live.schema)
+    plain = ["tree", "region", "node", "n", "component"]
+    small = live.filter(F.col("held") <= BLOCK).select(
+        *plain, F.pmod(F.xxhash64("region"), F.lit(max(64, rows // 2000))).alias("cell"), F.lit(2).alias("side")
+    )
+
+    large = live.filter(F.col("held") > BLOCK)
+    own = stored(large.groupBy("region", "component").agg(F.count(F.lit(1)).alias("mine")).filter(F.col("mine") > BLOCK // 2), "own-blocks")
+    share = lambda key, count: F.pmod(F.xxhash64(key), F.ceil(F.col(count) / BLOCK))
+    large = large.join(own, ["region", "component"], "left").select(
+        *plain,
+        F.when(F.col("mine").isNotNull(), F.col("component")).alias("only"),
+        F.when(F.col("mine").isNotNull(), F.xxhash64("region", "component", share("node", "mine")))
+        .otherwise(F.xxhash64("region", share("component", "held")))
+        .alias("block"),
+    )
+    large = work.cut(large, f"{name}-blocks")
+    blocks = stored(large.groupBy("region", "block", "only").agg(F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
+    other = blocks.select("region", *[F.col(c).alias(f"{c}2") for c in ("block", "only", "low", "high")])
+    pairs = blocks.join(other, "region").filter(
+        "block <= block2 and not (only <=> only2 and only is not null) and 4 * high >= 3 * low2 and 4 * high2 >= 3 * low"
+    )
+    cell = F.xxhash64("block", "block2").alias("cell")
+    sides = pairs.select("region", "block", cell, F.when(F.col("block") == F.col("block2"), 2).otherwise(0).alias("side"))
+    sides = sides.union(pairs.filter("block <> block2").select("region", "block2", cell, F.lit(1)))
+    dealt = large.join(stored(sides, "sides"), ["region", "block"]).select(*plain, "cell", "side")
+
+    dealt = work.cut(small.union(dealt), f"{name}-dealt")
+    whole = dealt.join(nodes.select("node", "sig"), "node")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["region", "side", "node"])
+        columns = [frame[c].to_numpy() for c in ("tree", "region", "side", "node", "n")]
+        a, b, e = _across(*columns, frame["sig"].tolist(), frame["component"].to_numpy(), every)
+        return pd.DataFrame({"a": a, "b": b, "likeness": e})
+
+    return whole.groupBy("cell").applyInPandas(compare, "a bigint, b bigint, likeness double")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, count: int, work: Scratch, name: str, share: int = 75) -> DataFrame:
     """The pairs whose full sets overlap by ``share`` percent of their union.
 
-    Pairs are dealt by their first end into cells of about 500; a set travels once to each
-    cell that needs it, however many of its pairs are there.
+    Pairs are dealt by their first end into cells of about 500, those of a busy end to several; a set
+    travels once to each cell that needs it, however many of its pairs are there.
     """
-    cells = max(64, count // 500)
-    dealt = work.cut(pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(cells)).alias("cell")), f"{name}-pairs")
+    cells = max(64, count // CELL_PAIRS)
+    busy = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > CELL_PAIRS), "busy")
+    salt = F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("held") / CELL_PAIRS)), F.lit(0))
+    spread = pairs.join(busy, "a", "left").select("a", "b", F.pmod(F.xxhash64("a", salt), F.lit(cells)).alias("cell"))
+    dealt = work.cut(spread, f"{name}-pairs")
     ends = dealt.select("cell", F.col("a").alias("node")).union(dealt.select("cell", "b")).distinct()
     brought = ends.join(sets, "node").select(F.col("cell").alias("at"), "node", "members")
 
@@ -236,31 +369,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = work.cut(real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
 
     plain = nodes.select("node", "n", "sig", F.col("node").alias("component"))
-    sets, links, comps, forest, large = None, None, None, plain, None
+    sets, links, comps, forest = None, None, None, plain
     for name, central in ROUNDS.items():
-        last = central == WHOLE
+        if central == WHOLE:
+            break
         rows = _tree_rows(forest, work, name)
-        near = _candidates(rows, work, name, links is not None, 0.6, 0.68 if last else 2.0, 2 if last else 1)
+        near = _candidates(rows, work, name, links is not None, 0.6, 2.0, 1)
         near = work.cut(near.distinct(), f"{name}-candidates")
-        if last:
-            chosen = near.select("a", "b")
-        else:  # the most similar one of every node
-            seen = near.union(near.select("b", "a", "likeness"))
-            chosen = seen.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b"))
+        # the most similar one of every node
+        seen = near.union(near.select("b", "a", "likeness"))
+        chosen = seen.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b"))
         count = work.write(chosen, f"{name}-chosen")
-        if not count and (large is None or large.isEmpty()):
+        if not count:
             break
-        if count:
+        chosen = work.read(f"{name}-chosen", chosen.schema)
+        if sets is None:  # every node that has a candidate is an "a" of the first round
+            had = chosen.select(F.col("a").alias("node"))
+            sets = work.cut(_sets(docs, had, doc_id, text, k), "sets")
+        found = _confirmed(chosen, sets, count, work, name)
+        links = found if links is None else links.union(found)
+        comps = components(links, work, name)
+        forest = _thinned(plain, had, links, comps, work, name, central)
+    if sets is not None:
+        known = plain.drop("component").join(had, "node")
+        for name in ("spanning", "every"):
+            forest = known.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            chosen = _in_regions(work.cut(forest, f"{name}-forest"), work, name, name == "every").select("a", "b")
+            count = work.write(chosen, f"{name}-chosen")
+            if not count:
+                break
             chosen = work.read(f"{name}-chosen", chosen.schema)
-            if sets is None:  # every node that has a candidate is an "a" of the first round
-                had = chosen.select(F.col("a").alias("node"))
-                sets = work.cut(_sets(docs, had, doc_id, text, k), "sets")
-            found = _confirmed(chosen, sets, count, work, name)
-            links = found if links is None else links.union(found)
+            links = links.union(_confirmed(chosen, sets, count, work, name))
             comps = components(links, work, name)
-        if last and large.isEmpty():
-            break
-        forest, large = _thinned(plain, had, links, comps, work, name, central)
     labels = nodes.select("fp1", "fp2", "n", "node")
     if comps is not None:
         labels = labels.join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
@@ -279,8 +419,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _thinned(
     plain: DataFrame, had: DataFrame, links: DataFrame, comps: DataFrame, work: Scratch, name: str, central: int
-) -> tuple[DataFrame, DataFrame]:
-    """The nodes of the next forest, and the components that were thinned for it.
+) -> DataFrame:
+    """The nodes of the next forest.
 
     Of the nodes that had candidates, all in small components and central ones in large: those with
     most confirmed links, one for each of ``central`` shares of the ids.
@@ -296,4 +436,4 @@ def _thinned(
         .agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("node"))
     )
     chosen = marked.filter("held is null").select("node", "component").union(middle.select("node", "component"))
-    return work.cut(plain.drop("component").join(work.cut(chosen, f"{name}-kept"), "node"), f"{name}-forest"), size
+    return work.cut(plain.drop("component").join(work.cut(chosen, f"{name}-kept"), "node"), f"{name}-forest")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,55 @@ def test_texts_like_one_member_of_a_thinned_group(documents, monkeypatch):
     check_near(documents, rows)
 
 
+def one_member_rows(members):
+    """A large group of copies with one edit each, and texts that are like one member only."""
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(members):
+        member = list(base)
+        member[5 + i % 110] = f"m{i}"
+        rows.append((10000 + i, " ".join(member), "en", "a"))
+        if i % 40 == 0:
+            like = list(member)
+            for at in (0, 1, 2, 60 if i % 110 > 70 else 90, 117, 118, 119):
+                like[at] = f"x{i}-{at}"
+            rows.append((i, " ".join(like), "en", "a"))
+    return rows
+
+
+def test_regions_in_blocks(documents, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(near_dup, "CELL_PAIRS", 20, raising=False)
+    check_near(documents, one_member_rows(240))
+
+
+def with_signatures(spark, monkeypatch, trees):
+    """Signatures are taken from (doc_id: the values of each tree) instead of the texts."""
+    real = near_dup._sketches
+    given = [(i, np.tile(np.array(v, ">u2"), near_dup.TREES).tobytes()) for i, v in trees.items()]
+    given = spark.createDataFrame(given, "doc_id bigint, sig binary")
+    monkeypatch.setattr(near_dup, "_sketches", lambda *a: real(*a).drop("sig").join(given, "doc_id"))
+
+
+def like_pair(x, y):
+    """Two texts that overlap by more than 0.75."""
+    words = [f"c{i}" for i in range(60)]
+    return [(x, " ".join(words), "en", "a"), (y, " ".join(words[:-2] + ["other", "end"]), "en", "a")]
+
+
+def test_texts_beyond_the_window(spark, documents, monkeypatch):
+    """More rivals than the window holds stand between two texts in every tree."""
+    rows, trees = like_pair(1, 2), {1: [7, 7, 7, 0, 5, 5, 5, 5], 2: [7, 7, 7, 60000, 5, 5, 5, 5]}
+    for i in range(200):  # in twos that have each other as candidates, so none is left out later
+        rows.append((100 + i, " ".join(f"r{i}-{j}" for j in range(60)), "en", "a"))
+        trees[100 + i] = [7, 7, 7, 100 + i // 2, *[1000 + i // 2] * 4]
+    for i in (1, 2):
+        rows.append((10 + i, " ".join(f"n{i}-{j}" for j in range(60)), "en", "a"))
+        trees[10 + i] = [*trees[i][:4], 5, 5, 9, 9]
+    with_signatures(spark, monkeypatch, trees)
+    check_near(documents, rows)
+
+
 def test_components_of_chains_and_stars(spark, rows):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (300, 299), (299, 300)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
