@@ -4,8 +4,9 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
+from lakeimpact.operators.checkpoints import checkpoints_normalized, latest_checkpoint
 from lakeimpact.plans import pipeline
 from lakeimpact.sources import files, landing, records, tables
 
@@ -56,6 +57,21 @@ def test_symbol_without_id_fails(spark):
         records.symbols_from_ndjson(df).collect()
 
 
+def test_oversized_records_fail(spark):
+    """Valid JSON with a string beyond what the reader takes does not pass for malformed text."""
+    note = F.concat(F.lit('"note":"'), F.repeat(F.lit("x"), F.col("n")), F.lit('"'))
+    sizes = spark.createDataFrame([(21_000_000,)], "n int")
+    line = sizes.select(F.concat(F.lit('{"record_type":"symbol","id":"a",'), note, F.lit("}")).alias("value"))
+    with pytest.raises(Exception, match="symbol line of 210000.. bytes"):
+        records.symbols_from_ndjson(line).collect()
+    listed = F.concat(F.lit('[{"id":"k",'), note, F.lit("}]"))
+    with pytest.raises(Exception, match="checkpoint list of 210000.. bytes"):
+        found = checkpoints_normalized(records.checkpoint_envelopes(sizes.select(F.lit("b").alias("branch"), listed.alias("payload"))))
+        latest_checkpoint(found).collect()
+    broken = sizes.select(F.lit("{oops").alias("value"))
+    assert records.symbols_from_ndjson(broken).collect() == []
+
+
 def test_columns_of_tables(spark, rows):
     spark.sql("CREATE DATABASE IF NOT EXISTS cat")
     spark.sql("DROP TABLE IF EXISTS cat.t")
