@@ -354,6 +354,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) ->
     return bodies.mapInArrow(run, "node bigint, members binary")
 
 
+def _more_sets(
+    docs: DataFrame, chosen: DataFrame, sets: DataFrame | None, held: DataFrame | None, work: Scratch, name: str, doc_id: str, text: str, k: int
+) -> tuple[DataFrame, DataFrame]:
+    """The sets with those of the chosen nodes that were not held so far, and the nodes held now."""
+    wanted = chosen.select(F.col("a").alias("node")).union(chosen.select("b")).distinct()
+    if held is not None:
+        wanted = wanted.join(held, "node", "left_anti")
+    count = work.write(wanted, f"{name}-wanted")
+    if held is not None and not count:
+        return sets, held
+    wanted = work.read(f"{name}-wanted", wanted.schema)
+    more = work.cut(_sets(docs, wanted, doc_id, text, k), f"{name}-sets")
+    return (more, wanted) if sets is None else (sets.union(more), held.union(wanted))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -369,7 +384,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = work.cut(real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
 
     plain = nodes.select("node", "n", "sig", F.col("node").alias("component"))
-    sets, links, comps, forest = None, None, None, plain
+    sets, held, had, links, comps, forest = None, None, None, None, None, plain
     for name, central in ROUNDS.items():
         if central == WHOLE:
             break
@@ -383,24 +398,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not count:
             break
         chosen = work.read(f"{name}-chosen", chosen.schema)
-        if sets is None:  # every node that has a candidate is an "a" of the first round
-            had = chosen.select(F.col("a").alias("node"))
-            sets = work.cut(_sets(docs, had, doc_id, text, k), "sets")
+        had = chosen.select(F.col("a").alias("node")) if had is None else had  # an "a" of the first round: all that have a candidate
+        sets, held = _more_sets(docs, chosen, sets, held, work, name, doc_id, text, k)
         found = _confirmed(chosen, sets, count, work, name)
         links = found if links is None else links.union(found)
         comps = components(links, work, name)
         forest = _thinned(plain, had, links, comps, work, name, central)
-    if sets is not None:
-        known = plain.drop("component").join(had, "node")
-        for name in ("spanning", "every"):
-            forest = known.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            chosen = _in_regions(work.cut(forest, f"{name}-forest"), work, name, name == "every").select("a", "b")
-            count = work.write(chosen, f"{name}-chosen")
-            if not count:
-                break
-            chosen = work.read(f"{name}-chosen", chosen.schema)
-            links = links.union(_confirmed(chosen, sets, count, work, name))
-            comps = components(links, work, name)
+    for name in ("spanning", "every"):  # all nodes, also those that had no candidate so far
+        forest = plain
+        if comps is not None:
+            forest = plain.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        chosen = _in_regions(work.cut(forest, f"{name}-forest"), work, name, name == "every").select("a", "b")
+        count = work.write(chosen, f"{name}-chosen")
+        if not count:
+            break
+        chosen = work.read(f"{name}-chosen", chosen.schema)
+        sets, held = _more_sets(docs, chosen, sets, held, work, name, doc_id, text, k)
+        found = _confirmed(chosen, sets, count, work, name)
+        links = found if links is None else links.union(found)
+        comps = components(links, work, name)
     labels = nodes.select("fp1", "fp2", "n", "node")
     if comps is not None:
         labels = labels.join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))

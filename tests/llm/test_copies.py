@@ -182,6 +182,14 @@ def test_texts_beyond_the_window(spark, documents, monkeypatch):
     check_near(documents, rows)
 
 
+def test_texts_without_a_candidate_in_the_first_round(spark, documents, monkeypatch):
+    rows, trees = like_pair(1, 2), {1: [7, 7, 7, 0, 5, 5, 5, 5], 2: [7, 7, 7, 60000, 5, 5, 5, 5]}
+    rows += [(100 + i, " ".join(f"r{i}-{j}" for j in range(60)), "en", "a") for i in range(80)]
+    trees |= {100 + i: [7, 7, 7, 100 + i, *[1000 + i] * 4] for i in range(80)}
+    with_signatures(spark, monkeypatch, trees)
+    check_near(documents, rows)
+
+
 def test_components_of_chains_and_stars(spark, rows):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (300, 299), (299, 300)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
