@@ -105,7 +105,7 @@ def _tree_rows(nodes: DataFrame, work: Scratch, name: str) -> DataFrame:
     return work.cut(rows, f"{name}-rows")
 
 
-def _pairs_of(tree, label, node, n, sig, component, start, across: bool, least: float, sure: float, best: int):
+def _pairs_of(tree, label, node, n, sig, component, start, across: bool, least: float, best: int):
     """Candidate pairs of sorted rows; each row from ``start`` on looks back over WINDOW rows."""
     rows = len(node)
     values = np.frombuffer(b"".join(sig), ">u2").reshape(rows, VALUES) if rows else np.zeros((0, VALUES))
@@ -133,8 +133,8 @@ def _pairs_of(tree, label, node, n, sig, component, start, across: bool, least:
     if not found_i:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     i, j, e = map(np.concatenate, (found_i, found_j, found_e))
-    # All pairs above ``sure`` and the ``best`` of each row, whichever side they are on.
-    keep = e >= sure
+    # The ``best`` of each row, whichever side they are on; the last round takes all that is left.
+    keep = np.zeros(len(e), bool)
     pair = np.r_[np.arange(len(i)), np.arange(len(i))]
     mine = np.r_[i, j]
     order = np.lexsort((-e[pair], mine))
@@ -143,7 +143,7 @@ def _pairs_of(tree, label, node, n, sig, component, start, across: bool, least:
     return node[i[keep]], node[j[keep]], e[keep]
 
 
-def _candidates(rows: DataFrame, work: Scratch, name: str, across: bool, least: float, sure: float, best: int) -> DataFrame:
+def _candidates(rows: DataFrame, work: Scratch, name: str, across: bool, least: float, best: int) -> DataFrame:
     """(a, b, likeness) from a sliding window over the range-sorted trees.
 
     Rows at the two ends of a range partition are kept aside, and neighbours across a border are
@@ -175,7 +175,7 @@ def _candidates(rows: DataFrame, work: Scratch, name: str, across: bool, least:
                 yield edge(batch.head(WINDOW), part, 1)
                 first = False
             frame = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-            yield as_rows(*_pairs_of(*arrays(frame), 0 if tail is None else len(tail), across, least, sure, best))
+            yield as_rows(*_pairs_of(*arrays(frame), 0 if tail is None else len(tail), across, least, best))
             tail = frame.tail(WINDOW)
         if tail is not None:
             yield edge(tail, part + 1, 0)
@@ -183,7 +183,7 @@ def _candidates(rows: DataFrame, work: Scratch, name: str, across: bool, least:
     def at_border(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["late", "place"]).reset_index(drop=True)
         start = int((frame["late"] == 0).sum())
-        a, b, e = _pairs_of(*arrays(frame), start, across, least, sure, best)
+        a, b, e = _pairs_of(*arrays(frame), start, across, least, best)
         return pd.DataFrame({"a": a, "b": b, "likeness": e})
 
     seen = work.cut(ordered.mapInPandas(run, schema), f"{name}-window")
@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if central == WHOLE:
             break
         rows = _tree_rows(forest, work, name)
-        near = _candidates(rows, work, name, links is not None, 0.6, 2.0, 1)
+        near = _candidates(rows, work, name, links is not None, 0.6, 1)
         near = work.cut(near.distinct(), f"{name}-candidates")
         # the most similar one of every node
         seen = near.union(near.select("b", "a", "likeness"))

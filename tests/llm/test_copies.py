@@ -190,6 +190,25 @@ def test_texts_without_a_candidate_in_the_first_round(spark, documents, monkeypa
     check_near(documents, rows)
 
 
+def test_low_estimates_behind_rivals_are_confirmed(spark, documents, monkeypatch):
+    """Three rivals of either end have a higher estimate and fail on the full sets."""
+    rows, trees = like_pair(1, 2), {}
+    free = [p for p in range(near_dup.VALUES) if p % near_dup.DEPTH >= near_dup.MINIMUM]  # all else is common
+    one, two = np.arange(128), np.arange(128)
+    two[free[32:]] += 1000  # 80 of 128 are alike: 0.625
+    for x, own in ((1, one), (2, two)):
+        trees[x] = own
+        for i in range(3):  # 84 are alike, where the ends differ
+            rows.append((x * 10 + i, " ".join(f"v{x}-{i}-{j}" for j in range(60)), "en", "a"))
+            kept = free[32 + 4 * i : 68 + 4 * i]
+            trees[x * 10 + i] = own.copy()
+            trees[x * 10 + i][[p for p in free if p not in kept]] += 2000 + 100 * (10 * x + i)
+    real = near_dup._sketches
+    given = spark.createDataFrame([(i, v.astype(">u2").tobytes()) for i, v in trees.items()], "doc_id bigint, sig binary")
+    monkeypatch.setattr(near_dup, "_sketches", lambda *a: real(*a).drop("sig").join(given, "doc_id"))
+    check_near(documents, rows)
+
+
 def test_components_of_chains_and_stars(spark, rows):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (300, 299), (299, 300)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
