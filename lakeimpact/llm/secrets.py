@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of key characters inside a word. The forest looks at its length, how its
+A candidate is a long run of key characters inside a word, with padding but no other `=` in it, or a shorter
+one of at least 8 that a credential's name is assigned. The forest looks at its length, how its
 characters change class, how much of it the corpus' own words cover, the path (source) of its
 document and the neighbouring words, and learns from labelled findings.
 """
@@ -17,8 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import Scratch
 from .common import SPACES
 
-CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
-CREDENTIAL = r"(?i)(token|secret|passw(or)?d|api[_-]?key|access[_-]?key|credential)s?[\"']?[:=]?$"
+_KEY = r"[A-Za-z0-9+/_\-]"
+_PADDING = rf"(?:={{1,2}}(?!{_KEY}))?"  # an equals sign before a key character assigns
+CANDIDATE = rf"(?:{_KEY}{{16,}}{_PADDING}|{_KEY}{{15}}=(?!{_KEY})|{_KEY}{{14}}==(?!{_KEY}))"
+SHORT = rf"{_KEY}{{8,}}{_PADDING}"
+_NAMES = r"(?i)(token|secret|passw(or)?d|api[_-]?key|access[_-]?key|credential)s?[\"']?"
+CREDENTIAL = _NAMES + "[:=]?$"
+ASSIGNS = _NAMES + r"[:=]+[\"'(]*"
 PLACEHOLDER = r"(?i)example|dummy|changeme|placeholder|x{6,}|your[_-]"
 NEIGHBOURS = ("before", "before2", "after")
 FEATURES = ["length", "digits", "uppers", "changes", "variety", "covered", "path_odds", *(f"{n}_odds" for n in NEIGHBOURS)]
@@ -31,22 +37,37 @@ def candidates(
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     words = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")), " ")
     shaped = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), words.alias("_w"))
-    at = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get("_w", i).rlike(CANDIDATE))
     word = lambda i: F.coalesce(F.get("_w", i), F.lit(""))
+    after_name = lambda i: F.concat(word(i - 2), word(i - 1)).rlike(ASSIGNS + "$")
+    short = lambda i: F.get("_w", i).rlike(ASSIGNS + SHORT) | (F.get("_w", i).rlike(SHORT) & after_name(i))
+    at = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get("_w", i).rlike(CANDIDATE) | short(i))
     found = F.transform(
         at,
         lambda i: F.struct(
-            i.alias("word_no"), word(i).alias("word"), word(i - 2).alias("before2"), word(i - 1).alias("before"), word(i + 1).alias("after")
+            i.alias("word_no"), word(i).alias("word"), word(i - 2).alias("before2"), word(i - 1).alias("before"), word(i + 1).alias("after"), short(i).alias("short")
         ),
     )
     each = shaped.select("doc_id", "path", "held_out", F.explode(found).alias("x")).select("doc_id", "path", "held_out", "x.*")
-    runs = F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))
-    # What stands before the run in the same word belongs to the word before it.
-    lead = F.regexp_extract("word", r"^(.*?)" + CANDIDATE, 1)
-    return each.select(
-        "doc_id", "path", "held_out", "word_no", F.posexplode(runs).alias("run_no", "candidate"), "before2",
-        F.concat("before", lead).alias("before"), "after",
+    pick = lambda pattern: (F.regexp_extract_all("word", F.lit(pattern), F.lit(0)), F.split("word", pattern))
+    (some, apart), (many, narrow) = pick(CANDIDATE), pick(SHORT)
+    each = each.withColumn("runs", F.when(F.col("short"), many).otherwise(some)).withColumn("gaps", F.when(F.col("short"), narrow).otherwise(apart))
+    # What stands between a run and the one before it; the first run has what the word begins with.
+    runs = F.transform(
+        "runs",
+        lambda run, k: F.struct(run.alias("candidate"), F.concat(F.when(k > 0, F.get("runs", k - 1)).otherwise(F.lit("")), F.get("gaps", k)).alias("lead")),
     )
+    each = each.select("doc_id", "path", "held_out", "word_no", F.posexplode(runs).alias("run_no", "run"), "before2", "before", "after")
+    each = each.select("doc_id", "path", "held_out", "word_no", "run_no", "run.*", "before2", "before", "after")
+    # A name that assigns the run in the same word is the word before it; any other lead belongs to the one before.
+    name = F.regexp_extract("lead", r"[A-Za-z0-9_.\-]+[\"'\])]*[:=]+[\"'(\[{]*$", 0)
+    named = name != ""
+    led = each.select(
+        "doc_id", "path", "held_out", "word_no", "run_no", "candidate",
+        F.when(named, F.col("before")).otherwise(F.col("before2")).alias("before2"),
+        F.when(named, name).otherwise(F.concat("before", "lead")).alias("before"), "after",
+    )
+    assigned = F.when(F.col("before").rlike("[A-Za-z]"), F.col("before")).otherwise(F.concat("before2", "before")).rlike(ASSIGNS + "$")
+    return led.filter(F.col("candidate").rlike("^" + CANDIDATE) | assigned)
 
 
 def _known_words(docs: DataFrame, parts: DataFrame, text: str, least: int) -> DataFrame:

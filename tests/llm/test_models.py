@@ -65,6 +65,26 @@ def test_quality_of_one_label(spark, documents, label):
     assert len(got) == 3 and {r.predicted for r in got} == {label}
 
 
+def test_secrets_in_the_word_of_their_name(documents):
+    texts = {
+        "see api_key=0123456789abcdef0123 more": "0123456789abcdef0123",
+        'see api_key="0123456789abcdef0123" more': "0123456789abcdef0123",
+        'the aws_secret_access_key="wJalrXUtnFEMIK7MDENGbPxRfiCY" x': "wJalrXUtnFEMIK7MDENGbPxRfiCY",
+        "the AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCY": "wJalrXUtnFEMIK7MDENGbPxRfiCY",
+        '{"api_key":"0123456789abcdef0123"}': "0123456789abcdef0123",
+        "https://h.org/p?api_key=0123456789abcdef0123&x=1": "0123456789abcdef0123",
+        "password=hunter2x8": "hunter2x8",
+        'token = "abc123def" here': "abc123def",
+        "secret: QUJDREVGR0hJSktMTU5PUDEy== end": "QUJDREVGR0hJSktMTU5PUDEy==",
+    }
+    found = secrets.candidates(documents([(i, t, "en", "a") for i, t in enumerate(texts)]))
+    labelled = found.withColumn("label", secrets.weak_label(F.col("before2"), F.col("before"), F.col("candidate")))
+    got = [(r.doc_id, r.candidate) for r in labelled.filter("label = 1").collect()]
+    assert sorted(got) == list(enumerate(texts.values()))
+    plain = documents([(1, "hunter2x8 is no key, token counts abcdef123", "en", "a")])
+    assert secrets.candidates(plain).collect() == []
+
+
 def test_secrets_learn_from_findings(spark, documents):
     rows = []
     for i in range(120):
