@@ -66,7 +66,10 @@ def train(
     steps: int = 150,
     penalty: float = 1e-4,
 ) -> LanguageModel:
-    """Fit on at most ``most_per_language`` rows per language with a non-null language and text with a letter."""
+    """Fit on at most ``most_per_language`` rows per language with a non-null language and text with a letter.
+
+    More than ``grams.MOST_LABELS`` languages among them raise ValueError.
+    """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(doc_id, text, lang)
     x, y, _ = grams.labelled_sample(rows, lang, doc_id, text, most_per_language, features)
     languages = sorted(set(y))
