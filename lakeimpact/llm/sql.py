@@ -91,3 +91,57 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d
 """
+
+_CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{L}+", r"\p{N}+", r"[\x20\x09-\x0D]+", r"[.,;:!?\x27\x22()-]+")
+_RESTS = ["t"]
+for _class in _CLASSES:
+    _RESTS.append(f"regexp_replace({_RESTS[-1]}, '{_class}', '', 'g')")
+_COUNTS = ", ".join([f"len({a}) - len({b})" for a, b in zip(_RESTS, _RESTS[1:])] + [f"len({_RESTS[-1]})"])
+
+
+def _divergence(p: str, q: str) -> str:
+    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END / 2"
+    a, b = f"{p}[i]", f"{q}[i]"
+    return f"list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(a, b)} + {part(b, a)}))"
+
+
+OP13 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, 'und') AS language, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+         regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS tokens
+  FROM documents),
+g AS (
+  SELECT doc_id, pos, [w[pos], w[pos + 1], w[pos + 2]] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS pos FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, gram FROM g GROUP BY doc_id, gram HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT word) AS n_repeat_words FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS word FROM g SEMI JOIN r USING (doc_id, gram)) GROUP BY doc_id),
+f AS (SELECT language, word, count(*) AS n FROM (SELECT language, unnest(tokens) AS word FROM d) GROUP BY language, word),
+k AS (SELECT language, sum(n)::BIGINT AS known FROM f GROUP BY language HAVING sum(n) >= 1000),
+p AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, word) AS place FROM f),
+v AS (SELECT language, list(word ORDER BY place) AS common, list(n ORDER BY place) AS held FROM p WHERE place <= 32 GROUP BY language),
+h AS (SELECT doc_id, language, [{_COUNTS}]::BIGINT[] AS classes FROM d),
+s AS (
+  SELECT language, list(n ORDER BY i) AS sums
+  FROM (SELECT language, i, sum(classes[i])::BIGINT AS n FROM h, (SELECT unnest(range(1, 8)) AS i) GROUP BY language, i) GROUP BY language),
+q AS (
+  SELECT language, common, list_append(list_transform(held, lambda n: n / known), (known - list_sum(held)) / known) AS word_shares,
+         list_transform(sums, lambda n: n / list_sum(sums)) AS class_shares
+  FROM k JOIN v USING (language) JOIN s USING (language)),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(tokens) AS n, list_sum(classes) AS n_all, word_shares, class_shares,
+         list_transform(common, lambda x: len(list_filter(tokens, lambda y: y = x))) AS found, classes
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN q ON d.language = q.language),
+o AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         list_transform(list_append(found, n - list_sum(found)::BIGINT), lambda x: x / n) AS own_words, list_transform(classes, lambda x: x / n_all) AS own_classes
+  FROM m),
+j AS (
+  SELECT *, CASE WHEN n >= 100 AND word_shares IS NOT NULL THEN round({_divergence("own_words", "word_shares")}, 6) END AS word_divergence,
+         CASE WHEN n_all >= 200 AND word_shares IS NOT NULL THEN round({_divergence("own_classes", "class_shares")}, 6) END AS class_divergence
+  FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, word_divergence, class_divergence,
+       NOT base_failed AND coalesce(word_divergence, 0) <= 0.2 AND coalesce(class_divergence, 0) <= 0.1 AS kept
+FROM j
+"""
