@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, langid, mixing, near_dup, quality, rules, secrets, sql, substring, topk, warc
+from . import bpe, codes, exact_dedup, langid, mixing, near_dup, quality, rules, secrets, sql, substring, topk, warc
 from .common import crc_mod, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.learn_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -71,5 +75,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": sql.OP6,
         "op7_near_dup": sql.OP7,
         "op9_substring_dedup": sql.OP9,
+        "op11_vector_codes": sql.OP11,
         "op13_quality_rules": sql.OP13,
     }

@@ -145,3 +145,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND coalesce(word_divergence, 0) <= 0.2 AND coalesce(class_divergence, 0) <= 0.1 AS kept
 FROM j
 """
+
+
+def _op11(rounds: int = 4) -> str:
+    """Rounds of nearest entries and means, one after the other; squares through the inner product."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT id, part, min({{'d': xx + yy - 2 * list_dot_product(x, y), 'e': entry}}) AS best FROM p JOIN b{r} USING (part) GROUP BY id, part)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS (
+  SELECT part, best.e AS entry, place, floor(sum(value) / count(*)) AS mean
+  FROM (SELECT part, best, unnest(x) AS value, unnest(range(len(x))) AS place FROM p JOIN a{r} USING (id, part)) GROUP BY ALL),
+n{r} AS (SELECT part, entry, list(mean ORDER BY place) AS moved FROM m{r} GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(moved, y) AS y, list_dot_product(coalesce(moved, y), coalesce(moved, y)) AS yy
+  FROM b{r} LEFT JOIN n{r} USING (part, entry))"""
+            )
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS MATERIALIZED (
+  SELECT *, list_dot_product(x, x) AS xx
+  FROM (SELECT id, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM e, (SELECT unnest(range(4)) AS part))),
+b0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x AS y, xx AS yy FROM p WHERE id <= 256),
+{", ".join(steps)},
+f AS (SELECT id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY id),
+h AS (
+  SELECT sha256(string_agg(value::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(y) AS value, unnest(range(len(y))) AS place FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM e JOIN f USING (id), h
+"""
+
+
+OP11 = _op11()

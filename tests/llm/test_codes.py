@@ -1,0 +1,99 @@
+"""Vector codes against brute force."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from lakeimpact.llm import codes
+
+SCHEMA = "vec_id bigint, embedding array<double>, label int, code string, error int"
+
+
+def brute(rows, parts=4, entries=256, rounds=4):
+    kept = [(i, x, g) for i, x, g, *_ in rows if x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, [math.floor(1024 * c) for c in r[1]]))
+    longest = max((len(x) for _, x, _ in kept), default=0)
+    width = -(-longest // parts)
+    v = np.array([[math.floor(1024 * c) for c in x] + [0] * (parts * width - len(x)) for _, x, _ in kept], object)
+    v = v.reshape(len(kept), parts, width)
+    books = [[list(v[n, p]) for n in range(min(entries, len(kept)))] for p in range(parts)]
+
+    def assign():
+        return [[min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book)) for x, book in zip(row, books)] for row in v]
+
+    for _ in range(rounds):
+        found = assign()
+        for p, book in enumerate(books):
+            for k in range(len(book)):
+                mine = [v[n, p] for n, row in enumerate(found) if row[p][1] == k]
+                if mine:
+                    book[k] = [sum(column) // len(mine) for column in zip(*mine)]
+    digest = hashlib.sha256(",".join(str(c) for book in books for e in book for c in e).encode()).hexdigest()
+    found = [sum(d for d, _ in row) for row in assign()]
+    by_label = {}
+    for (_, _, g), d in zip(kept, found):
+        by_label[g] = by_label.get(g, 0) + d
+    coded = ["".join(f"{k:02x}" for _, k in row) for row in assign()]
+    return sorted(((i, g, c, d, by_label[g], digest) for (i, _, g), c, d in zip(kept, coded, found)), key=repr)
+
+
+def vectors(seed, n, width=8, spread=1.0):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(0, spread, (12, width))
+    return [(int(i), [float(x) for x in centres[draw.integers(12)] + draw.normal(0, 0.2, width)], int(draw.integers(3)), "x", 0) for i in range(n)]
+
+
+def edge_rows():
+    good = [0.5] * 8
+    return [
+        (None, good, None, "x", 0), (900, None, 1, "x", 0), (901, [0.1] * 7 + [None], 1, "x", 0), (902, [float("nan")] * 8, 1, "x", 0),
+        (903, [float("inf")] * 8, 1, "x", 0), (904, good, None, "x", 0), (904, good, None, "x", 0), (904, [-0.25] * 8, 7, "x", 0),
+        (905, [-1e-9] * 8, 7, "x", 0), (906, [1.0, 2.0], 1, "x", 0), (907, [], 1, "x", 0), (908, [-0.0] * 8, 1, "x", 0),
+    ]
+
+
+@pytest.mark.parametrize("entries", [3, 17, 256])
+def test_codes(spark, entries):
+    rows = vectors(entries, 300) + edge_rows()
+    found = codes.compress(spark.createDataFrame(rows, SCHEMA), entries=entries)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, entries=entries)
+
+
+def test_fewer_rows_than_entries_and_none(spark):
+    rows = vectors(2, 5)
+    assert sorted((tuple(r) for r in codes.compress(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr) == brute(rows)
+    for none in ([], [(1, None, 1, "x", 0)]):
+        assert codes.compress(spark.createDataFrame(none, SCHEMA)).collect() == []
+    empty = [(1, [], 1, "x", 0), (2, [], None, "x", 0)]
+    assert sorted((tuple(r) for r in codes.compress(spark.createDataFrame(empty, SCHEMA)).collect()), key=repr) == brute(empty)
+
+
+@pytest.mark.parametrize("spread, equal", [(1000, False), (3, True)])
+def test_box_search_is_exact(spread, equal):
+    draw = np.random.default_rng(4)
+    entries = draw.integers(-spread, spread, (200, 16))
+    if equal:
+        entries[50:90] = entries[10:50]  # ties go to the lowest number
+    x = np.concatenate([draw.integers(-2 * spread, 2 * spread, (3000, 16)), entries, entries * 0])
+    number, least = codes.Slices(entries).nearest(x)
+    distance = ((x[:, None, :] - entries[None]) ** 2).sum(axis=2)
+    assert (number == distance.argmin(axis=1)).all() and (least == distance.min(axis=1)).all()
+
+
+def test_masks_leave_out_most_entries():
+    draw = np.random.default_rng(5)
+    entries = draw.integers(-1000, 1000, (256, 8))
+    x = entries[:100] + draw.integers(-20, 20, (100, 8))
+    inside = codes.Slices(entries).inside(x, np.full(100, 30))
+    assert np.bitwise_count(inside).sum() < 200
+
+
+def test_large_components(spark):
+    most = codes.largest(2)
+    near = [(i, [float((most - 1 - i) // 1024)] * 4 + [-float((most - 1) // 1024)] * 4, 1, "x", 0) for i in range(4)]
+    found = codes.compress(spark.createDataFrame(near, SCHEMA), entries=2)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(near, entries=2)
+    with pytest.raises(Exception, match="is not below"):
+        codes.compress(spark.createDataFrame([(1, [1e300] * 8, 1, "x", 0)], SCHEMA)).collect()
