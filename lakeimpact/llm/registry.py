@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, codes, exact_dedup, langid, mixing, near_dup, quality, rules, secrets, sql, substring, topk, warc
+from . import bpe, codes, collocations, exact_dedup, langid, mixing, near_dup, quality, rules, secrets, sql, substring, topk, warc
 from .common import crc_mod, table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -59,6 +59,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -76,5 +80,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_dup": sql.OP7,
         "op9_substring_dedup": sql.OP9,
         "op11_vector_codes": sql.OP11,
+        "op12_collocations": sql.OP12,
         "op13_quality_rules": sql.OP13,
     }

@@ -183,3 +183,26 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 
 
 OP11 = _op11()
+
+
+OP12 = r"""
+WITH p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS MATERIALIZED (
+  SELECT lang, size, w[i:i + size - 1] AS words, count(*) AS a
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size)
+  GROUP BY ALL),
+n AS (SELECT lang, sum(a)::HUGEINT AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE size > 1 AND a >= 100),
+i AS (SELECT lang, unnest([words[1:size - 1], words[2:size]]) AS words, a FROM c WHERE size > 2),
+s AS (SELECT *, unnest(range(1, size)) AS k FROM c ANTI JOIN i USING (lang, words, a)),
+t AS (
+  SELECT s.lang, s.words, s.a, k, l.a AS l, r.a AS r, n, 1000::HUGEINT * s.a * n // (l.a::HUGEINT * r.a) AS score
+  FROM s JOIN n USING (lang) JOIN g l ON l.lang = s.lang AND l.words = s.words[1:k] JOIN g r ON r.lang = s.lang AND r.words = s.words[k + 1:]),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+o AS (
+  SELECT *, array_to_string(words, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
