@@ -52,7 +52,7 @@ def divergence(p: Column, q: Column) -> Column:
 
 def references(docs: DataFrame, work: Scratch, text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per language with enough words: language, common (its most frequent words, ties by code point),
-    word_shares (theirs, then the rest's) and class_shares."""
+    longest (bytes of the longest of them), word_shares (theirs, then the rest's) and class_shares."""
     language = F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("language")
     body = F.coalesce(F.col(text), F.lit(""))
     counted = docs.select(language, F.explode(letter_words(body)).alias("word")).groupBy("language", "word").count()
@@ -73,6 +73,7 @@ def references(docs: DataFrame, work: Scratch, text: str = "text", lang: str = "
         found.select(
             "language",
             F.col("top.word").alias("common"),
+            F.array_max(F.transform("top.word", lambda w: F.octet_length(w))).alias("longest"),
             F.concat(shares, F.array(rest)).alias("word_shares"),
             F.transform("classes", lambda n: n / every).alias("class_shares"),
         ),
@@ -88,10 +89,10 @@ def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("language"),
-    ).withColumn("_words", F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)))
+    ).withColumns({"_words": F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)), "_classes": class_counts(body)})
 
     def window(i: Column) -> Column:
-        return F.struct(F.xxhash64(*[F.get("_words", i + j) for j in range(3)]).alias("h"), i.alias("at"))
+        return F.xxhash64(*[F.get("_words", i + j) for j in range(3)])
 
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(WORDS))
     rows = rows.select(
@@ -99,11 +100,16 @@ def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         "language",
         "_text",
         n.cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace(body, SPACES, "")).cast("bigint").alias("word_chars"),
+        (F.length(body) - F.col("_classes")[CLASSES.index(SPACES)]).alias("word_chars"),
+        "_classes",
         F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         lines.alias("_lines"),
-        F.sort_array(F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window))).alias("_windows"),
+        F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).alias("_hashes"),
     )
+    # Most texts have no window twice; only the others have theirs sorted.
+    placed = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    rows = rows.withColumn("_windows", F.when(some, placed)).drop("_hashes")
     # Equal windows are neighbours now. A window adds the words that the one before it did not cover.
     own = rows.withColumn("_n_lines", F.size("_lines"))
 
@@ -123,6 +129,7 @@ def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         "doc_id",
         "language",
         "_text",
+        "_classes",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -152,16 +159,18 @@ def judge(
     """
     known = references(docs, Scratch(docs.sparkSession, "rules"), text, lang)
     told = _counted(docs, doc_id, text, lang).join(known, "language", "left")
-    told = told.withColumns({"_tokens": letter_words(F.col("_text")), "_classes": class_counts(F.col("_text"))})
+    told = told.withColumn("_tokens", letter_words(F.col("_text")))
+    short = lambda t: F.octet_length(t) <= F.col("longest")  # noqa: E731  (most words are longer than all common ones)
     told = told.withColumns(
         {
-            "_found": F.filter(F.transform("_tokens", lambda t: F.array_position("common", t)), lambda at: at > 0),
+            "_found": F.filter(F.transform(F.filter("_tokens", short), lambda t: F.array_position("common", t)), lambda at: at > 0),
             "_n": F.size("_tokens"),
             "_all": F.aggregate("_classes", F.lit(0).cast("bigint"), lambda total, n: total + n),
         }
     )
-    each = F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: F.size(F.filter("_found", lambda at: at == k)))
-    held = F.concat(each, F.array(F.col("_n") - F.size("_found")))
+    # One loop of compiled code per common word, without an array of them all.
+    each = F.array(*[F.size("_found") - F.size(F.array_remove("_found", F.lit(k).cast("bigint"))) for k in range(1, COMMON + 1)])
+    held = F.concat(F.slice(each, 1, F.size("common")), F.array(F.col("_n") - F.size("_found")))
     enough = (F.col("_n") >= LEAST_WORDS) & F.col("common").isNotNull()
     by_words = F.when(enough, divergence(F.transform(held, lambda n: n / F.col("_n")), F.col("word_shares")))
     enough = (F.col("_all") >= LEAST_CHARACTERS) & F.col("common").isNotNull()
