@@ -95,8 +95,24 @@ class Scratch:
 
     def release(self) -> None:
         """Delete the tables; results that read them can't be evaluated again."""
+        self._delete(self.root)
+
+    def drop(self, *names: str) -> None:
+        """Delete some of the tables, as soon as no later step reads them."""
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these: what a result reads stays, what led to it goes."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for entry in system.listStatus(root) if system.exists(root) else ():
+            if entry.getPath().getName() not in names:
+                system.delete(entry.getPath(), True)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
