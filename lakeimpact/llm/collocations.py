@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Scratch
+from .bitfilter import Filter, bits_for, filter_from, place_of
 from .common import gram_hashes, mix, word_hashes
 
 LEAST, LONGEST, BEST = 100, 5, 2000
 NO_LANGUAGE = "und"
 FIRST_SHARE = 8  # the first wave takes the words that make up the rarest eighth of a language's words
-MOST_BITS = 28  # of a filter: 32 MB
 
 BREAK = b"A"  # stands for the end of a piece, as no text has an A any more
 _PLAIN = bytes.maketrans(
@@ -74,37 +74,16 @@ def phrase_hashes(languages: list[str], phrases: list[str]) -> np.ndarray:
     return gram_hashes(flat, size)[::size]
 
 
-class Filter:
-    """A set of hashes as one bit each: says yes to all of the set, and by chance to few others."""
-
-    def __init__(self, bits: int, table: np.ndarray):
-        self.bits, self.table = bits, table
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> np.uint64(64 - self.bits)
-        return (self.table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def filter_of(phrases: DataFrame, rows: int) -> Filter:
-    """The filter of a table (lang, phrase) of phrases of one length. Its size grows with the rows, to 32 MB."""
-    bits = int(np.clip(np.ceil(np.log2(32 * max(1, rows))), 16, MOST_BITS))
+    """The filter of a table (lang, phrase) of phrases of one length."""
+    bits = bits_for(rows)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            place = (hashes >> np.uint64(64 - bits)).astype(np.int64) + 1  # Spark counts bits from 1
+            place = place_of(phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist()), bits)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(place), pa.int64())], names=["place"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(places, "place bigint")
-    blocks = found.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
-    )
-    table = np.zeros(1 << bits >> 3, np.uint8)
-    for r in blocks.toLocalIterator():
-        low = (r["block"] - 1) << 12
-        own = table[low : low + (1 << 12)]
-        own[:] = np.frombuffer(r["bitmap"], np.uint8)[: len(own)]
-    return Filter(bits, table)
+    return filter_from(phrases.select("lang", "phrase").mapInArrow(places, "place bigint"), bits)
 
 
 class Tokens:
