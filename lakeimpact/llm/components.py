@@ -38,7 +38,9 @@ def components(links: DataFrame, work: Scratch, name: str) -> DataFrame:
         second = to.select(F.col("node").alias("b"), F.col("to").alias("y"))
         renamed = edges.join(first, "a").select("b", "x").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         left = renamed.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if not work.write(left, f"{name}-links-{step}"):
+        more = work.write(left, f"{name}-links-{step}")
+        work.drop(f"{name}-near-{step}", f"{name}-to-{step}", f"{name}-links-{step - 1}", f"{name}-labels-{step - 1}")
+        if not more:
             return labels
         edges = work.read(f"{name}-links-{step}", left.schema)
     raise RuntimeError("components did not converge")

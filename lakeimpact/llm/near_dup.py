@@ -12,8 +12,10 @@
    candidates across components. The second round confirms the most similar ones again. These
    rounds only join what is cheap to find.
 4. The last round has no window: in every tree, all nodes that share the minimal prefix are compared
-   across components, large regions in blocks. First a spanning forest of the likely pairs is
-   confirmed, then every pair that is left between two components.
+   across components, large regions in blocks. A block is bounded by the bytes of its sets. First every node with
+   a likely partner in its cell is named, then these nodes' sets are brought to the cell and all likely
+   pairs that are still apart are confirmed there. A cell gives the links that join its components: fewer
+   than it has nodes, however many pairs it compares.
 5. The components of the confirmed links are the groups.
 """
 
@@ -26,19 +28,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import Scratch, stored
+from ..session import Scratch
+from .bitfilter import bits_for, filter_from
 from .common import gram_hashes, mix, utf8, word_hashes
 from .components import components
 
 TREES, DEPTH, MINIMUM = 16, 8, 3  # minimum: values that candidates of one tree share at least
 VALUES = TREES * DEPTH
 WINDOW = 64  # neighbours looked at on each side
-BLOCK = 1024  # rows of a large region that are compared with another block at a time
-CELL_PAIRS = 500  # pairs confirmed together
-# Rounds, and how many nodes stand for a large component in the forest after each. The first round
-# with WHOLE compares whole regions and is the last.
-WHOLE = 1 << 62
-ROUNDS = {"first": 32, "second": 4096, "third": WHOLE}
+# What is compared at a time: rows of a region of 2,048 shingles at most; larger sets count as several rows.
+BLOCK, HEAVY = 1024, 2048
+CELL_PAIRS = 500  # pairs of such sets confirmed together
+CENTRAL = 32  # nodes that stand for a large component in the second forest
+LIKELY = 0.6  # estimate from which a pair is confirmed: 4 standard errors below 0.75
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -97,7 +99,7 @@ def _tree_rows(nodes: DataFrame, work: Scratch, name: str) -> DataFrame:
             )
         ).alias("at"),
     ).select("node", "at.*")
-    shared = stored(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("region"), "regions")
+    shared = work.cut(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("region"), f"{name}-regions")
     live = keyed.join(shared, "region", "left_semi").select("node", "tree")
     rows = live.join(nodes, "node").select(
         "tree", F.substring(F.col("sig"), F.col("tree") * width + 1, F.lit(width)).alias("label"), "node", "n", "sig", "component"
@@ -133,7 +135,7 @@ def _pairs_of(tree, label, node, n, sig, component, start, across: bool, least:
     if not found_i:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     i, j, e = map(np.concatenate, (found_i, found_j, found_e))
-    # The ``best`` of each row, whichever side they are on; the last round takes all that is left.
+    # The ``best`` of each row, whichever side they are on.
     keep = np.zeros(len(e), bool)
     pair = np.r_[np.arange(len(i)), np.arange(len(i))]
     mine = np.r_[i, j]
@@ -191,35 +193,16 @@ def _candidates(rows: DataFrame, work: Scratch, name: str, across: bool, least:
     return seen.filter("a is not null").select("a", "b", "likeness").union(borders)
 
 
-def _spanning(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Places of the pairs of a spanning forest of the components x and y, the likeliest first."""
-    order = np.argsort(-e, kind="stable")
-    known, ends = np.unique(np.r_[x[order], y[order]], return_inverse=True)
-    x, y = ends[: len(order)], ends[len(order) :]
-    label, kept = np.arange(len(known)), []
-    while True:
-        left = np.flatnonzero(label[x] != label[y])
-        if not len(left):
-            return order[np.concatenate(kept)] if kept else np.empty(0, np.int64)
-        places = np.repeat(left, 2)  # the best pair of every component comes first
-        _, first = np.unique(np.c_[label[x[left]], label[y[left]]].ravel(), return_index=True)
-        best = np.unique(places[first])
-        kept.append(best)
-        for one, two in zip(x[best], y[best]):
-            label[label == label[two]] = label[one]
-
-
-def _across(tree, region, side, node, n, sig, component, every: bool):
-    """Pairs of different components that share a region and have an estimate of 0.6 or more.
+def _likely_pairs(tree, region, side, node, n, sig, component) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different components that share a region and have a likely estimate.
 
     Side 0 is compared with side 1, and rows of side 2 with one another. A pair is found in the first of
-    its trees only. Without ``every``, a spanning forest over the components is enough.
+    its trees only. ``component`` may change between two of the blocks of pairs.
     """
     rows = len(node)
     values = np.frombuffer(b"".join(sig), ">u2").astype(np.uint16).reshape(rows, VALUES)
     by_value = np.ascontiguousarray(values.T)
     heads = values.reshape(rows, TREES, DEPTH)[:, :, :MINIMUM]
-    found = [], [], []
     bounds = np.r_[0, np.flatnonzero(region[1:] != region[:-1]) + 1, rows]
     for start, end in zip(bounds[:-1], bounds[1:]):
         at = np.arange(start, end)
@@ -239,52 +222,95 @@ def _across(tree, region, side, node, n, sig, component, every: bool):
                 e = same[i, j] / VALUES
             else:
                 e = (values[a[i]] == values[two[j]]).mean(axis=1)
-            near = e >= 0.6
-            i, j, e = a[i[near]], two[j[near]], e[near]
+            near = e >= LIKELY
+            i, j = a[i[near]], two[j[near]]
             shared = (heads[i] == heads[j]).all(axis=2).argmax(axis=1) == tree[i]
-            for out, part in zip(found, (i[shared], j[shared], e[shared])):
-                out.append(part)
-    if not found[0]:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    i, j, e = map(np.concatenate, found)
-    if not every and len(i):
-        kept = _spanning(component[i], component[j], e)
-        i, j, e = i[kept], j[kept], e[kept]
-    return node[i], node[j], e
-
-
-def _in_regions(nodes: DataFrame, work: Scratch, name: str, every: bool) -> DataFrame:
-    """(a, b, likeness) of all pairs across components in all regions of all trees.
-
-    Regions of one component need no comparison. Small regions are compared as they are, several to a
-    cell; large ones are cut into blocks, each pair of blocks being a cell. A component with
-    many rows in a region has blocks of its own, which are not compared with one another.
+            if shared.any():
+                yield i[shared], j[shared]
+
+
+_IN_CELL = ["tree", "region", "side", "node", "n", "component"]
+
+
+def _arrays(frame: pd.DataFrame) -> list:
+    return [frame[c].to_numpy() if c != "sig" else frame[c].tolist() for c in ("tree", "region", "side", "node", "n", "sig")]
+
+
+def _with_partner(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a cell that have a likely partner in it, without their signatures."""
+    frame = frame.sort_values(["region", "side", "node"], ignore_index=True)
+    seen = np.zeros(len(frame), bool)
+    for i, j in _likely_pairs(*_arrays(frame), frame["component"].to_numpy()):
+        seen[i] = seen[j] = True
+    return frame.loc[seen, [*_IN_CELL, "cell"]]
+
+
+def _joining_links(frame: pd.DataFrame, share: int) -> pd.DataFrame:
+    """Confirmed links of a cell that join its components, none between what earlier ones joined."""
+    frame = frame.sort_values(["region", "side", "node"], ignore_index=True)
+    nodes, of_node = np.unique(frame["node"].to_numpy(), return_inverse=True)
+    first = np.zeros(len(nodes), np.int64)
+    first[of_node[::-1]] = np.arange(len(frame))[::-1]
+    sets = [np.frombuffer(m, np.uint64) for m in frame["members"].iloc[first]]
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    known = np.zeros(flat.max(initial=-1) + 1, bool)
+    flat = np.split(flat, np.cumsum([len(x) for x in sets])[:-1])
+    group = frame["component"].to_numpy().copy()
+    good_a, good_b = [], []
+    for i, j in _likely_pairs(*_arrays(frame), group):
+        for a in np.unique(i):
+            # One set against all its partners that are still apart.
+            b = j[i == a]
+            b = b[group[b] != group[a]]
+            if not len(b):
+                continue
+            own, others = flat[of_node[a]], [flat[k] for k in of_node[b]]
+            known[own] = True
+            held = np.array([len(x) for x in others])
+            both = np.add.reduceat(known[np.concatenate(others)], np.cumsum(held) - held, dtype=np.int64)
+            known[own] = False
+            for k in b[100 * both >= share * (len(own) + held - both)]:
+                if group[k] != group[a]:
+                    group[group == group[k]] = group[a]
+                    good_a.append(nodes[of_node[a]])
+                    good_b.append(nodes[of_node[k]])
+    return pd.DataFrame({"a": np.array(good_a, np.int64), "b": np.array(good_b, np.int64)})
+
+
+def _dealt(nodes: DataFrame, work: Scratch) -> DataFrame:
+    """All rows that share a region with another component, in cells that compare them: _IN_CELL and cell.
+
+    Small regions are compared as they are, several to a cell; large ones are cut into blocks, each pair of blocks
+    being a cell. A component with many rows in a region has blocks of its own, which are not compared
+    with one another.
     """
     width = 2 * DEPTH
+    weight = F.ceil(F.col("n") / HEAVY).alias("weight")
     keyed = nodes.select(
         "node",
         "n",
         "component",
+        weight,
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(TREES - 1)),
                 lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring(F.col("sig"), t * width + 1, F.lit(2 * MINIMUM))).alias("region")),
             )
         ).alias("at"),
-    ).select("node", "n", "component", "at.*")
-    regions = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
-    regions = stored(regions.filter("low <> high").select("region", "held"), "open-regions")
-    live = keyed.join(regions, "region")
-    rows = work.write(live, f"{name}-live")
-    live = work.read(f"{name}-live", live.schema)
+    ).select("node", "n", "component", "weight", "at.*")
+    regions = keyed.groupBy("region").agg(F.sum("weight").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    regions = work.cut(regions.filter("low <> high").select("region", "held"), "whole-regions")
+    live = work.cut(keyed.join(regions, "region"), "whole-live")
+    every = live.agg(F.sum("weight")).first()[0] or 0
     plain = ["tree", "region", "node", "n", "component"]
     small = live.filter(F.col("held") <= BLOCK).select(
-        *plain, F.pmod(F.xxhash64("region"), F.lit(max(64, rows // 2000))).alias("cell"), F.lit(2).alias("side")
+        *plain, F.pmod(F.xxhash64("region"), F.lit(max(64, every // (2 * BLOCK)))).alias("cell"), F.lit(2).alias("side")
     )
 
     large = live.filter(F.col("held") > BLOCK)
-    own = stored(large.groupBy("region", "component").agg(F.count(F.lit(1)).alias("mine")).filter(F.col("mine") > BLOCK // 2), "own-blocks")
-    share = lambda key, count: F.pmod(F.xxhash64(key), F.ceil(F.col(count) / BLOCK))
+    own = large.groupBy("region", "component").agg(F.sum("weight").alias("mine")).filter(F.col("mine") > BLOCK // 2)
+    own = work.cut(own, "whole-own")
+    share = lambda key, held: F.pmod(F.xxhash64(key), F.ceil(F.col(held) / BLOCK))
     large = large.join(own, ["region", "component"], "left").select(
         *plain,
         F.when(F.col("mine").isNotNull(), F.col("component")).alias("only"),
@@ -292,8 +318,8 @@ def _in_regions(nodes: DataFrame, work: Scratch, name: str, every: bool) -> Data
         .otherwise(F.xxhash64("region", share("component", "held")))
         .alias("block"),
     )
-    large = work.cut(large, f"{name}-blocks")
-    blocks = stored(large.groupBy("region", "block", "only").agg(F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
+    large = work.cut(large, "whole-large")
+    blocks = work.cut(large.groupBy("region", "block", "only").agg(F.min("n").alias("low"), F.max("n").alias("high")), "whole-blocks")
     other = blocks.select("region", *[F.col(c).alias(f"{c}2") for c in ("block", "only", "low", "high")])
     pairs = blocks.join(other, "region").filter(
         "block <= block2 and not (only <=> only2 and only is not null) and 4 * high >= 3 * low2 and 4 * high2 >= 3 * low"
@@ -301,31 +327,38 @@ def _in_regions(nodes: DataFrame, work: Scratch, name: str, every: bool) -> Data
     cell = F.xxhash64("block", "block2").alias("cell")
     sides = pairs.select("region", "block", cell, F.when(F.col("block") == F.col("block2"), 2).otherwise(0).alias("side"))
     sides = sides.union(pairs.filter("block <> block2").select("region", "block2", cell, F.lit(1)))
-    dealt = large.join(stored(sides, "sides"), ["region", "block"]).select(*plain, "cell", "side")
-
-    dealt = work.cut(small.union(dealt), f"{name}-dealt")
-    whole = dealt.join(nodes.select("node", "sig"), "node")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["region", "side", "node"])
-        columns = [frame[c].to_numpy() for c in ("tree", "region", "side", "node", "n")]
-        a, b, e = _across(*columns, frame["sig"].tolist(), frame["component"].to_numpy(), every)
-        return pd.DataFrame({"a": a, "b": b, "likeness": e})
-
-    return whole.groupBy("cell").applyInPandas(compare, "a bigint, b bigint, likeness double")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, count: int, work: Scratch, name: str, share: int = 75) -> DataFrame:
+    dealt = large.join(work.cut(sides, "whole-sides"), ["region", "block"]).select(*plain, "cell", "side")
+    dealt = work.cut(small.union(dealt), "whole-dealt")
+    work.drop("whole-live", "whole-large")
+    return dealt
+
+
+def _whole_regions(nodes: DataFrame, docs: DataFrame, work: Scratch, held: Held, share: int = 75) -> DataFrame | None:
+    """Links that join all components with a pair of enough overlap in any region of any tree; None without any
+    likely pair."""
+    sigs = nodes.select("node", "sig")
+    dealt = _dealt(nodes, work).join(sigs, "node")
+    kinds = "tree int, region bigint, side int, node bigint, n bigint, component bigint, cell bigint"
+    chosen = dealt.groupBy("cell").applyInPandas(_with_partner, kinds)
+    if not work.write(chosen, "whole-chosen"):
+        return None
+    chosen = work.read("whole-chosen", kinds)
+    work.drop("whole-dealt")
+    held.fetch(docs, chosen.select("node"), "whole")
+    brought = chosen.join(sigs, "node").join(held.sets, "node")
+    found = brought.groupBy("cell").applyInPandas(lambda frame: _joining_links(frame, share), "a bigint, b bigint")
+    return work.cut(found, "whole-links")
+
+
+def _confirmed(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, work: Scratch, name: str, share: int = 75) -> DataFrame:
     """The pairs whose full sets overlap by ``share`` percent of their union.
 
-    Pairs are dealt by their first end into cells of about 500, those of a busy end to several; a set
+    Pairs, one per first end, are dealt into cells of about 500, or of fewer where sets are large; a set
     travels once to each cell that needs it, however many of its pairs are there.
     """
-    cells = max(64, count // CELL_PAIRS)
-    busy = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > CELL_PAIRS), "busy")
-    salt = F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("held") / CELL_PAIRS)), F.lit(0))
-    spread = pairs.join(busy, "a", "left").select("a", "b", F.pmod(F.xxhash64("a", salt), F.lit(cells)).alias("cell"))
-    dealt = work.cut(spread, f"{name}-pairs")
+    weight = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").agg(F.sum(F.ceil(F.col("n") / HEAVY))).first()[0]
+    cells = max(64, weight // CELL_PAIRS)
+    dealt = work.cut(pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(cells)).alias("cell")), f"{name}-pairs")
     ends = dealt.select("cell", F.col("a").alias("node")).union(dealt.select("cell", "b")).distinct()
     brought = ends.join(sets, "node").select(F.col("cell").alias("at"), "node", "members")
 
@@ -342,31 +375,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, count: int, work: Scratch, nam
     return work.cut(linked, f"{name}-links")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, rows: int, doc_id: str, text: str, k: int) -> DataFrame:
+    """(node, members) of the wanted nodes. A filter of the ids goes to where the texts are read, so that what
+    is not wanted is neither cut into shingles nor shuffled."""
+    bits = bits_for(rows)
+    place = F.shiftrightunsigned(F.xxhash64("node"), 64 - bits).alias("place")
+    known = docs.sparkSession.sparkContext.broadcast(filter_from(wanted.select(place), bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(b, k).tobytes() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "members"])
-
-    bodies = docs.select(F.col(doc_id).cast("bigint").alias("node"), utf8(text).alias("body"))
-    # The documents' side is the large one whatever the number of candidates: always the same plan.
-    bodies = bodies.join(wanted.hint("merge"), "node", "left_semi")
-    return bodies.mapInArrow(run, "node bigint, members binary")
-
-
-def _more_sets(
-    docs: DataFrame, chosen: DataFrame, sets: DataFrame | None, held: DataFrame | None, work: Scratch, name: str, doc_id: str, text: str, k: int
-) -> tuple[DataFrame, DataFrame]:
-    """The sets with those of the chosen nodes that were not held so far, and the nodes held now."""
-    wanted = chosen.select(F.col("a").alias("node")).union(chosen.select("b")).distinct()
-    if held is not None:
-        wanted = wanted.join(held, "node", "left_anti")
-    count = work.write(wanted, f"{name}-wanted")
-    if held is not None and not count:
-        return sets, held
-    wanted = work.read(f"{name}-wanted", wanted.schema)
-    more = work.cut(_sets(docs, wanted, doc_id, text, k), f"{name}-sets")
-    return (more, wanted) if sets is None else (sets.union(more), held.union(wanted))
+            some = batch.filter(pa.array(known.value.at(batch.column(2).to_numpy())))
+            found = [shingle_set(b, k).tobytes() for b in some.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], names=["node", "members"])
+
+    bodies = docs.select(F.col(doc_id).cast("bigint").alias("node"), utf8(text).alias("body")).filter("node is not null")
+    found = bodies.select("node", "body", place).mapInArrow(run, "node bigint, members binary")
+    return found.join(wanted, "node", "left_semi")
+
+
+class Held:
+    """The sets fetched so far; each is made from its text once."""
+
+    def __init__(self, work: Scratch, doc_id: str, text: str, k: int):
+        self.work, self.columns = work, (doc_id, text, k)
+        self.sets: DataFrame | None = None
+
+    def fetch(self, docs: DataFrame, nodes: DataFrame, name: str) -> None:
+        wanted = nodes.distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        rows = self.work.write(wanted, f"{name}-wanted")
+        if rows:
+            wanted = self.work.read(f"{name}-wanted", "node bigint")
+            more = self.work.cut(_sets(docs, wanted, rows, *self.columns), f"{name}-sets")
+            self.sets = more if self.sets is None else self.sets.union(more)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -384,53 +426,53 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = work.cut(real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
 
     plain = nodes.select("node", "n", "sig", F.col("node").alias("component"))
-    sets, held, had, links, comps, forest = None, None, None, None, None, plain
-    for name, central in ROUNDS.items():
-        if central == WHOLE:
-            break
+    held = Held(work, doc_id, text, k)
+    links = comps = had = None
+    forest = plain
+    for name in ("first", "second"):
         rows = _tree_rows(forest, work, name)
-        near = _candidates(rows, work, name, links is not None, 0.6, 1)
-        near = work.cut(near.distinct(), f"{name}-candidates")
+        near = work.cut(_candidates(rows, work, name, links is not None, LIKELY, 1).distinct(), f"{name}-candidates")
         # the most similar one of every node
         seen = near.union(near.select("b", "a", "likeness"))
         chosen = seen.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b"))
         count = work.write(chosen, f"{name}-chosen")
+        work.drop(f"{name}-rows", f"{name}-window", f"{name}-candidates")
         if not count:
             break
         chosen = work.read(f"{name}-chosen", chosen.schema)
-        had = chosen.select(F.col("a").alias("node")) if had is None else had  # an "a" of the first round: all that have a candidate
-        sets, held = _more_sets(docs, chosen, sets, held, work, name, doc_id, text, k)
-        found = _confirmed(chosen, sets, count, work, name)
+        held.fetch(docs, chosen.select(F.col("a").alias("node")).union(chosen.select("b")), name)
+        found = _confirmed(chosen, nodes, held.sets, work, name)
         links = found if links is None else links.union(found)
         comps = components(links, work, name)
-        forest = _thinned(plain, had, links, comps, work, name, central)
-    for name in ("spanning", "every"):  # all nodes, also those that had no candidate so far
-        forest = plain
-        if comps is not None:
-            forest = plain.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        chosen = _in_regions(work.cut(forest, f"{name}-forest"), work, name, name == "every").select("a", "b")
-        count = work.write(chosen, f"{name}-chosen")
-        if not count:
-            break
-        chosen = work.read(f"{name}-chosen", chosen.schema)
-        sets, held = _more_sets(docs, chosen, sets, held, work, name, doc_id, text, k)
-        found = _confirmed(chosen, sets, count, work, name)
+        if name == "first":
+            had = chosen.select(F.col("a").alias("node"))  # all that have a candidate
+            forest = _thinned(plain, had, links, comps, work, name, CENTRAL)
+    forest = plain  # all nodes, also those that had no candidate so far
+    if comps is not None:
+        forest = plain.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = _whole_regions(work.cut(forest, "whole-forest"), docs, work, held)
+    if found is not None:
         links = found if links is None else links.union(found)
-        comps = components(links, work, name)
+        comps = components(links, work, "whole")
     labels = nodes.select("fp1", "fp2", "n", "node")
     if comps is not None:
         labels = labels.join(comps, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("component"))
     else:
         labels = labels.withColumnRenamed("node", "component")
     labels = work.cut(labels, "labels")
-    found = sketch.join(labels, ["fp1", "fp2", "n"], "left")
+    found = sketch.select("doc_id", "fp1", "fp2", "n").join(labels, ["fp1", "fp2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        own.alias("component_id"),
-        F.col("doc_id").eqNullSafe(own).alias("kept"),
+    result = work.cut(
+        found.select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            own.alias("component_id"),
+            F.col("doc_id").eqNullSafe(own).alias("kept"),
+        ),
+        "result",
     )
+    work.keep_only("result")
+    return result
 
 
 def _thinned(
@@ -444,7 +486,8 @@ def _thinned(
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     known = had.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = work.cut(known.join(degree, "node", "left").fillna(0, ["degree"]), f"{name}-known")
-    size = stored(known.groupBy("component").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > max(WINDOW, central)), "large")
+    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > max(WINDOW, central))
+    size = work.cut(size, f"{name}-size")
     marked = work.cut(known.join(size, "component", "left"), f"{name}-marked")
     middle = (
         marked.filter("held is not null")

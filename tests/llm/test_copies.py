@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,8 +118,8 @@ def check_near(documents, rows):
 
 
 def test_texts_like_one_member_of_a_thinned_group(documents, monkeypatch):
-    """Few nodes stand for a large group in the second and third round; the last one has them all."""
-    monkeypatch.setattr(near_dup, "ROUNDS", {"first": 2, "second": 3, "third": near_dup.WHOLE, "rest": near_dup.WHOLE})
+    """Few nodes stand for a large group in the second round; the last one has them all."""
+    monkeypatch.setattr(near_dup, "CENTRAL", 2)
     base = [f"b{i}" for i in range(120)]
     rows = []
     for i in range(90):
@@ -155,6 +156,64 @@ def test_regions_in_blocks(documents, monkeypatch):
     check_near(documents, one_member_rows(240))
 
 
+def dense_cell(members):
+    """A cell of copies with four edits each, nearly all of them too far apart to be linked."""
+    draw, rows = random.Random(members), []
+    base = [f"b{i}" for i in range(110)]
+    for i in range(members):
+        copy = list(base)
+        for at in draw.sample(range(110), 4):
+            copy[at] = f"e{i}-{at}"
+        found = near_dup.shingle_set(" ".join(copy).encode())
+        sig = near_dup.signature(found).byteswap().tobytes()
+        rows.append((0, 7, 2, i, len(found), i, 1, sig, found.tobytes()))
+    frame = pd.DataFrame(rows, columns=["tree", "region", "side", "node", "n", "component", "cell", "sig", "members"])
+    shared = frame["sig"].map(lambda s: s[:6])  # rows of one region share the first values of its tree
+    return frame[shared == shared.mode()[0]].reset_index(drop=True)
+
+
+def test_a_cell_gives_fewer_links_than_nodes():
+    sizes = []
+    for members in (400, 800):
+        cell = dense_cell(members)
+        some = near_dup._with_partner(cell.drop(columns="members"))
+        assert 20 < len(some) <= len(cell)
+        links = near_dup._joining_links(cell[cell["node"].isin(some["node"])], 75)
+        sets = {r.node: set(np.frombuffer(r.members, np.uint64)) for r in cell.itertuples()}
+        assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in zip(links["a"], links["b"]))
+        # They join what all pairs join, and no two of them join the same.
+        group = {n: n for n in sets}
+
+        def root(x):
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        for a, b in zip(links["a"], links["b"]):
+            assert root(a) != root(b)
+            group[root(a)] = root(b)
+        nodes = sorted(sets)
+        for i, a in enumerate(nodes):
+            for b in nodes[:i]:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    assert root(a) == root(b)
+        sizes.append(len(some) + len(links))
+        assert len(links) < len(some)
+    assert sizes[1] <= 2.5 * sizes[0]
+
+
+def test_very_long_near_copies(documents):
+    draw = random.Random(6)
+    base = [f"w{draw.randrange(50_000)}" for _ in range(150_000)]
+    rows = []
+    for i, edits in enumerate([0, 3000, 3000, 20_000]):
+        copy = list(base)
+        for at in draw.sample(range(len(copy)), edits):
+            copy[at] = f"e{i}"
+        rows.append((i, " ".join(copy), "en", "a"))
+    check_near(documents, rows + [(9, "short", "en", "a")])
+
+
 def with_signatures(spark, monkeypatch, trees):
     """Signatures are taken from (doc_id: the values of each tree) instead of the texts."""
     real = near_dup._sketches
