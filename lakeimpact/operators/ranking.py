@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import Scratch
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+def rank_within(
+    df: DataFrame, group: list[str], order: list[str], name: str, work: Scratch | None = None
+) -> DataFrame:
     """Add the 1-based position of each row within its group.
 
     ``row_number`` over the group would sort the whole group in one task. Here rows are
     spread by range over (group, order), numbered inside their partition, and shifted by
     what earlier partitions hold of the same group: one small row per partition and group.
     The rows are stored in between, as another evaluation could cut the ranges elsewhere.
-    ``order`` has to be unique within a group.
+    ``order`` has to be unique within a group. The rows are stored in ``work`` where it is given, so that
+    its owner can delete them.
     """
     place = "_place"
     part = F.shiftright(place, 33)
@@ -23,7 +26,8 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], name: str) ->
         .sortWithinPartitions(*group, *order)
         .withColumn(place, F.monotonically_increasing_id())
     )
-    stored = Scratch(df.sparkSession, "rank").cut(ranged, "rows").withColumn("_part", part)
+    work = work or Scratch(df.sparkSession, "rank")
+    stored = work.cut(ranged, f"ranked-{name.strip('_')}").withColumn("_part", part)
     held = stored.groupBy(*group, "_part").agg(
         F.min(place).alias("_first"), F.count(F.lit(1)).alias("_held")
     )
