@@ -22,20 +22,26 @@ def normalised(text: str):
 
 
 def exact_dedup(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: str = CHUNK, fingerprint=F.xxhash64
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    chunk: str = CHUNK,
+    fingerprint=F.xxhash64,
+    work: Scratch | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Texts are equal when identical after each run of ASCII white space became one blank; null
     counts as empty. ``keep_id`` is the smallest non-null doc_id of the group. Rows that repeat
     the kept doc_id with an equal text are the same document and all marked kept; a null
-    doc_id is kept only in a group without any other id. Other columns are ignored.
+    doc_id is kept only in a group without any other id. Other columns are ignored. Intermediate tables
+    are in ``work`` where it is given; the result reads them.
 
     A chunk's identifier is its fingerprint plus an ordinal that tells different chunks of one
     fingerprint apart: every distinct chunk meets all others of its fingerprint, so equal
     identifiers mean equal bytes.
     """
-    work = Scratch(docs.sparkSession, "exact-dedup")
+    work = work or Scratch(docs.sparkSession, "exact-dedup")
     cut = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("_text")).withColumn(
         "_chunks", F.regexp_extract_all("_text", F.lit(chunk), F.lit(0))
     )

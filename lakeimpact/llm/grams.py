@@ -39,15 +39,16 @@ def shape(body: bytes, orders: tuple[int, ...], bits: int) -> np.ndarray:
     return np.sqrt(found / every).astype(np.float32) if every else found.astype(np.float32)
 
 
-MOST_LABELS = 1000
+MOST_LABELS, MOST_ROWS = 1000, 16_000
 
 
 def labelled_sample(
     rows: DataFrame, label: str, doc_id: str, text: str, most: int, features: Callable[[bytes], np.ndarray]
 ) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Vectors and labels of about ``most`` rows per label, ``most`` x labels at most; row counts per label.
+    """Vectors and labels of about ``most`` rows per label; row counts per label.
 
-    Rows are chosen by a hash of their id and text, so that the same input gives the same sample;
+    With many labels there are fewer of each, ``MOST_ROWS`` in all, so that the driver holds a bounded number of
+    vectors. Rows are chosen by a hash of their id and text, so that the same input gives the same sample;
     whole texts are turned to vectors on the executors. A model has a class per label, so more than
     ``MOST_LABELS`` of them are refused.
     """
@@ -56,12 +57,14 @@ def labelled_sample(
         raise ValueError(f"more than {MOST_LABELS} labels in {label}")
     if not held:
         return np.zeros((0, 0), np.float32), np.zeros(0, object), held
-    share = F.lit(0.0)
-    for value, n in held.items():
-        share = F.when(F.col(label) == F.lit(value), min(1.0, most / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 20)) / float(1 << 20)
+    most = max(1, min(most, MOST_ROWS // len(held)))
     kind = rows.schema[label].dataType.simpleString()
-    chosen = rows.filter(draw < share).select(F.col(label).alias("label"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    shares = [(value, min(1.0, most / n)) for value, n in held.items()]
+    shares = rows.sparkSession.createDataFrame(shares, f"_label {kind}, _share double")
+    rows = rows.select(F.col(label).alias("_of"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    draw = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 20)) / float(1 << 20)
+    chosen = rows.join(shares, F.col("_of") == F.col("_label")).filter(draw < F.col("_share"))
+    chosen = chosen.select("_label", F.coalesce("_text", F.lit("")).cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,10 +74,10 @@ def labelled_sample(
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(vectors, pa.binary())], names=["label", "vector"])
 
     got = chosen.mapInArrow(run, f"label {kind}, vector binary").take(most * len(held))
-    got.sort(key=lambda r: (r["label"], bytes(r["vector"])))  # tasks finish in any order
-    x = np.stack([np.frombuffer(r["vector"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 0), np.float32)
-    y = np.empty(len(got), object)
-    y[:] = [r["label"] for r in got]
+    got.sort(key=lambda r: (r["label"], r["vector"]))  # tasks finish in any order
+    x, y = np.empty((len(got), len(got[0]["vector"]) // 2 if got else 0), np.float32), np.empty(len(got), object)
+    for i, r in enumerate(got):
+        x[i], y[i], got[i] = np.frombuffer(r["vector"], np.float16), r["label"], None  # one copy is enough
     return x, y, held
 
 

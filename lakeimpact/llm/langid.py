@@ -66,7 +66,8 @@ def train(
     steps: int = 150,
     penalty: float = 1e-4,
 ) -> LanguageModel:
-    """Fit on at most ``most_per_language`` rows per language with a non-null language and text with a letter.
+    """Fit on at most ``most_per_language`` rows per language with a non-null language and text with a letter,
+    ``grams.MOST_ROWS`` in all.
 
     More than ``grams.MOST_LABELS`` languages among them raise ValueError.
     """
@@ -80,13 +81,18 @@ def train(
     signs = code[index]  # rows x bits
     # Languages weigh alike, whatever their rows.
     weight = (1.0 / np.bincount(index)[index] / len(languages)).astype(np.float32)[:, None]
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
 
-    def gradient(w):
-        wrong = 1 / (1 + np.exp(np.clip(signs * (x1 @ w), -50, 50)))
-        return -x1.T @ (weight * wrong * signs) + penalty * w
-
-    w = grams.descend(gradient, np.zeros((x1.shape[1], code.shape[1]), np.float32), 2.0, steps).astype(np.float32)
+    def gradient(w):  # the last row of w is the bias
+        found = penalty * w
+        for at in range(0, len(x), 1024):
+            some = slice(at, at + 1024)
+            wrong = 1 / (1 + np.exp(np.clip(signs[some] * (x[some] @ w[:-1] + w[-1]), -50, 50)))
+            pull = weight[some] * wrong * signs[some]
+            found[:-1] -= x[some].T @ pull
+            found[-1] -= pull.sum(axis=0)
+        return found
+
+    w = grams.descend(gradient, np.zeros((x.shape[1] + 1, code.shape[1]), np.float32), 2.0, steps).astype(np.float32)
     return LanguageModel(languages, code, w[:-1], w[-1])
 
 

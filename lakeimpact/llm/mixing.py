@@ -52,6 +52,7 @@ def mix_sources(
     seed: str = "mix",
     most: int = MOST,
     cycle: int = 3,
+    work: Scratch | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies, source.
 
@@ -62,8 +63,9 @@ def mix_sources(
     another, so taken words stay within about the largest document of the target.
     A null source is a source of its own. Repeated rows are rows of their own. A source
     without words has target 0 and gives nothing. Same input, same result.
+    Intermediate tables are in ``work`` where it is given; the result reads them.
     """
-    work = Scratch(docs.sparkSession, "mixing")
+    work = work or Scratch(docs.sparkSession, "mixing")
     key = F.struct(F.col(source).isNull().alias("missing"), F.coalesce(F.col(source), F.lit("")).alias("name"))
     sized = work.cut(
         docs.select(
@@ -80,7 +82,7 @@ def mix_sources(
     offset = (drawn.cast("double") + 0.5) / 4096
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     share = share.select("source_key", "source_size", "target", rate.alias("_rate"), offset.alias("_offset"))
-    ranked = rank_within(sized.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))), ["source_key"], ["size", "_id"], "_n")
+    ranked = rank_within(sized.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))), ["source_key"], ["size", "_id"], "_n", work)
     crossed = F.floor(F.col("_rate") * F.col("_n") + F.col("_offset")) - F.floor(
         F.col("_rate") * (F.col("_n") - 1) + F.col("_offset")
     )

@@ -411,16 +411,19 @@ class Held:
             self.sets = more if self.sets is None else self.sets.union(more)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, work: Scratch | None = None
+) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked when their sets of k-word shingles overlap by 75 % of the union or more;
     ``component_id`` is the smallest doc_id reachable over links, itself included, and ``kept`` says whether it is
     the row's own. Null and empty texts have an empty set and are linked with nothing. Rows with
     a null doc_id take no part: they form their own group and are kept. doc_ids are taken to be
-    unique; rows that repeat one are one node if their sets are equal. Other columns are ignored.
+    unique; rows that repeat one are one node if their sets are equal. Other columns are ignored. The result is
+    a table, in ``work`` where it is given; what led to it is deleted.
     """
-    work = Scratch(docs.sparkSession, "near-dup")
+    work = work or Scratch(docs.sparkSession, "near-dup")
     sketch = work.cut(_sketches(docs, doc_id, text, k), "sketch")
     real = sketch.filter("n > 0 and doc_id is not null")
     nodes = work.cut(real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")

@@ -46,6 +46,29 @@ def test_languages_at_the_edges(documents):
     assert {r.lang_pred for r in langid.identify(odd.filter("doc_id = 3"), single).collect()} == {"en"}
 
 
+def test_as_many_labels_as_are_taken(spark):
+    """A thousand labels are sampled within the bound on all rows, more are refused."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word ', id, ' of ', id % 1000) AS text", "concat('l', id % 1000) AS lang")
+    x, y, held = grams.labelled_sample(docs, "lang", "doc_id", "text", 1000, langid.features)
+    assert len(held) == 1000 and len(set(y)) == 1000 and x.shape == (3000, 1 << langid.BITS)
+    few = grams.labelled_sample(docs, "lang", "doc_id", "text", 1, langid.features)[1]
+    assert 500 < len(few) <= 1000
+    model = langid.train(docs, steps=2)
+    assert len(model.languages) == 1000
+    assert all(r.lang_pred in model.languages for r in langid.identify(docs.limit(5), model).collect())
+    more = docs.selectExpr("doc_id", "text", "concat('l', doc_id % 1001) AS lang")
+    with pytest.raises(ValueError, match="more than 1000"):
+        langid.train(more)
+
+
+def test_rows_of_the_sample_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(grams, "MOST_ROWS", 60)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "concat('l', id % 3) AS lang")
+    assert 20 < len(grams.labelled_sample(docs, "lang", "doc_id", "text", 1000, langid.features)[1]) <= 60
+    same = spark.range(3000).selectExpr("1 AS doc_id", "'one text' AS text", "'en' AS lang")  # all drawn or none
+    assert len(grams.labelled_sample(same, "lang", "doc_id", "text", 1000, langid.features)[1]) <= 60
+
+
 def test_quality(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     out = quality.learn_and_judge(docs, labels)

@@ -1,12 +1,15 @@
 """The pipeline against what its operators' contracts say, on small tables."""
 
 import hashlib
+from pathlib import Path
 
 import public_tokenizers
+import pytest
 import tiktoken
 
 import corpus_pipeline
 from lakeimpact.llm import bpe, langid, mixing
+from lakeimpact.session import scratch_root
 
 from .test_copies import normal, shingles
 
@@ -49,3 +52,35 @@ def test_stages_against_brute_force(spark, documents, tmp_path):
 def test_no_documents(spark, documents, tmp_path):
     documents([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+ODD = ["_key", "_copy", "_copies", "a.b", "x`y", "kept", "copies", "source_key", "_c0", "_text", "n", "_label", "ambiguous"]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_any_column_names(spark, stage):
+    """Extra columns of any name come out of each stage as they went in."""
+    rows = [(i, f"the cat and the dog were here {i} {'z' * (i % 9)}", "en", f"s{i % 2}", 5) for i in range(30)]
+    rows += [(i, f"der Hund und die Katze sind da {i}", "de", None, 6) for i in range(30, 60)] + [(99, rows[7][1], "en", "s1", 7)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *ODD]
+    docs = spark.createDataFrame([(*r, *[f"{c}-{r[0]}" for c in ODD]) for r in rows], names)
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+    if stage == "bpe":
+        assert out.count() == len(rows)
+        return
+    assert out.columns == names
+    given = {tuple(r) for r in docs.collect()}
+    kept = [tuple(r) for r in out.collect()]
+    assert kept and set(kept) <= given
+    if stage == "exact_dedup":
+        assert given - set(kept) == {tuple(r) for r in docs.filter("doc_id = 99").collect()}
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, documents, tmp_path):
+    rows = [(i, f"the cat and the dog {i} were {i % 5} here", "en", f"s{i % 2}") for i in range(40)]
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = set(root.iterdir()) if root.exists() else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    (left,) = set(root.iterdir()) - before
+    assert [p.name for p in left.iterdir()] == ["bpe"] and out.count() > 0
