@@ -39,9 +39,9 @@ PYTHON = [
     "        CREATE OR REPLACE TABLE main.l9.t<c> AS\n"
     '        SELECT * FROM {SOURCE} WHERE note <> \'FROM x\'"""\n    )\n',
     "def guess(spark, prefix):\n    spark.table(f\"{prefix}.t<c>\")\n"
-    '    spark.read.table("/Volumes/main/t<c>")\n    spark.sql(prefix)\n'
+    '    spark.read.table("s3://quays/t<c>.parquet")\n    spark.sql(prefix)\n'
     'plain = spark.read.table("main.l<l>.t<c>")\n',
-    'def broken(:\n    spark.table("main.l<l>.t<c>")\n',
+    'class Log\n    rows = spark.table("main.l<l>.t<c>")\n',
     'def both(spark, df):\n    spark.table("main.l<l>.t<c>"), spark.table("main.l<l>.t<c>")\n'
     '    df.write.insertInto(TARGET)\nTARGET = f"{BASE}.t<c>"\nBASE = "main.l<l>"\n',
 ]

@@ -7,15 +7,19 @@ from lakeimpact.operators.sqlrefs import known_table_refs, sql_table_refs
 
 # name: (text, reads, writes)
 CASES = {
-    "plain select": ("SELECT x FROM a.b.sales WHERE x > 0", {"a.b.sales"}, set()),
+    "one read": ("TABLESAMPLE aside, FROM port.quays q LIMIT 3", {"port.quays"}, set()),
     "create or replace": (
-        "\n CREATE OR REPLACE TABLE a.b.people AS\n SELECT CAST(k AS BIGINT) k FROM a.raw.people\n",
-        {"a.raw.people"},
-        {"a.b.people"},
+        "create  or\treplace table berths using delta partitioned by (dock) as (values (1, 'x'));\nrefresh table berths",
+        set(),
+        {"berths"},
     ),
     "create if not exists": ("CREATE TABLE IF NOT EXISTS t1 AS SELECT * FROM t2", {"t2"}, {"t1"}),
     "create view": ("create view v as select 1 from s.t", {"s.t"}, {"v"}),
-    "insert overwrite": ("INSERT OVERWRITE g.c SELECT c FROM s.x GROUP BY c", {"s.x"}, {"g.c"}),
+    "insert overwrite": (
+        "FROM port.calls c JOIN tides USING (hour) insert overwrite table port.log partition (year = 7) select c.ship",
+        {"port.calls", "tides"},
+        {"port.log"},
+    ),
     "insert into table": ("INSERT INTO TABLE g.c VALUES (1)", set(), {"g.c"}),
     "joins": ("SELECT 1 FROM s.a x\nLEFT JOIN s.b y USING (k) JOIN c ON 1=1", {"s.a", "s.b", "c"}, set()),
     "cte": ("with busy as (select dock, n from port.calls where n > 9) select max(n) from busy", {"port.calls"}, set()),
