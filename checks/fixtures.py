@@ -245,6 +245,19 @@ def owned_edges(spark, sf) -> DataFrame:
     return own(refs, symbols(spark, sf))
 
 
+def unseen(key):
+    """Some 2 % of the owned files can't be read any more."""
+    return key % 47 == 5
+
+
+def owned_sources_read(spark, sf) -> DataFrame:
+    """The owned files as they were read this time: (file_path, text, reason)."""
+    lost = unseen(F.regexp_extract("file_path", "[0-9]+", 0).cast("bigint"))
+    return owned_sources(spark, sf).select(
+        "file_path", F.when(~lost, F.col("text")).alias("text"), F.when(lost, F.lit("not UTF-8")).alias("reason")
+    )
+
+
 # The column each line of an owned file mentions: COLUMNS names c0, c1, ...
 COLUMNS = 11
 
@@ -290,13 +303,15 @@ def diffs(spark, sf) -> DataFrame:
         '{"files":[{"path":"m', key, '.py","changes":[{"name":"f1","type":"body_changed"},'
         '{"type":"removed","was":', key, '}]},{"path":"x.sql"},{"changes":[{"name":"lost"}]}]}',
     )
-    # Some payloads are no JSON at all.
+    # Some payloads are no JSON at all. Branches are conversations, times their turns.
     return (
         table(spark, sf, "lineitem")
         .select("l_orderkey")
         .distinct()
         .select(
             key.alias("change_id"),
+            (key % 1200).alias("branch"),
+            (key % 7).alias("changed_at"),
             F.when(key % 50 == 49, F.lit("{oops")).otherwise(payload).alias("payload"),
         )
     )

@@ -226,6 +226,13 @@ ck AS (
   UNION ALL
   SELECT branch, turn, 1, 'older' || tag, '', '', [] FROM one WHERE branch % 3 = 2)"""
 
+INTENTS = """
+dated AS (SELECT DISTINCT l_orderkey AS change_id, l_orderkey % 1200 AS branch, l_orderkey % 7 AS changed_at FROM lineitem),
+intents AS MATERIALIZED (
+  SELECT change_id, dated.branch, changed_at, id AS checkpoint_id, intent
+  FROM dated LEFT JOIN ck ON ck.branch = dated.branch AND turn <= changed_at
+  QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY turn DESC NULLS LAST, position) = 1)"""
+
 
 def oracle_sql() -> dict[str, str]:
     sql = {
@@ -314,7 +321,8 @@ def oracle_sql() -> dict[str, str]:
         "checkpoint_tables": f"""WITH {ENVELOPES}, {STATEMENT_TEXTS}, {REFS},
             files AS (SELECT DISTINCT branch, ck.id, unnest(files) AS file_path FROM ck)
             SELECT DISTINCT branch, files.id, table_name, type FROM files JOIN refs ON refs.id = file_path""",
-        "audit_summary": f"""WITH RECURSIVE {OWNED_EDGES},
+        "intent_at": f"""WITH {ENVELOPES}, {INTENTS} SELECT * FROM intents""",
+        "audit_summary": f"""WITH RECURSIVE {OWNED_EDGES}, {ENVELOPES}, {INTENTS},
             good_or_bad AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
             line_use AS MATERIALIZED (
               SELECT k, line, 'c' || ((k * 7 + line * line) % {COLUMNS}) AS column_name
@@ -324,13 +332,16 @@ def oracle_sql() -> dict[str, str]:
               FROM edges, (SELECT unnest(range({COLUMNS})) AS i) WHERE id % 5 <> 0),
             produced AS MATERIALIZED (
               SELECT DISTINCT table_name, column_name FROM edges JOIN (SELECT DISTINCT k, column_name FROM line_use) USING (k)
-              WHERE type = 'WRITES_TABLE'),
+              WHERE type = 'WRITES_TABLE' AND k % 47 <> 5),
+            blind AS MATERIALIZED (
+              SELECT table_name, count(DISTINCT k) AS files, bool_or(type = 'WRITES_TABLE') AS writing FROM edges WHERE k % 47 = 5 GROUP BY table_name),
             gone AS MATERIALIZED (SELECT change_id, table_name, column_name FROM written JOIN live USING (table_name)
-                     ANTI JOIN produced USING (table_name, column_name)),
+                     ANTI JOIN produced USING (table_name, column_name)
+                     ANTI JOIN (SELECT table_name FROM blind WHERE writing) USING (table_name)),
             scope AS MATERIALIZED (
               SELECT DISTINCT k, table_name, owner, coalesce(start_line, 1) AS a, coalesce(end_line, 80) AS b
               FROM edges LEFT JOIN symbols ON edges.file_path = symbols.file_path AND owner = name
-              WHERE type = 'READS_TABLE'),
+              WHERE type = 'READS_TABLE' AND k % 47 <> 5),
             in_scope AS MATERIALIZED (
               SELECT DISTINCT k, table_name, owner, column_name
               FROM (SELECT *, unnest(range(a, b + 1)) AS line FROM scope) JOIN line_use USING (k, line)),
@@ -339,16 +350,20 @@ def oracle_sql() -> dict[str, str]:
               SELECT change_id, count(*) AS findings FROM gone JOIN reading USING (table_name, column_name) GROUP BY ALL),
             per AS (
               SELECT change_id, count(*) AS tables_written, sum(coalesce(n, 0)) AS downstream,
-                     bool_or(table_name NOT IN (SELECT table_name FROM live)) AS unchecked
+                     bool_or(table_name NOT IN (SELECT table_name FROM live) OR files IS NOT NULL) AS unchecked, sum(files) AS files
               FROM written LEFT JOIN (SELECT start_table, count(*) AS n FROM radius GROUP BY ALL) ON start_table = table_name
-              GROUP BY ALL)
+              LEFT JOIN blind USING (table_name)
+              GROUP BY change_id)
             SELECT g.k AS change_id, CAST(CASE WHEN g.k % 50 = 49 THEN 0 ELSE 3 END AS BIGINT) AS entities,
                    CAST(coalesce(tables_written, 0) AS BIGINT) AS tables_written,
                    CAST(coalesce(downstream, 0) AS BIGINT) AS downstream,
                    CAST(coalesce(findings, 0) AS BIGINT) AS findings,
                    CAST((SELECT count(*) FROM edges) AS BIGINT) AS edges,
-                   CASE WHEN findings > 0 THEN 'BLOCK' WHEN unchecked OR g.k % 50 = 49 THEN 'UNVERIFIED' ELSE 'PASS' END AS verdict
-            FROM good_or_bad g LEFT JOIN per ON per.change_id = g.k LEFT JOIN finding ON finding.change_id = g.k""",
+                   CASE WHEN findings > 0 THEN 'BLOCK' WHEN unchecked OR g.k % 50 = 49 OR g.k % 47 = 5 THEN 'UNVERIFIED' ELSE 'PASS' END AS verdict,
+                   CAST(coalesce(files, 0) + CASE WHEN g.k % 47 = 5 AND g.k % 50 <> 49 THEN 1 ELSE 0 END AS BIGINT) AS blind_spots,
+                   g.k % 1200 AS branch, checkpoint_id, intent
+            FROM good_or_bad g LEFT JOIN per ON per.change_id = g.k LEFT JOIN finding ON finding.change_id = g.k
+            JOIN intents ON intents.change_id = g.k""",
     }
     sql["sessions_from_landing"] = sql["silver_sessions"]
     sql["users_from_landing"] = sql["silver_users"]

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lakeimpact.operators import checkpoints as ck
-from lakeimpact.operators import columns, graph, impact, medallion, overlay, pyrefs, sqlrefs
+from lakeimpact.operators import blind, columns, graph, impact, medallion, overlay, pyrefs, sqlrefs
 from lakeimpact.plans import audit as auditing
 from lakeimpact.session import Scratch, apply_settings, stored
 from lakeimpact.sources import landing, records, tables
@@ -214,16 +214,27 @@ def checkpoint_tables(spark, sf):
 
 
 def audit_summary(spark, sf):
-    diffs = fx.diffs(spark, sf)
+    """Files that can't be read any more keep their former edges; intent is that of the time of the change."""
+    diffs, sources = fx.diffs(spark, sf), fx.owned_sources_read(spark, sf)
+    unseen = blind.unseen_files(sources)
+    former = stored(fx.owned_edges(spark, sf), "former")
     return auditing.audit(
-        fx.owned_edges(spark, sf),
+        former.join(unseen, "file_path", "left_anti").select(*former.columns),
         records.changed_entities(diffs),
-        fx.owned_sources(spark, sf),
+        sources.where("reason is null").drop("reason"),
         fx.owned_catalog(spark, sf),
         changes=records.change_list(diffs),
+        unseen=unseen,
+        former=former,
+        history=_checkpoints(spark, sf).withColumnRenamed("turn", "recorded_at"),
     ).summary
 
 
+def intent_at(spark, sf):
+    changes = fx.diffs(spark, sf).drop("payload")
+    return ck.intent_at(changes, _checkpoints(spark, sf), recorded_at="turn")
+
+
 def sessions_from_landing(spark, sf):
     """Landing files of all events, read back by schema, to sessions."""
     raw = fx.raw_events(spark, sf)
@@ -261,7 +272,7 @@ REGISTERED = (
     python_file_edges, edges, ref_owner, symbols_from_ndjson, relation_records, table_graph,
     blast_radius, blast_radius_order, changed_entities, tables_written, consumers,
     columns_mentioned, dropped_columns, column_breaks, change_verdict, checkpoints_normalized,
-    latest_checkpoint, checkpoint_tables, audit_summary, sessions_from_landing,
+    latest_checkpoint, checkpoint_tables, intent_at, audit_summary, sessions_from_landing,
     users_from_landing, revenue_tables,
 )
 
