@@ -118,3 +118,48 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self.write(df, name)
         return self.read(name, df.schema)
+
+
+class Growing:
+    """A table that grows by rows of new keys, stored in buckets of its keys.
+
+    A join on the keys reads the buckets where they are: only the other side is exchanged, however much the
+    table holds by then. Rows carry the ``step`` they were appended in; 32 steps share
+    a folder, so that few folders have to be listed. The catalog knows the
+    table as long as the context lasts, no longer; the files belong to the scratch folder.
+    """
+
+    def __init__(self, work: Scratch, name: str, keys: list[str]):
+        self.spark, self.keys = work.spark, keys
+        self.path = f"{work.root}/{name}"
+        self.table = f"growing_{uuid.uuid4().hex}"
+        # As many buckets as an exchange has partitions, so that the other side fits as it is.
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.step = -1
+
+    def append(self, df: DataFrame) -> int:
+        """Store rows as the next step and return how many they are."""
+        self.step += 1
+        seen = Observation()
+        rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        rows = rows.withColumns({"step": F.lit(self.step), "_era": F.lit(self.step // 32)})
+        writer = rows.write.mode("append").format("parquet").partitionBy("_era").bucketBy(self.buckets, *self.keys)
+        writer.option("path", self.path).saveAsTable(self.table)
+        return seen.get["rows"]
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.table).drop("_era")
+
+    def last(self) -> DataFrame:
+        rows = self.spark.table(self.table)
+        return rows.where((F.col("_era") == self.step // 32) & (F.col("step") == self.step)).drop("step", "_era")
+
+    def files(self) -> DataFrame:
+        """All rows, as files that no catalog has to know."""
+        return self.spark.read.schema(self.spark.table(self.table).schema).parquet(self.path).drop("_era")
+
+    def __enter__(self) -> Growing:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")

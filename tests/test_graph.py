@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from lakeimpact.operators.graph import blast_radius, links, reached_tables, table_graph
+from lakeimpact.operators.graph import LONGEST_TRAIL, blast_radius, links, reached_tables, step_beyond, table_graph
 from lakeimpact.operators.ranking import rank_within
+from lakeimpact.session import Growing, Scratch
 
 
 def queue_order(start, graph):
@@ -108,3 +109,54 @@ def test_rank_within_a_group_that_fills_several_partitions(spark):
     for g in {g for g, _ in data}:
         values = sorted(v for h, v in data if h == g)
         assert sorted((r["n"], r["v"]) for r in ranked if r["g"] == g) == list(enumerate(values, 1))
+
+
+def chain(spark, n):
+    return frames(spark, [(f"t{i}", f"t{i + 1}") for i in range(n)], ["t0"])
+
+
+def test_rows_seen_are_not_exchanged(spark):
+    """Only the step moves: what was seen lies in buckets of its keys, whatever its size."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        work = Scratch(spark, "test")
+        hop = work.cut(chain(spark, 50)[1], "hop")
+        for keys in (["start_table", "table_name"], ["table_name"]):
+            with Growing(work, f"seen-{len(keys)}", keys) as seen:
+                for step in range(3):
+                    seen.append(spark.range(5).selectExpr(*[f"concat('t', id + {step}) AS {k}" for k in keys]))
+                plan = step_beyond(seen, [hop], False)._jdf.queryExecution().executedPlan().toString()
+                below = plan[: plan.find("Initial Plan")] if "Initial Plan" in plan else plan
+                own = below[below.rindex("\n   +- Sort") if "\n   +- Sort" in below else below.rindex("\n+- Sort") :]
+                assert "LeftAnti" in plan and "Bucketed: true" in own and "Exchange" not in own
+                assert len(seen.files().columns) == len(keys) + 1
+            assert not spark.catalog.tableExists(seen.table)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_a_long_chain_takes_the_same_jobs_per_level(spark, ordered):
+    def jobs(n):
+        starts, df = chain(spark, n)
+        spark.sparkContext.setJobGroup(f"chain-{n}-{ordered}", "walk")
+        found = blast_radius(starts, df, ordered=ordered)
+        count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}-{ordered}"))
+        assert found.count() == n
+        return count
+
+    short, long, longest = jobs(17), jobs(33), jobs(49)
+    assert longest - long == long - short  # 16 levels more
+
+
+def test_order_beyond_the_longest_trail(spark):
+    """Places at the ranked level stand for the names before it."""
+    rng = random.Random(11)
+    levels = [[f"{rng.choice('xyz')}{level:02}{i}" for i in range(4)] for level in range(2 * LONGEST_TRAIL + 5)]
+    pairs = [(a, b) for one, two in zip(levels, levels[1:]) for b in two for a in rng.sample(one, 2)]
+    graph = {}
+    for s, t in pairs:
+        graph.setdefault(s, set()).add(t)
+    starts, df = frames(spark, pairs, levels[0])
+    assert orders(blast_radius(starts, df, ordered=True)) == {t: queue_order(t, graph) for t in levels[0] if graph.get(t)}
