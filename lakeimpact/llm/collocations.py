@@ -34,8 +34,8 @@ BREAK = b"A"  # stands for the end of a piece, as no text has an A any more
 _PLAIN = bytes.maketrans(
     bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d" + b"\t", bytes(range(97, 123)) + BREAK * 10 + b" "
 )
-_BREAK_HASH = np.uint64(xxhash.xxh3_64_intdigest(BREAK))
 PIECE, TOGETHER = 4 << 20, 1 << 20  # bytes of a text and tokens that are looked at together
+MOST_CODES, MOST_LANGUAGES = 300_000, 16  # words, and languages, whose codes or counts a task keeps
 
 
 def token_lists(body: bytes, ahead: int) -> Iterator[tuple[list[bytes], int]]:
@@ -63,17 +63,44 @@ def _salts(languages: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(name.encode()) for name in languages), np.uint64, len(languages))
 
 
+_FLAGS = np.uint64(3)  # the two lowest bits of a word's code are no part of its hash
+_WORD, _GOOD = np.uint64(1), np.uint64(2)
+
+
 def phrase_hashes(languages: list[str], phrases: list[str]) -> np.ndarray:
-    """The hashes that :class:`Tokens` gives phrases of one length."""
+    """The hashes that phrases of one length have in all steps; they differ by language."""
     words = [p.encode().split(b" ") for p in phrases]
     if not words:
         return np.empty(0, np.uint64)
     size = len(words[0])
     flat = word_hashes([w for phrase in words for w in phrase])
-    flat = mix(flat ^ np.repeat(_salts(languages), size))
+    flat = mix(flat ^ np.repeat(_salts(languages), size)) & ~_FLAGS
     return gram_hashes(flat, size)[::size]
 
 
+class Codes(dict):
+    """word -> hash, marked as a frequent word and as a good one, for the words of one language met so far.
+
+    Breaks and words that are not frequent are 0. Looking a word up is all that is done per token; the
+    memory is bounded by forgetting.
+    """
+
+    def __init__(self, lang: str, known: Filter, good: Filter):
+        self.lang, self.known, self.good = lang, known, good
+
+    def __missing__(self, word: bytes) -> int:
+        code = 0
+        if word != BREAK:
+            hashes = phrase_hashes([self.lang], [word.decode()])
+            if self.known.has(hashes)[0]:
+                plain = mix(word_hashes([word]) ^ _salts([self.lang])) & ~_FLAGS
+                code = int(plain[0] | _WORD | (_GOOD if self.good.has(hashes)[0] else np.uint64(0)))
+        if len(self) >= MOST_CODES:
+            self.clear()
+        self[word] = code
+        return code
+
+
 def filter_of(phrases: DataFrame, rows: int) -> Filter:
     """The filter of a table (lang, phrase) of phrases of one length."""
     bits = bits_for(rows)
@@ -86,88 +113,108 @@ def filter_of(phrases: DataFrame, rows: int) -> Filter:
     return filter_from(phrases.select("lang", "phrase").mapInArrow(places, "place bigint"), bits)
 
 
-class Tokens:
-    """Tokens of some texts one after the other, with hashes that differ by language."""
-
-    def __init__(self):
-        self.tokens: list[bytes] = []
-        self.spans: list[tuple[str, int, int]] = []  # language, tokens, own tokens
-
-    def add(self, lang: str, found: list[bytes], own: int) -> None:
-        self.tokens += found
-        self.spans.append((lang, len(found), own))
-
-    def arrays(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Languages, the language of each token, hashes, whether it is a word, whether phrases may start there."""
-        names = sorted({lang for lang, _, _ in self.spans})
-        number = {lang: i for i, lang in enumerate(names)}
-        held = [n for _, n, _ in self.spans]
-        lang = np.repeat([number[s[0]] for s in self.spans], held)
-        plain = word_hashes(self.tokens)
-        offset = np.arange(len(plain)) - np.repeat(np.cumsum(held) - held, held)
-        own = offset < np.repeat([s[2] for s in self.spans], held)
-        return names, lang, mix(plain ^ _salts(names)[lang]), plain != _BREAK_HASH, own
-
+def _in_tokens(docs: DataFrame, ahead: int, counter) -> DataFrame:
+    """(lang, phrase, a) of the texts (lang, body): what ``counter()`` counts in their tokens, summed.
 
-def _in_tokens(docs: DataFrame, ahead: int, count) -> DataFrame:
-    """(lang, phrase, held) that ``count`` finds in the texts (lang, body), summed over all of them."""
+    A counter takes (lang, tokens, own tokens) and says whether it is full; ``rows()`` empties it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(some: Tokens) -> pa.RecordBatch:
-            langs, phrases, held = count(some)
+        count = counter()
+
+        def rows() -> pa.RecordBatch:
+            langs, phrases, held = count.rows()
             phrases = pa.array(phrases, pa.binary()).cast(pa.string())
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), phrases, pa.array(held, pa.int64())], names=["lang", "phrase", "held"])
 
-        some = Tokens()
         for batch in batches:
             for lang, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for found, own in token_lists(body.as_py(), ahead):
-                    some.add(lang, found, own)
-                    if len(some.tokens) >= TOGETHER:
-                        yield rows(some)
-                        some = Tokens()
-        if some.tokens:
-            yield rows(some)
+                    if count.add(lang, found, own):
+                        yield rows()
+        yield rows()
 
     found = docs.mapInArrow(run, "lang string, phrase string, held bigint")
     return found.groupBy("lang", "phrase").agg(F.sum("held").alias("a"))
 
 
-def _words(some: Tokens):
-    held, at = Counter(), 0
-    for lang, n, own in some.spans:
-        for word, times in Counter(some.tokens[at : at + own]).items():
-            held[lang, word] += times
-        at += n
-    found = [(lang, word, times) for (lang, word), times in held.items() if word != BREAK]
-    return tuple(zip(*found)) or ((), (), ())
-
+class Words:
+    """Counts single words."""
 
-def _grown(docs: DataFrame, size: int, known, good, before) -> DataFrame:
-    """Counts of the phrases of ``size`` words that start or end with a good word and whose part without the
-    other end was counted the step before."""
+    def __init__(self):
+        self.held: dict[str, Counter] = {}
+        self.size = 0
+
+    def add(self, lang: str, found: list[bytes], own: int) -> bool:
+        counted = self.held.setdefault(lang, Counter())
+        before = len(counted)
+        counted.update(found[:own])
+        self.size += len(counted) - before
+        return self.size >= MOST_CODES
+
+    def rows(self) -> tuple[list, list, list]:
+        langs, words, held = [], [], []
+        for lang, counted in self.held.items():
+            counted.pop(BREAK, None)
+            langs += [lang] * len(counted)
+            words += counted.keys()
+            held += counted.values()
+        self.held, self.size = {}, 0
+        return langs, words, held
+
+
+class Growth:
+    """Counts the phrases of ``size`` words that start or end with a good word and whose part without the other
+    end was counted the step before."""
+
+    def __init__(self, size: int, known: Filter, good: Filter, before: Filter):
+        self.size, self.known, self.good, self.before = size, known, good, before
+        self.codes: dict[str, Codes] = {}
+        self.tokens, self.parts, self.spans = [], [], []
+
+    def add(self, lang: str, found: list[bytes], own: int) -> bool:
+        if lang not in self.codes:
+            if len(self.codes) >= MOST_LANGUAGES:
+                self.codes.clear()
+            self.codes[lang] = Codes(lang, self.known, self.good)
+        look_up = self.codes[lang].__getitem__
+        self.parts.append(np.fromiter(map(look_up, found), np.uint64, len(found)))
+        self.tokens += found
+        self.spans.append((lang, len(found), own))
+        return len(self.tokens) >= TOGETHER
 
-    def count(some: Tokens):
-        names, lang, hashes, is_word, own = some.arrays()
-        rows = len(hashes) - size + 1
+    def rows(self) -> tuple[list, list, list]:
+        size, tokens, spans = self.size, self.tokens, self.spans
+        codes = np.concatenate(self.parts) if self.parts else np.empty(0, np.uint64)
+        self.tokens, self.parts, self.spans = [], [], []
+        rows = len(codes) - size + 1
         if rows <= 0:
-            return (), (), ()
-        single = gram_hashes(hashes, 1)
-        word = is_word & known.value.has(single)
-        fine = own[:rows].copy()
-        for j in range(size):
+            return [], [], []
+        word = codes != 0
+        fine = word[:rows].copy()
+        for j in range(1, size):
             fine &= word[j : j + rows]
-        promising = word & good.value.has(single)
-        first, last = promising[:rows], promising[size - 1 :]
+        good = codes & _GOOD != 0
+        first, last = good[:rows], good[size - 1 :]
         fine &= first | last
-        shorter = before.value.has(gram_hashes(hashes, size - 1))
-        fine &= (~first | shorter[:rows]) & (~last | shorter[1:])
+        ends = np.cumsum([n for _, n, _ in spans])
+        for end, (_, n, own) in zip(ends.tolist(), spans):  # what lies ahead belongs to the next stretch
+            if own < n - 1:
+                fine[end - n + own : end] = False
         at = np.flatnonzero(fine)
+        hashes = codes & ~_FLAGS
+        if size > 2:  # single words are frequent already
+            shorter = self.before.has(gram_hashes(hashes, size - 1))
+            at = at[(~first[at] | shorter[at]) & (~last[at] | shorter[at + 1])]
         _, place, held = np.unique(gram_hashes(hashes, size)[at], return_index=True, return_counts=True)
-        at = at[place].tolist()
-        return [names[i] for i in lang[at]], [b" ".join(some.tokens[i : i + size]) for i in at], held
+        at = at[place]
+        names = [lang for lang, _, _ in spans]
+        langs = [names[i] for i in np.searchsorted(ends, at, "right").tolist()]
+        return langs, [b" ".join(tokens[i : i + size]) for i in at.tolist()], held
+
 
-    return _in_tokens(docs, size - 1, count)
+def _grown(docs: DataFrame, size: int, known, good, before) -> DataFrame:
+    return _in_tokens(docs, size - 1, lambda: Growth(size, known.value, good.value, before.value))
 
 
 def _wave(docs: DataFrame, words: DataFrame, good: DataFrame, least: int, longest: int, work: Scratch) -> DataFrame:
@@ -261,7 +308,7 @@ def mine(
     bodies = docs.select(
         F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
     )
-    counted = work.cut(_in_tokens(bodies, 0, _words), "words")
+    counted = work.cut(_in_tokens(bodies, 0, Words), "words")
     totals = work.cut(counted.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     words = work.cut(counted.filter(F.col("a") >= least), "frequent")
 

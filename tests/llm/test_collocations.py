@@ -92,7 +92,7 @@ def test_growth_leaves_out_what_promises_too_little(documents):
     spark = documents([]).sparkSession
     rows = [(1, "the of the of and the " * 200 + ". " + ". ".join(f"p{i} q{i}" for i in range(30)) * 1, "en", "a")] * 4
     bodies = documents(rows).selectExpr("lang", "cast(text as binary) as body")
-    counted = co._in_tokens(bodies, 0, co._words)
+    counted = co._in_tokens(bodies, 0, co.Words)
     words = counted.filter("a >= 4").cache()
     good = words.filter("a <= 4").cache()
     held = co._wave(bodies, words, good, 4, 5, Scratch(spark, "test"))
@@ -124,6 +124,9 @@ def test_filters_know_all_of_their_set(documents):
     others = co.phrase_hashes(["en"] * 5000, [f"x{i} y{i}" for i in range(5000)])
     assert kept.has(others).mean() < 0.1
     assert not co.filter_of(spark.createDataFrame([], "lang string, phrase string"), 0).has(others).any()
-    some = co.Tokens()
-    some.add("ü", [b"w3", b"v3"], 2)
-    assert (co.gram_hashes(some.arrays()[2], 2) == co.phrase_hashes(["ü"], ["w3 v3"])).all() and isinstance(others, np.ndarray)
+    everything, nothing = co.Filter(16, np.full(1 << 13, 255, np.uint8)), co.Filter(16, np.zeros(1 << 13, np.uint8))
+    codes = co.Codes("ü", everything, nothing)
+    flat = np.array([codes[w] for w in (b"w3", b"v3")], np.uint64)
+    assert (co.gram_hashes(flat & ~co._FLAGS, 2) == co.phrase_hashes(["ü"], ["w3 v3"])).all()
+    assert codes[co.BREAK] == 0 and (flat & co._WORD).all() and not (flat & co._GOOD).any()
+    assert co.Codes("ü", nothing, everything)[b"w3"] == 0
