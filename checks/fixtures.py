@@ -407,6 +407,29 @@ def reader_edges(spark, sf) -> DataFrame:
     )
 
 
+# Files and tables of their own
+
+
+def source_tree(spark, sf) -> DataFrame:
+    """A file per customer: packages, SQL files with a name that Spark's readers skip, other files; two kinds of line ends."""
+    key = F.col("c_custkey")
+    path = F.when(key % 3 == 0, text("r", key % 20, "/p", key, "/__init__.py")).when(
+        key % 11 == 0, text("r", key % 20, "/notes", key, ".txt")
+    )
+    return table(spark, sf, "customer").select(
+        F.coalesce(path, text("r", key % 20, "/_q", key, ".sql")).alias("file_path"),
+        F.concat(F.lit("-- "), "c_name", F.when(key % 2 == 0, "\r\n").otherwise("\n"), text("SELECT ", key, "\rFROM t")).alias("text"),
+    )
+
+
+def order_tables(spark, sf, root: str) -> DataFrame:
+    """The orders as one Parquet table per ten customers, written below ``root``: (table_name, path)."""
+    number = F.floor(F.col("o_custkey") / 10).alias("k")
+    orders = table(spark, sf, "orders").withColumn("k", number)
+    orders.repartition("k").write.partitionBy("k").parquet(root)
+    return orders.select(text("main.o", F.col("k")).alias("table_name"), text(root, "/k=", F.col("k")).alias("path")).distinct()
+
+
 # Checkpoints
 
 

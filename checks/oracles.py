@@ -321,6 +321,14 @@ def oracle_sql() -> dict[str, str]:
         "checkpoint_tables": f"""WITH {ENVELOPES}, {STATEMENT_TEXTS}, {REFS},
             files AS (SELECT DISTINCT branch, ck.id, unnest(files) AS file_path FROM ck)
             SELECT DISTINCT branch, files.id, table_name, type FROM files JOIN refs ON refs.id = file_path""",
+        "source_files": """
+            SELECT 'r' || (c_custkey % 20) || CASE WHEN c_custkey % 3 = 0 THEN '/p' || c_custkey || '/__init__.py'
+                   ELSE '/_q' || c_custkey || '.sql' END AS file_path,
+                   concat('-- ', c_name, chr(10), 'SELECT ', c_custkey, chr(10), 'FROM t') AS text
+            FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 11 <> 0""",
+        "catalog_columns": f"""WITH column_list(column_name, data_type, ordinal) AS (VALUES {COLUMN_ROWS})
+            SELECT 'main.o' || k AS table_name, column_name, data_type, CAST(ordinal AS INTEGER) AS ordinal
+            FROM (SELECT DISTINCT o_custkey // 10 AS k FROM orders), column_list""",
         "intent_at": f"""WITH {ENVELOPES}, {INTENTS} SELECT * FROM intents""",
         "audit_summary": f"""WITH RECURSIVE {OWNED_EDGES}, {ENVELOPES}, {INTENTS},
             good_or_bad AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),

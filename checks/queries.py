@@ -10,7 +10,7 @@ from lakeimpact.operators import checkpoints as ck
 from lakeimpact.operators import blind, columns, graph, impact, medallion, overlay, pyrefs, sqlrefs
 from lakeimpact.plans import audit as auditing
 from lakeimpact.session import Scratch, apply_settings, stored
-from lakeimpact.sources import landing, records, tables
+from lakeimpact.sources import files, landing, records, tables
 
 from . import fixtures as fx
 
@@ -262,7 +262,22 @@ def revenue_tables(spark, sf):
     tables.overwrite_table(users, name)
     tables.replace_table_as(daily.withColumn("revenue", -F.col("revenue")), name)
     tables.insert_overwrite(daily, name)
-    return _cents(spark.table(name), "revenue")
+    # The rows outlive the table: nothing stays in the catalog.
+    rows = Scratch(spark, "revenue").cut(_cents(spark.table(name), "revenue"), "rows")
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+def source_files(spark, sf):
+    """A tree of source files, written and read back."""
+    root = f"{Scratch(spark, 'tree').root}/files"
+    files.write_source_files(fx.source_tree(spark, sf), root)
+    return files.read_source_files(spark, root)
+
+
+def catalog_columns(spark, sf):
+    """Columns of many tables from the footers of their files."""
+    return tables.file_columns(fx.order_tables(spark, sf, f"{Scratch(spark, 'tables').root}/orders"))
 
 
 REGISTERED = (
@@ -273,7 +288,7 @@ REGISTERED = (
     blast_radius, blast_radius_order, changed_entities, tables_written, consumers,
     columns_mentioned, dropped_columns, column_breaks, change_verdict, checkpoints_normalized,
     latest_checkpoint, checkpoint_tables, intent_at, audit_summary, sessions_from_landing,
-    users_from_landing, revenue_tables,
+    users_from_landing, revenue_tables, source_files, catalog_columns,
 )
 
 

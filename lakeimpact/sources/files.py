@@ -7,7 +7,9 @@ Spark's own file readers skip names that start with ``_`` or ``.``, which would
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -23,34 +25,62 @@ ENTRIES = "file_path string, is_dir boolean"
 BATCH_CHARACTERS = 16 << 20
 
 
-def _open(root: str) -> tuple[pafs.FileSystem, str]:
-    system, base = pafs.FileSystem.from_uri(root)
+LISTED_AT_ONCE = 10_000
+
+
+def open_root(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path in it of a path or URI as Spark takes it."""
+    uri = re.sub(r"^s3[an]:", "s3:", root)  # Hadoop's names of the same store
+    if "://" not in uri and not uri.startswith("/") and ":" not in uri:
+        uri = os.path.abspath(uri)
+    system, base = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
     return system, base.rstrip("/")
 
 
+def _entries(system: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool, bool]]:
+    """(name, is a folder, is a file) of what a folder holds; a local one is listed as it is read."""
+    if isinstance(system, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for entry in found:
+                yield entry.name, entry.is_dir(follow_symlinks=False), entry.is_file()
+        return
+    for info in _again(lambda: system.get_file_info(pafs.FileSelector(folder))):
+        yield info.base_name, info.type == pafs.FileType.Directory, info.type == pafs.FileType.File
+
+
+def _again(action: Callable, tries: int = 3):
+    """The action's result; a failure of storage may pass, so it is tried again and then fails the task."""
+    for left in reversed(range(tries)):
+        try:
+            return action()
+        except OSError:
+            if not left:
+                raise
+
+
 def list_source_files(spark: SparkSession, root: str) -> DataFrame:
     """Paths below ``root`` (relative to it) of all SQL and Python files.
 
     One job per directory depth: the directories found so far are spread over the tasks,
-    which list them. No list of paths passes through the driver.
+    which list them. No list of paths passes through the driver, and a task hands on what it lists
+    10,000 names at a time.
     """
     tasks = spark.sparkContext.defaultParallelism
 
     def list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _open(root)
-        local = isinstance(system, pafs.LocalFileSystem)
+        system, base = open_root(root)
+        found = []
         for batch in batches:
             for parent in batch["file_path"]:
-                found = []
-                selector = pafs.FileSelector(f"{base}/{parent}".rstrip("/"))
-                for info in system.get_file_info(selector):
-                    path = PurePosixPath(info.path).relative_to(base)
-                    is_dir = info.type == pafs.FileType.Directory
-                    if path.name in SKIPPED or (is_dir and local and os.path.islink(info.path)):
+                for name, is_dir, is_file in _entries(system, f"{base}/{parent}".rstrip("/")):
+                    if name in SKIPPED:
                         continue
-                    if is_dir or (info.type == pafs.FileType.File and path.suffix in SUFFIXES):
-                        found.append((str(path), is_dir))
-                yield pd.DataFrame(found, columns=["file_path", "is_dir"])
+                    if is_dir or (is_file and PurePosixPath(name).suffix in SUFFIXES):
+                        found.append((f"{parent}/{name}".lstrip("/"), is_dir))
+                    if len(found) >= LISTED_AT_ONCE:
+                        yield pd.DataFrame(found, columns=["file_path", "is_dir"])
+                        found = []
+        yield pd.DataFrame(found, columns=["file_path", "is_dir"])
 
     scratch = Scratch(spark, "source-files")
     level = scratch.cut(spark.createDataFrame([("", True)], ENTRIES), "level/depth=0")
@@ -65,22 +95,51 @@ def list_source_files(spark: SparkSession, root: str) -> DataFrame:
     return scratch.read("level", level.schema).where("not is_dir").select("file_path")
 
 
+def write_source_files(sources: DataFrame, root: str) -> None:
+    """Store each (file_path, text) as a file below ``root``, in UTF-8; null texts are left out.
+
+    A file is written beside its place and then takes it, so a task that is tried again or runs twice
+    leaves whole files.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_root(root)
+        written = 0
+        for batch in batches:
+            for path, text in zip(batch["file_path"], batch["text"]):
+                place = PurePosixPath(base, path)
+                system.create_dir(str(place.parent), recursive=True)
+                beside = str(place.with_name(f"{place.name}.{uuid.uuid4().hex}.part"))
+                with system.open_output_stream(beside) as stream:
+                    stream.write(text.encode())
+                system.move(beside, str(place))
+                written += 1
+        yield pd.DataFrame({"written": [written]})
+
+    rows = sources.select("file_path", "text").where("file_path is not null and text is not null")
+    rows.mapInPandas(write, "written bigint").agg({"written": "sum"}).collect()
+
+
 def _text_of(system: pafs.FileSystem, path: str, tries: int = 3) -> tuple[str | None, str | None]:
     """(text, None), or (None, reason) for another encoding or a file that may not be read.
 
     Any other failure may pass, so it is tried again and then fails the task.
     """
-    for left in reversed(range(tries)):
+
+    def read() -> bytes | None:
         try:
             with system.open_input_stream(path) as stream:
-                return stream.read().decode("utf-8"), None
-        except UnicodeDecodeError:
-            return None, "not UTF-8"
+                return stream.read()
         except PermissionError:
-            return None, "no permission"
-        except OSError:
-            if not left:
-                raise
+            return None
+
+    body = _again(read, tries)
+    if body is None:
+        return None, "no permission"
+    try:
+        return body.decode("utf-8"), None
+    except UnicodeDecodeError:
+        return None, "not UTF-8"
 
 
 def read_source_files(
@@ -93,7 +152,7 @@ def read_source_files(
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _open(root)
+        system, base = open_root(root)
         rows, held = [], 0
         for batch in batches:
             for path in batch["file_path"]:

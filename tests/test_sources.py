@@ -1,5 +1,6 @@
 """Readers and sinks over temporary folders and tables."""
 
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -72,6 +73,92 @@ def test_oversized_records_fail(spark):
     assert records.symbols_from_ndjson(broken).collect() == []
 
 
+def symbol(more):
+    return '{"record_type":"symbol","id":"a",' + more + "}"
+
+
+REFUSED = {
+    "long number": symbol('"n":' + "7" * 1200),
+    "long name": symbol(f'"{"k" * 60_000}":1'),
+    "deep": symbol('"x":' + "[" * 1200 + "]" * 1200),
+    "name twice": symbol('"id":"b"'),
+}
+
+
+@pytest.mark.parametrize("name", REFUSED)
+def test_lines_beyond_the_reader_fail(spark, name):
+    from lakeimpact.functions import semi
+
+    df = spark.createDataFrame([(REFUSED[name],)], "value string")
+    if df.select(semi.parse(F.col("value")).isNull()).first()[0]:
+        with pytest.raises(Exception, match="symbol line of"):
+            records.symbols_from_ndjson(df).collect()
+        listed = df.selectExpr("'b' AS branch", "concat('[', value, ']') AS payload")
+        with pytest.raises(Exception, match="checkpoint list of"):
+            records.checkpoint_envelopes(listed).collect()
+    else:
+        assert [r["id"] for r in records.symbols_from_ndjson(df).collect()] == ["a"]
+
+
+JSON_TEXTS = ['{}', '[]', '3', '"x"', ' [1, -2.5e+7 ,true,null,"a\\"b\\u00e9\\\\"] ', '{"a":{"b":[[],{}]},"":0}', '[{"a":1},{"b":[2]}]', "0", '"é日"', '{"a":"}]"}']
+OTHER_TEXTS = ["", " ", "{", "[1,]", "[1 2]", '{"a"}', '{"a":1,}', "{a:1}", "01", "1.", ".5", "+1", "tru", '"open', '"\\x"', '"\t"', "[}", '{"a":1]', "[1]]", "[[1]",
+               "'a'", "\x01", "[\x02]", "NaN", "1 2", '{"a":1 "b":2}', '{1:2}', "[,1]", "\\u0041", "{oops", "nulll", '"a""b"']
+
+
+def test_is_json_agrees_with_the_library(spark):
+    import json
+
+    from lakeimpact.functions import semi
+
+    draw = random.Random(4)
+    texts = JSON_TEXTS + OTHER_TEXTS
+    for _ in range(400):  # changed by a character
+        text = draw.choice(JSON_TEXTS)
+        at = draw.randrange(len(text))
+        texts.append(text[:at] + draw.choice(["", *'{}[]",:\\0 etn']) + text[at + draw.randrange(2) :])
+
+    def known(text):
+        try:
+            json.loads(text, parse_constant=lambda _: 1 / 0)
+            return True
+        except (ValueError, ZeroDivisionError):
+            return False
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["j"] for r in df.select("t", semi.is_json(F.col("t")).alias("j")).collect()}
+    assert [t for t in texts if got[t] != known(t)] == []
+    assert all(got[t] for t in JSON_TEXTS) and not any(got[t] for t in OTHER_TEXTS)
+    long = spark.range(1).select(F.concat(F.lit("["), F.repeat(F.lit('"x\\n",'), F.lit(300_000)), F.lit("0]")).alias("t"))
+    assert long.select(semi.is_json(F.col("t"))).first()[0]
+
+
+def test_columns_of_files(spark, tmp_path, rows):
+    spark.range(3).selectExpr("id", "array(1) AS xs", "cast(1 AS decimal(9,2)) AS d").write.parquet(str(tmp_path / "one"))
+    spark.range(3).selectExpr("cast(id AS string) AS name", "current_timestamp() AS at").write.partitionBy("name").parquet(str(tmp_path / "two"))
+    listed = spark.createDataFrame(
+        [("cat.one", str(tmp_path / "one")), ("cat.two", str(tmp_path / "two")), ("cat.none", str(tmp_path / "none"))], "table_name string, path string"
+    )
+    got = rows(tables.file_columns(listed))
+    assert got == [
+        ("cat.one", "d", "decimal(9,2)", 2), ("cat.one", "id", "bigint", 0), ("cat.one", "xs", "array<int>", 1), ("cat.two", "at", "timestamp", 0),
+    ]
+    assert rows(tables.file_columns(listed.limit(0))) == []
+
+
+def test_a_failing_replacement_leaves_the_old_rows(spark, rows):
+    spark.sql("CREATE DATABASE IF NOT EXISTS sink")
+    spark.sql("DROP TABLE IF EXISTS sink.kept")
+    tables.replace_table_as(spark.createDataFrame([(1, "a")], "x int, y string"), "sink.kept")
+    failing = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("half way")).cast("int")).otherwise(1).alias("z"))
+    with pytest.raises(Exception, match="half way"):
+        tables.replace_table_as(failing, "sink.kept")
+    assert rows(spark.table("sink.kept")) == [(1, "a")]
+    assert [t.name for t in spark.catalog.listTables("sink") if t.name.startswith("kept")] == ["kept"]
+    # The select may read the table that it replaces.
+    tables.replace_table_as(spark.table("sink.kept").selectExpr("x + 1 AS x", "y", "'n' AS z"), "sink.kept")
+    assert rows(spark.table("sink.kept")) == [(2, "a", "n")]
+
+
 def test_columns_of_tables(spark, rows):
     spark.sql("CREATE DATABASE IF NOT EXISTS cat")
     spark.sql("DROP TABLE IF EXISTS cat.t")
