@@ -75,6 +75,38 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0)))
 
 
+def name_shapes(name: Column) -> Column:
+    """struct<size, before, after>: how many words a name has and whether other characters stand before the first
+    and after the last one. A name without a word has size 0."""
+    parts = F.split(name, f"{WORD}+")
+    other = lambda part: (F.size(parts) > 1) & (part != "")
+    return F.struct(
+        (F.size(parts) - 1).alias("size"),
+        other(F.element_at(parts, 1)).alias("before"),
+        other(F.element_at(parts, -1)).alias("after"),
+    )
+
+
+def runs(words: str, gaps: str, size: int, before: bool, after: bool) -> Column:
+    """All pieces of a text of one shape, from its words and what stands between them (one more).
+
+    A piece lies between word boundaries, as :func:`mentions` asks for: what stands before its first
+    word is all that is there up to another word, and so is what stands after its last one.
+    """
+    first = 1 if before or not size else 0
+    last = F.size(words) - size - (1 if after or not size else 0)
+
+    def piece(i: Column) -> Column:
+        if not size:
+            return F.get(gaps, i)
+        own = [F.get(words, i)]
+        for k in range(1, size):
+            own += [F.get(gaps, i + k), F.get(words, i + k)]
+        return F.concat(*([F.get(gaps, i)] if before else []), *own, *([F.get(gaps, i + size)] if after else []))
+
+    return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), piece)).otherwise(F.array().cast("array<string>"))
+
+
 def is_word(name: Column) -> Column:
     return name.rlike(rf"^{WORD}+$")
 

@@ -9,9 +9,11 @@ from lakeimpact.operators.columns import (
     column_breaks,
     columns_mentioned,
     dropped_columns,
+    in_scopes,
     reader_mentions,
     word_lines,
 )
+from lakeimpact.session import Scratch
 
 CATALOG = "table_name string, column_name string, data_type string, ordinal int"
 NAMES = ["country", "user_id", "id", "Revenue", "order-id", "naïve", "größe", "a b", "$x", "x.y", "c++"]
@@ -113,6 +115,41 @@ def test_no_text_is_shuffled(spark, rows):
     assert "text" not in plan and "lines" not in plan
 
 
+ODD = ["order-id", "a b", "$x", "x.y", "c++", "%", "net total sum", "(x", "id", "a  b", "é-ß", "_a"]
+
+
+def test_names_that_are_no_word_equal_a_search_per_line(spark):
+    """Found beside the scan by their shape, on each line where a search finds them."""
+    rng = random.Random(7)
+    signs = ["a", "b", "x", "y", "c", "id", "order", "net", "total", "sum", "é", "ß", "_a", " ", "  ", "-", ".", "$", "+", "++", "%", "(", ")"]
+    lines = [*TEXTS, "a%b", "5 % 3", "%", "a(x)", "A B", "Net Total Sum", "a_a", "an É-ß", *["".join(rng.choices(signs, k=rng.randint(1, 9))) for _ in range(600)]]
+    sources = spark.createDataFrame([("f.py", "\n".join(lines))], "file_path string, text string")
+    got = {(r["line"], r["word"]) for r in word_lines(sources.select("file_path"), sources, catalog(spark, "t", ODD)).collect()}
+    expected = {(i, n.lower()) for i, x in enumerate(lines, 1) for n in ODD if mentioned(x, n)}
+    assert {n for _, n in expected} == {n.lower() for n in ODD}
+    assert got == expected
+
+
+def test_files_without_a_scope_are_left_out_at_the_scan(spark, rows):
+    """One plan for any number of files: bits that are broadcast, and no word of another file in an exchange."""
+    sources = spark.range(300_000).select(
+        F.concat(F.lit("f"), F.col("id"), F.lit(".py")).alias("file_path"), F.concat(F.lit("use c1 "), F.col("id")).alias("text")
+    )
+    plans = []
+    for n in (3, 2000):
+        work = Scratch(spark, "test")
+        files = work.cut(spark.range(n).select(F.concat(F.lit("f"), F.col("id"), F.lit(".py")).alias("file_path")), "files")
+        kept = in_scopes(sources, files, work)
+        assert kept.columns == sources.columns
+        names = {r["file_path"] for r in kept.collect()}
+        assert {f"f{i}.py" for i in range(n)} <= names and len(names) <= n + 100
+        plan = in_scopes(sources, files, Scratch(spark, "test"))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        plans.append([re.search(r"[A-Z]\w+", line).group() for line in plan.splitlines()])
+        assert word_lines(files, sources, catalog(spark, "t", ["c1"])).count() == n
+    assert plans[0] == plans[1]
+
+
 def test_breaks_name_each_reader_once(spark, rows):
     dropped = spark.createDataFrame([(1, "t", "a", "int", 0), (2, "t", "b", "int", 1)], "change_id int, " + CATALOG)
     readers = spark.createDataFrame(
