@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import COLUMNS
+from .fixtures import COLUMNS, ODD_NAMES
 from .templates import CTES, STATEMENTS, choose_sql, fill_sql
 
 # Event pipeline
@@ -195,6 +195,7 @@ pairs AS (
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 TYPES = ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"]
 COLUMN_ROWS = ", ".join(f"('{n}', '{t}', {i})" for i, (n, t) in enumerate(zip(ORDERS, TYPES)))
+ODD_ROWS = ", ".join(f"({i}, '{n}')" for i, n in enumerate(ODD_NAMES))
 CORE = f"""
 column_list(column_name, data_type, ordinal) AS (VALUES {COLUMN_ROWS}),
 live AS (
@@ -304,6 +305,9 @@ def oracle_sql() -> dict[str, str]:
         "columns_mentioned": f"""WITH {CORE}
             SELECT change_id, table_name, column_name FROM used WHERE mentioned""",
         "dropped_columns": f"WITH {CORE} SELECT * FROM dropped",
+        "odd_name_mentions": f"""WITH {CORE}, odd(ordinal, odd_name) AS (VALUES {ODD_ROWS})
+            SELECT table_name, odd_name AS column_name, consumer
+            FROM readers JOIN column_list USING (column_name) JOIN odd USING (ordinal)""",
         "column_breaks": f"""WITH {CORE}
             SELECT change_id, table_name, column_name, data_type, consumer
             FROM dropped JOIN readers USING (table_name, column_name)""",

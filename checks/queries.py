@@ -176,6 +176,12 @@ def _readers(spark, sf, dropped):
     return columns.reader_mentions(fx.reader_edges(spark, sf), fx.reader_files(spark, sf), gone)
 
 
+def odd_name_mentions(spark, sf):
+    """Readers of columns whose names are mostly no single word."""
+    catalog = fx.live_catalog(spark, sf, fx.ODD_NAMES)
+    return columns.reader_mentions(fx.reader_edges(spark, sf), fx.reader_files(spark, sf, fx.ODD_NAMES), catalog)
+
+
 def column_breaks(spark, sf):
     dropped = stored(dropped_columns(spark, sf), "dropped")
     return columns.column_breaks(dropped, _readers(spark, sf, dropped))
@@ -286,7 +292,7 @@ REGISTERED = (
     sql_refs_in_documents, cte_exclusion, known_table_refs, sql_file_edges, python_table_refs,
     python_file_edges, edges, ref_owner, symbols_from_ndjson, relation_records, table_graph,
     blast_radius, blast_radius_order, changed_entities, tables_written, consumers,
-    columns_mentioned, dropped_columns, column_breaks, change_verdict, checkpoints_normalized,
+    columns_mentioned, dropped_columns, odd_name_mentions, column_breaks, change_verdict, checkpoints_normalized,
     latest_checkpoint, checkpoint_tables, intent_at, audit_summary, sessions_from_landing,
     users_from_landing, revenue_tables, source_files, catalog_columns,
 )
