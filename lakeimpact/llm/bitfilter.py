@@ -39,7 +39,7 @@ def filter_from(places: DataFrame, bits: int) -> Filter:
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")
     )
     table = np.zeros(1 << bits >> 3, np.uint8)
-    for r in blocks.collect():
+    for r in blocks.take(max(1, 1 << bits >> 15)):
         own = table[(r["block"] - 1) << 12 : r["block"] << 12]
         own[:] = np.frombuffer(r["bitmap"], np.uint8)[: len(own)]
     return Filter(bits, table)

@@ -143,7 +143,7 @@ def codebooks(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     components) and move to the rounded-down mean of what is nearest to them, ``rounds`` times. Only the
     codebooks and their sums pass through the driver, whose size the parameters fix.
     """
-    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v").limit(entries).collect()
+    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v").take(entries)
     if not first:
         return np.zeros((parts, 0, 0), np.int64)
     books = np.array([r["v"] for r in first], np.int64).reshape(len(first), parts, -1).swapaxes(0, 1).copy()
@@ -168,8 +168,8 @@ def codebooks(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     for _ in range(rounds):
         found = rows.select("v").mapInArrow(sums, "part int, entry int, held bigint, total array<bigint>")
         found = found.select("part", "entry", "held", F.posexplode("total").alias("place", "total"))
-        moved = found.groupBy("part", "entry", "place").agg(F.sum("held").alias("held"), F.sum("total").alias("total")).collect()
-        for r in moved:
+        moved = found.groupBy("part", "entry", "place").agg(F.sum("held").alias("held"), F.sum("total").alias("total"))
+        for r in moved.take(books.size):
             books[r["part"], r["entry"], r["place"]] = r["total"] // r["held"]
     return books
 

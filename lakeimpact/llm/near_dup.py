@@ -380,11 +380,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, rows: int, doc_id: str, text: str,
     is not wanted is neither cut into shingles nor shuffled."""
     bits = bits_for(rows)
     place = F.shiftrightunsigned(F.xxhash64("node"), 64 - bits).alias("place")
-    known = docs.sparkSession.sparkContext.broadcast(filter_from(wanted.select(place), bits))
+    known = filter_from(wanted.select(place), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(known.value.at(batch.column(2).to_numpy())))
+            some = batch.filter(pa.array(known.at(batch.column(2).to_numpy())))
             found = [shingle_set(b, k).tobytes() for b in some.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], names=["node", "members"])
 
