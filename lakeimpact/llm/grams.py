@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stored
+
 _ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 _KNUTH = np.uint32(2654435761)
 
@@ -60,7 +62,8 @@ def labelled_sample(
     most = max(1, min(most, MOST_ROWS // len(held)))
     kind = rows.schema[label].dataType.simpleString()
     shares = [(value, min(1.0, most / n)) for value, n in held.items()]
-    shares = rows.sparkSession.createDataFrame(shares, f"_label {kind}, _share double")
+    # Stored, so that its size is known and the texts stay where they are.
+    shares = stored(rows.sparkSession.createDataFrame(shares, f"_label {kind}, _share double"), "shares")
     rows = rows.select(F.col(label).alias("_of"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     draw = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.join(shares, F.col("_of") == F.col("_label")).filter(draw < F.col("_share"))
