@@ -5,7 +5,7 @@ each dimension is a list of the candidates sorted by component, read from its to
 query component and from its bottom for a negative one. After a stretch of all lists a candidate's
 score lies between what was read plus the least and plus the most that the unread lists can add.
 Candidates whose upper bound is below the k-th best lower bound are outsiders; once few others are
-left, their scores are resolved and reading stops. All queries of a cell read in step, so
+left, their scores are resolved and reading stops. Some hundred queries of a cell read in step, so
 the bounds of a stretch are three matrix products.
 """
 
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Scratch
 
-QUERIES, CANDIDATES = 512, 8192  # rows of a cell
+QUERIES, CANDIDATES = 16_384, 8192  # rows of a cell: a candidate travels once per so many queries
+AT_ONCE = 512  # queries that read in step
 STRETCHES = (0.125, 0.25, 0.5, 0.75, 1.0)  # shares of the lists read, one after the other
 
 
@@ -68,11 +69,19 @@ def nra(queries: np.ndarray, vectors: np.ndarray, same: np.ndarray, k: int, few:
 def quantized(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
     """(vec_id, dims, v): floor(scale * x) per component; only whole, finite vectors with an id."""
     each = F.col(embedding).cast("array<double>")
+    # Scores and their bounds stay below 2**53, where doubles are exact.
+    most = F.sqrt(F.lit(2.0**53) / F.greatest(F.size(embedding), F.lit(1)))
+
+    def number(x):
+        told = F.concat(F.lit(f"a component times {scale} is not below "), F.floor(most).cast("string"))
+        told = F.raise_error(told).cast("bigint")
+        return F.when(F.abs(x * scale) < most, F.floor(x * scale).cast("bigint")).otherwise(told)
+
     whole = F.forall(each, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & whole).select(
         F.col(vec_id).cast("bigint").alias("vec_id"),
         F.size(embedding).alias("dims"),
-        F.transform(each, lambda x: F.floor(x * scale).cast("bigint")).alias("v"),
+        F.transform(each, number).alias("v"),
     )
 
 
@@ -84,7 +93,8 @@ def top_k(
     Queries are the rows whose id is divisible by ``every``; candidates all rows of the same number of
     dimensions with another id. Null ids, null vectors and vectors with a null or non-finite component
     take no part. Equal rows that repeat an id are one row; rows that repeat it with other components
-    are rows of their own. Components have to stay below 2**31 after scaling.
+    are rows of their own. A component beyond what scores are exact for (after scaling, the root of
+    2**53 / dimensions: 11,863,283 at 64) fails the job.
     """
     work = Scratch(vectors.sparkSession, "top-k")
     rows = work.cut(quantized(vectors, vec_id, embedding, scale).distinct(), "rows")
@@ -106,7 +116,8 @@ def top_k(
         ids, mine = held["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
         q, x = (np.stack([np.asarray(v, np.int64) for v in f["v"]]) for f in (asked, held))
         parts = []
-        for i, (left, scores) in enumerate(nra(q, x, mine[:, None] == ids[None, :], k)):
+        found = (f for at in range(0, len(q), AT_ONCE) for f in nra(q[at : at + AT_ONCE], x, mine[at : at + AT_ONCE, None] == ids[None, :], k))
+        for i, (left, scores) in enumerate(found):
             best = np.lexsort((ids[left], -scores))[:k]
             parts.append(pd.DataFrame({"query_id": mine[i], "query": zlib.crc32(q[i].tobytes()) >> 1, "vec_id": ids[left][best], "score": scores[best]}))
         return pd.concat(parts)
