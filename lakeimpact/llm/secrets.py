@@ -99,17 +99,33 @@ def _features(docs: DataFrame, found: DataFrame, work: Scratch, text: str, least
     )
 
 
+FOLDS = 5
+
+
 def _with_odds(rows: DataFrame, learned: DataFrame, work: Scratch) -> DataFrame:
-    """Adds, for path and neighbours, the smoothed log odds of a secret among the learned findings."""
+    """Adds, for path and neighbours, the smoothed log odds of a secret among the learned findings of other documents.
+
+    Documents are in folds; a finding that is learned from has the odds of the other folds, so that its own
+    label is not among what the forest is told about it.
+    """
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    # Findings that are not learned from are in no fold, and nothing is taken off for them.
+    rows = rows.withColumn("_fold", F.when(~F.col("held_out") & F.col("label").isNotNull(), fold).otherwise(-1))
     word = lambda c: F.lower(F.regexp_replace(c, r"[\"'(),.;]", ""))
     keys = {"path": F.col("path"), **{n: word(F.col(n)) for n in NEIGHBOURS}}
     for name, key in keys.items():
-        odds = learned.groupBy(key.alias(f"_{name}")).agg(
-            F.log((F.sum("label") + 0.5) / (F.sum(1 - F.col("label")) + 0.5)).alias(f"{name}_odds")
+        sums = learned.groupBy(key.alias(f"_{name}"), fold.alias("_fold")).agg(
+            F.sum("label").alias("_yes"), F.sum(1 - F.col("label")).alias("_no")
         )
-        odds = work.cut(odds, f"odds-{name}")
-        rows = rows.withColumn(f"_{name}", key).join(odds, f"_{name}", "left").drop(f"_{name}").fillna(0.0, [f"{name}_odds"])
-    return rows
+        sums = work.cut(sums, f"sums-{name}")
+        both = sums.groupBy(f"_{name}").agg(F.sum("_yes").alias("_all_yes"), F.sum("_no").alias("_all_no"))
+        both = work.cut(both, f"odds-{name}")
+        left = lambda every, own: F.col(every) - F.coalesce(own, F.lit(0)) + 0.5
+        odds = F.coalesce(F.log(left("_all_yes", "_yes") / left("_all_no", "_no")), F.lit(0.0)).alias(f"{name}_odds")
+        held = rows.columns
+        rows = rows.withColumn(f"_{name}", key).join(both, f"_{name}", "left").join(sums, [f"_{name}", "_fold"], "left")
+        rows = rows.select(*held, odds)
+    return rows.drop("_fold")
 
 
 def weak_label(before2: Column, before: Column, candidate: Column) -> Column:
