@@ -8,7 +8,7 @@ start or end with one by a word at a time, and scores those that do both, as the
 extensions by a word are then counted too. A language is settled when no word left promises as much as its
 last place has; ties are below that only if the bound is.
 
-A step of growth is one pass over the corpus. It knows the words and the phrases of the step before from
+A step of growth is one pass over the corpus; from four words on it grows by two. It knows the words and the phrases of the step before from
 filters of fixed size, so it may count phrases too many, never too few; counts themselves are exact.
 """
 
@@ -35,7 +35,7 @@ _PLAIN = bytes.maketrans(
     bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d" + b"\t", bytes(range(97, 123)) + BREAK * 10 + b" "
 )
 PIECE, TOGETHER = 4 << 20, 1 << 20  # bytes of a text and tokens that are looked at together
-MOST_CODES, MOST_LANGUAGES = 300_000, 16  # words, and languages, whose codes or counts a task keeps
+MOST_CODES = 300_000  # words whose codes or counts a task keeps from one stretch to the next
 
 
 def token_lists(body: bytes, ahead: int) -> Iterator[tuple[list[bytes], int]]:
@@ -63,8 +63,7 @@ def _salts(languages: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(name.encode()) for name in languages), np.uint64, len(languages))
 
 
-_FLAGS = np.uint64(3)  # the two lowest bits of a word's code are no part of its hash
-_WORD, _GOOD = np.uint64(1), np.uint64(2)
+_BREAK_HASH = np.uint64(xxhash.xxh3_64_intdigest(BREAK))
 
 
 def phrase_hashes(languages: list[str], phrases: list[str]) -> np.ndarray:
@@ -74,33 +73,10 @@ def phrase_hashes(languages: list[str], phrases: list[str]) -> np.ndarray:
         return np.empty(0, np.uint64)
     size = len(words[0])
     flat = word_hashes([w for phrase in words for w in phrase])
-    flat = mix(flat ^ np.repeat(_salts(languages), size)) & ~_FLAGS
+    flat = mix(flat ^ np.repeat(_salts(languages), size))
     return gram_hashes(flat, size)[::size]
 
 
-class Codes(dict):
-    """word -> hash, marked as a frequent word and as a good one, for the words of one language met so far.
-
-    Breaks and words that are not frequent are 0. Looking a word up is all that is done per token; the
-    memory is bounded by forgetting.
-    """
-
-    def __init__(self, lang: str, known: Filter, good: Filter):
-        self.lang, self.known, self.good = lang, known, good
-
-    def __missing__(self, word: bytes) -> int:
-        code = 0
-        if word != BREAK:
-            hashes = phrase_hashes([self.lang], [word.decode()])
-            if self.known.has(hashes)[0]:
-                plain = mix(word_hashes([word]) ^ _salts([self.lang])) & ~_FLAGS
-                code = int(plain[0] | _WORD | (_GOOD if self.good.has(hashes)[0] else np.uint64(0)))
-        if len(self) >= MOST_CODES:
-            self.clear()
-        self[word] = code
-        return code
-
-
 def filter_of(phrases: DataFrame, rows: int) -> Filter:
     """The filter of a table (lang, phrase) of phrases of one length."""
     bits = bits_for(rows)
@@ -164,76 +140,81 @@ class Words:
 
 
 class Growth:
-    """Counts the phrases of ``size`` words that start or end with a good word and whose part without the other
-    end was counted the step before."""
+    """Counts the phrases of some sizes that start or end with a good word, and whose first (last) words, as
+    many as the phrases counted the step before have, are one of those."""
 
-    def __init__(self, size: int, known: Filter, good: Filter, before: Filter):
-        self.size, self.known, self.good, self.before = size, known, good, before
-        self.codes: dict[str, Codes] = {}
+    def __init__(self, sizes: tuple[int, ...], known: Filter, good: Filter, before: Filter):
+        self.sizes, self.known, self.good, self.before = sizes, known, good, before
         self.tokens, self.parts, self.spans = [], [], []
 
     def add(self, lang: str, found: list[bytes], own: int) -> bool:
-        if lang not in self.codes:
-            if len(self.codes) >= MOST_LANGUAGES:
-                self.codes.clear()
-            self.codes[lang] = Codes(lang, self.known, self.good)
-        look_up = self.codes[lang].__getitem__
-        self.parts.append(np.fromiter(map(look_up, found), np.uint64, len(found)))
+        self.parts.append(word_hashes(found))
         self.tokens += found
         self.spans.append((lang, len(found), own))
         return len(self.tokens) >= TOGETHER
 
     def rows(self) -> tuple[list, list, list]:
-        size, tokens, spans = self.size, self.tokens, self.spans
-        codes = np.concatenate(self.parts) if self.parts else np.empty(0, np.uint64)
+        tokens, parts, spans = self.tokens, self.parts, self.spans
         self.tokens, self.parts, self.spans = [], [], []
-        rows = len(codes) - size + 1
-        if rows <= 0:
-            return [], [], []
-        word = codes != 0
-        fine = word[:rows].copy()
-        for j in range(1, size):
-            fine &= word[j : j + rows]
-        good = codes & _GOOD != 0
-        first, last = good[:rows], good[size - 1 :]
-        fine &= first | last
-        ends = np.cumsum([n for _, n, _ in spans])
+        out = [], [], []
+        if not spans:
+            return out
+        names = [lang for lang, _, _ in spans]
+        number = {lang: i for i, lang in enumerate(dict.fromkeys(names))}
+        of_span = _salts(list(number))[[number[lang] for lang in names]]
+        held = [n for _, n, _ in spans]
+        plain = np.concatenate(parts)
+        hashes = mix(plain ^ np.repeat(of_span, held))
+        single = gram_hashes(hashes, 1)
+        word = self.known.has(single) & (plain != _BREAK_HASH)
+        good = self.good.has(single) & word
+        ends = np.cumsum(held)
+        starts = np.ones(len(plain), bool)
         for end, (_, n, own) in zip(ends.tolist(), spans):  # what lies ahead belongs to the next stretch
             if own < n - 1:
-                fine[end - n + own : end] = False
-        at = np.flatnonzero(fine)
-        hashes = codes & ~_FLAGS
-        if size > 2:  # single words are frequent already
-            shorter = self.before.has(gram_hashes(hashes, size - 1))
-            at = at[(~first[at] | shorter[at]) & (~last[at] | shorter[at + 1])]
-        _, place, held = np.unique(gram_hashes(hashes, size)[at], return_index=True, return_counts=True)
-        at = at[place]
-        names = [lang for lang, _, _ in spans]
-        langs = [names[i] for i in np.searchsorted(ends, at, "right").tolist()]
-        return langs, [b" ".join(tokens[i : i + size]) for i in at.tolist()], held
-
-
-def _grown(docs: DataFrame, size: int, known, good, before) -> DataFrame:
-    return _in_tokens(docs, size - 1, lambda: Growth(size, known.value, good.value, before.value))
+                starts[end - n + own : end] = False
+        base = self.sizes[0] - 1
+        shorter = word if base == 1 else self.before.has(gram_hashes(hashes, base))
+        whole = word
+        for size in range(2, self.sizes[-1] + 1):  # whole: all words of the phrase that starts here are frequent
+            rows = len(plain) - size + 1
+            if rows <= 0:
+                break
+            whole = whole[:rows] & word[size - 1 :]
+            if size not in self.sizes:
+                continue
+            first, last = good[:rows], good[size - 1 :]
+            fine = whole & starts[:rows] & (first | last)
+            fine &= (~first | shorter[:rows]) & (~last | shorter[size - base : size - base + rows])
+            at = np.flatnonzero(fine)
+            _, place, times = np.unique(gram_hashes(hashes, size)[at], return_index=True, return_counts=True)
+            at = at[place]
+            out[0].extend(names[i] for i in np.searchsorted(ends, at, "right").tolist())
+            out[1].extend(b" ".join(tokens[i : i + size]) for i in at.tolist())
+            out[2].extend(times.tolist())
+        return out
+
+
+def _steps(longest: int) -> list[tuple[int, ...]]:
+    """Sizes counted in one pass: 2, 3, then two at a time, as few phrases have more words."""
+    steps = [(size,) for size in (2, 3) if size <= longest]
+    return steps + [tuple(range(size, min(size + 1, longest) + 1)) for size in range(4, longest + 1, 2)]
 
 
 def _wave(docs: DataFrame, words: DataFrame, good: DataFrame, least: int, longest: int, work: Scratch) -> DataFrame:
-    """(lang, phrase, size, a) of the phrases grown from good words, single words included; a table."""
-    shared = docs.sparkSession.sparkContext.broadcast
-    known = shared(filter_of(words, words.count()))
-    promising = shared(filter_of(good, good.count()))
-    tables, before = [words.withColumn("size", F.lit(1))], known
-    for size in range(2, longest + 1):
-        grown = _grown(docs, size, known, promising, before).filter(F.col("a") >= least)
-        rows = work.write(grown.withColumn("size", F.lit(size)), f"size-{size}")
-        if not rows:
+    """(lang, phrase, a, size) of the phrases grown from good words, single words included."""
+    known, promising = filter_of(words, words.count()), filter_of(good, good.count())
+    held, before = words.select("lang", "phrase", "a", F.lit(1).alias("size")), known
+    for sizes in _steps(longest):
+        grown = _in_tokens(docs, sizes[-1] - 1, lambda: Growth(sizes, known, promising, before)).filter(F.col("a") >= least)
+        name = f"size-{sizes[0]}"
+        if not work.write(grown.withColumn("size", F.size(F.split("phrase", " "))), name):
             break
-        found = work.read(f"size-{size}", "lang string, phrase string, a bigint, size int")
-        tables.append(found)
-        before = shared(filter_of(found, rows))
-    held = tables[0].select("lang", "phrase", "a", "size")
-    for more in tables[1:]:
-        held = held.unionByName(more)
+        found = work.read(name, "lang string, phrase string, a bigint, size int")
+        held = held.unionByName(found)
+        if sizes[-1] < longest:
+            longer = found.filter(F.col("size") == sizes[-1])
+            before = filter_of(longer, longer.count())
     return held
 
 

@@ -65,6 +65,7 @@ def test_collocations(documents, least, best, first_share):
 def test_shorter_phrases_and_no_rows(documents):
     rows = corpus(9, 20)
     assert sorted((tuple(r) for r in co.mine(documents(rows), least=3, longest=3).collect()), key=repr) == brute(rows, 3, 3, 2000)
+    assert sorted((tuple(r) for r in co.mine(documents(rows), least=3, longest=7).collect()), key=repr) == brute(rows, 3, 7, 2000)
     assert co.mine(documents(rows).limit(0)).collect() == []
     assert co.mine(documents([(1, "all words differ here", "en", "a")])).collect() == []
 
@@ -124,9 +125,23 @@ def test_filters_know_all_of_their_set(documents):
     others = co.phrase_hashes(["en"] * 5000, [f"x{i} y{i}" for i in range(5000)])
     assert kept.has(others).mean() < 0.1
     assert not co.filter_of(spark.createDataFrame([], "lang string, phrase string"), 0).has(others).any()
+
+
+def test_steps_of_growth():
+    assert co._steps(2) == [(2,)] and co._steps(3) == [(2,), (3,)] and co._steps(4) == [(2,), (3,), (4,)]
+    assert co._steps(5) == [(2,), (3,), (4, 5)] and co._steps(8) == [(2,), (3,), (4, 5), (6, 7), (8,)]
+
+
+def test_tokens_have_the_hashes_of_phrases():
     everything, nothing = co.Filter(16, np.full(1 << 13, 255, np.uint8)), co.Filter(16, np.zeros(1 << 13, np.uint8))
-    codes = co.Codes("ü", everything, nothing)
-    flat = np.array([codes[w] for w in (b"w3", b"v3")], np.uint64)
-    assert (co.gram_hashes(flat & ~co._FLAGS, 2) == co.phrase_hashes(["ü"], ["w3 v3"])).all()
-    assert codes[co.BREAK] == 0 and (flat & co._WORD).all() and not (flat & co._GOOD).any()
-    assert co.Codes("ü", nothing, everything)[b"w3"] == 0
+    grown = co.Growth((2,), everything, everything, everything)
+    for lang in ("ü", "en", "ü"):
+        grown.add(lang, [b"w3", b"v3", co.BREAK, b"w3", b"v3", b"x", co.BREAK], 5)
+    found = sorted(zip(*grown.rows()))
+    assert found == [("en", b"v3 x", 1), ("en", b"w3 v3", 2), ("ü", b"v3 x", 2), ("ü", b"w3 v3", 4)]
+    assert grown.rows() == ([], [], [])
+    assert not co.Growth((2,), nothing, everything, everything).rows()[0]
+    few = co.Growth((3,), everything, nothing, everything)
+    few.add("en", [b"a", b"b", b"c", co.BREAK], 3)
+    assert few.rows() == ([], [], [])
+    assert len(set(co.phrase_hashes(["en", "ü"], ["w3 v3", "w3 v3"]))) == 2
