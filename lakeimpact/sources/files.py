@@ -117,7 +117,7 @@ def write_source_files(sources: DataFrame, root: str) -> None:
         yield pd.DataFrame({"written": [written]})
 
     rows = sources.select("file_path", "text").where("file_path is not null and text is not null")
-    rows.mapInPandas(write, "written bigint").agg({"written": "sum"}).collect()
+    rows.mapInPandas(write, "written bigint").agg({"written": "sum"}).first()
 
 
 def _text_of(system: pafs.FileSystem, path: str, tries: int = 3) -> tuple[str | None, str | None]:

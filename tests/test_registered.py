@@ -1,6 +1,8 @@
 """Every registered query beside its SQL on the smallest tables, and what its plans avoid."""
 
 import importlib.util
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -65,3 +67,20 @@ def test_every_query_has_sql():
 def test_library_keeps_data_on_the_executors(word):
     for path in (ROOT / "lakeimpact").rglob("*.py"):
         assert word not in path.read_text(), path
+
+
+@pytest.mark.parametrize("missing, expected", [("zstandard", "left"), ("lakeimpact.functions.semi", "fails"), ("corpus_pipeline", "left")])
+def test_entry_without_a_module(missing, expected):
+    """A library that only the optional part needs does not take the other queries along; a missing module of ours does."""
+    code = (
+        "import sys\n"
+        f"class Missing:\n    def find_spec(self, name, path=None, target=None):\n        if name == {missing!r}:\n"
+        "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
+        "sys.meta_path.insert(0, Missing())\nimport __spark_entry__ as e\nprint(len(e.queries()))"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    if expected == "fails":
+        assert done.returncode and "ImportError" in done.stderr
+    else:
+        assert done.returncode == 0, done.stderr
+        assert int(done.stdout) == len(queries())
