@@ -1,11 +1,14 @@
 """Classifiers: held-out accuracy on given tables, and the edges."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakeimpact.llm import grams, langid, quality, secrets
 from lakeimpact.llm.common import crc_mod, table
+from lakeimpact.session import Scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,6 +28,90 @@ def test_counts_do_not_depend_on_pieces():
     assert grams.counts(b"", (2, 3), 12).sum() == 0
 
 
+def plain_counts(body, orders, bits):
+    """N-grams one by one."""
+    found = [0] * (1 << bits)
+    for n in orders:
+        for i in range(len(body) - n + 1):
+            v = int.from_bytes(body[i : i + n], "little") + n * 0x3C6EF35F
+            found[(v * 2654435761 & 0xFFFFFFFF) >> (32 - bits)] += 1
+    return found
+
+
+def some_texts(spark, n=25):
+    rows = table(spark, SF, "documents").orderBy("doc_id").limit(400).collect()
+    return [r for r in rows if r.text and len(r.text) < 3000][:n]
+
+
+def test_languages_equal_brute_force(spark):
+    """Features, losses and the nearest codeword of the fitted model, each by loops."""
+    docs = table(spark, SF, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    texts = some_texts(spark)
+    chosen = docs.filter(F.col("doc_id").isin([r.doc_id for r in texts]))
+    got = {r.doc_id: r for r in langid.identify(chosen, model).collect()}
+    for r in texts:
+        letters = "".join(c.lower() if c.isascii() and c.isalpha() else c if ord(c) > 127 else " " for c in r.text)
+        found = plain_counts(b" " + b" ".join(letters.encode().split()) + b" ", langid.ORDERS, langid.BITS)
+        x = [(c / sum(found)) ** 0.5 for c in found]
+        said = [sum(v * w for v, w in zip(x, column) if v) + b for column, b in zip(model.weights.T.tolist(), model.bias.tolist())]
+        losses = [sum(math.log1p(math.exp(-s * bit)) for s, bit in zip(said, word)) for word in model.code.tolist()]
+        share = math.exp(-min(losses)) / sum(math.exp(-loss) for loss in losses)
+        best = model.languages[losses.index(min(losses))]
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(share, abs=2e-3)
+        assert got[r.doc_id].ambiguous == (got[r.doc_id].score < 0.5)
+
+
+def test_quality_equals_brute_force(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = quality.train(docs.filter(~quality.held_out()), labels.filter(~quality.held_out()))
+    texts = some_texts(spark)
+    chosen = docs.filter(F.col("doc_id").isin([r.doc_id for r in texts]))
+    got = {r.doc_id: r for r in quality.judge(chosen, model).collect()}
+    for r in texts:
+        body = r.text.encode()
+        found = plain_counts(body.translate(quality._LOWER), quality.ORDERS, quality.BITS)
+        words, lines = body.split(), body.split(b"\n")
+        x = [(c / sum(found)) ** 0.5 for c in found]
+        x += [(sum(b in chars for b in body) / len(body)) ** 0.5 for chars in quality._KINDS.values()]
+        x += [len(set(words)) / len(words), len(set(lines)) / len(lines), min(1, sum(map(len, words)) / len(words) / 20), math.log1p(len(words)) / 12, 1]
+        raw = sum(v * w for v, w in zip(x, model.weights.tolist()))
+        score = 1 / (1 + math.exp(-(8 * (raw - model.threshold) / model.spread + math.log(0.3 / 0.7))))
+        assert got[r.doc_id].score == pytest.approx(score, abs=2e-3)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+
+
+def test_quality_at_the_edges(spark, documents):
+    """No rows, rows that repeat, a very long text, an id with both labels."""
+    rows = [(i, ("good plain words here " if i % 2 else "BAD!! BAD!! ") * 5, "en", "a") for i in range(40)]
+    rows += [(1, rows[1][1], "en", "a"), (50, "good plain words " * 120_000, "en", "a"), (None, None, None, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1)], "doc_id bigint, quality int")
+    docs = documents(rows)
+    model = quality.train(docs, labels)
+    got = quality.judge(docs, model).collect()
+    assert len(got) == len(rows)
+    said = {r.doc_id: r.predicted for r in got}
+    assert all(0 <= r.score <= 1 for r in got) and all(said[i] == i % 2 for i in range(40) if i != 3)
+    assert len({(r.score, r.predicted) for r in got if r.doc_id == 1}) == 1
+    none = docs.limit(0)
+    assert quality.judge(none, quality.train(none, labels)).collect() == []
+    assert quality.judge(none, model).collect() == []
+
+
+def test_odds_are_those_of_other_folds(spark):
+    """A word that only one document has says nothing about that document's own label."""
+    rows = [(i, "p", False, "c", "x", "word" if i < 40 else f"own{i}", "y", i % 2) for i in range(80)] + [(900, "p", True, "c", "x", "own50", "y", None)]
+    found = spark.createDataFrame(rows, "doc_id bigint, path string, held_out boolean, candidate string, before2 string, before string, after string, label int")
+    learned = found.filter("not held_out and label is not null")
+    odds = {r.doc_id: r.before_odds for r in secrets._with_odds(found, learned, Scratch(spark, "test")).collect()}
+    assert all(odds[i] == 0 for i in range(40, 80))
+    assert odds[900] == pytest.approx(math.log(0.5 / 1.5))  # not learned from: all findings of its word count
+    folds = {r.doc_id: r.fold for r in found.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(secrets.FOLDS)).alias("fold")).collect()}
+    for i in range(40):
+        others = [j % 2 for j in range(40) if folds[j] != folds[i]]
+        assert odds[i] == pytest.approx(math.log((sum(others) + 0.5) / (len(others) - sum(others) + 0.5)))
+
+
 def test_languages(spark):
     docs = table(spark, SF, "documents")
     out = langid.learn_and_identify(docs).join(docs.select("doc_id", "lang"), "doc_id")

@@ -42,6 +42,25 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_components_beyond_exact_scores_fail(spark):
+    for x in (1e300, 2.0**30, -(2.0**40)):
+        df = spark.createDataFrame([(0, [x] * 4), (1, [1.0] * 4)], "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="is not below"):
+            topk.top_k(df).collect()
+    most = math.floor(math.sqrt(2**53 / 4)) // 256
+    rows = [(0, [float(most)] * 4), (1, [float(most)] * 4), (2, [float(-most)] * 4)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 4 * (256 * most) ** 2), (2, -4 * (256 * most) ** 2)]
+
+
+def test_other_columns_of_any_name(spark):
+    names = ["v", "dims", "cell", "at", "qb", "cb", "rank", "query", "score", "query_id"]
+    rows = [(i, [float(i % 7), 1.0], *names) for i in range(120)]
+    plain = spark.createDataFrame([r[:2] for r in rows], "vec_id bigint, embedding array<double>")
+    other = spark.createDataFrame(rows, ["vec_id", "embedding", *names])
+    assert sorted(topk.top_k(other).collect()) == sorted(topk.top_k(plain).collect())
+
+
 def test_no_vectors(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
 
