@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -71,17 +72,47 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return Scratch(df.sparkSession, purpose).cut(df, "rows")
 
 
+_OWNER: ContextVar[Owned | None] = ContextVar("owner of scratch folders", default=None)
+
+
+class Owned:
+    """All scratch folders that are made while it is open, by whatever function.
+
+    Results that read them outlive the ``with``; :meth:`release` deletes the folders once the results have been stored.
+    """
+
+    def __init__(self):
+        self.folders: list[Scratch] = []
+
+    def __enter__(self) -> Owned:
+        self._token = _OWNER.set(self)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        _OWNER.reset(self._token)
+        outer = _OWNER.get()
+        if outer is not None:
+            outer.folders += self.folders
+
+    def release(self) -> None:
+        while self.folders:
+            self.folders.pop().release()
+
+
 class Scratch:
     """Tables written on the way to a result, under one new folder of the shared root.
 
     A written table cuts the lineage of an iterative job and survives the loss of any
     executor. The folder belongs to the result that reads it: drop it once that result
-    has been stored.
+    has been stored, here or through the :class:`Owned` that was open when it was made.
     """
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+        owner = _OWNER.get()
+        if owner is not None:
+            owner.folders.append(self)
 
     def write(self, df: DataFrame, name: str) -> int:
         """Store ``df`` as ``name`` and return its row count, counted by the writing job."""

@@ -1,10 +1,13 @@
 """Written tables, readers and verdicts; the safe and the breaking change from end to end."""
 
+from pathlib import Path
+
 import pytest
 
 from lakeimpact.operators import impact
 from lakeimpact.operators.checkpoints import checkpoints_normalized, latest_checkpoint
 from lakeimpact.plans.audit import audit
+from lakeimpact.session import Owned, scratch_root
 from lakeimpact.sources.records import change_list, changed_entities, checkpoint_envelopes
 
 from .test_columns import CATALOG, EDGE
@@ -173,3 +176,19 @@ def test_explained_checkpoint(spark):
 
     df = spark.createDataFrame([('{"checkpoint":{"id":"a"}}',), ('{"id":"b"}',), ("{}",)], "payload string")
     assert [r["id"] for r in checkpoints_normalized(explained_checkpoint(df)).collect()] == ["a", "b", ""]
+
+
+def test_an_audit_leaves_nothing_behind(spark, rows):
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    edges, sources = project(spark, {PATH: "\n".join(DROPPED)})
+    edges = edges.cache()
+    edges.count()
+    before = set(root.iterdir()) if root.exists() else set()
+    result = audit(edges, changed(spark, "fill"), sources, live(spark))
+    assert rows(result.verdict) == [("fill", "BLOCK")] and set(root.iterdir()) > before
+    result.release()
+    assert set(root.iterdir()) == before
+    with Owned() as outer:
+        audit(edges, changed(spark, "fill"), sources, live(spark))
+    outer.release()
+    assert set(root.iterdir()) == before
