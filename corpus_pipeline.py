@@ -13,17 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakeimpact.llm import bpe, exact_dedup, langid, mixing, near_dup
 from lakeimpact.llm.common import prepare, table
 from lakeimpact.llm.registry import RANK_FILE, public_tokenizers
-from lakeimpact.session import Scratch
-
-# What the stages stored for their results; ``run`` deletes it when it has written them.
-_stored: list[Scratch] = []
-
-
-def _begin(spark: SparkSession, stage: str) -> Scratch:
-    prepare(spark)
-    _stored.append(Scratch(spark, f"stage-{stage}"))
-    return _stored[-1]
-
+from lakeimpact.session import Owned, Scratch
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The documents with columns _c0, _c1, .., which clash with no other name, and the number of each name."""
@@ -40,7 +30,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what has a language: rejects texts that are null or have no letter, and ambiguous ones."""
-    _begin(spark, "language")
+    prepare(spark)
     rows, name = _numbered(docs)
     told = {"doc_id": name["doc_id"], "text": name["text"]}
     model = langid.train(rows.filter(~langid.held_out(name["doc_id"])), **told, lang=name["lang"])
@@ -51,16 +41,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id of equal texts."""
-    work = _begin(spark, "exact")
+    prepare(spark)
     rows, name = _numbered(docs)
-    return _without(docs, exact_dedup.dropped(rows, doc_id=name["doc_id"], text=name["text"], work=work))
+    return _without(docs, exact_dedup.dropped(rows, doc_id=name["doc_id"], text=name["text"]))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, the one with the smallest doc_id."""
-    work = _begin(spark, "near")
+    prepare(spark)
     rows, name = _numbered(docs)
-    found = near_dup.near_duplicates(rows, name["doc_id"], name["text"], work=work)
+    found = near_dup.near_duplicates(rows, name["doc_id"], name["text"])
     return _without(docs, found.filter(~F.col("kept")))
 
 
@@ -69,9 +59,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id get an even share of its copies, rounded.
     """
-    work = _begin(spark, "mixture")
+    prepare(spark)
     rows, name = _numbered(docs)
-    mixed = mixing.mix_sources(rows, name["doc_id"], name["text"], name["source"], work=work)
+    mixed = mixing.mix_sources(rows, name["doc_id"], name["text"], name["source"])
     least = F.lit(-(2**63))
     copies = mixed.groupBy(F.coalesce("doc_id", least).alias("_key")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
     keyed = rows.withColumn("_key", F.coalesce(name["doc_id"], least))
@@ -82,7 +72,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every row, encoded and decoded again."""
-    _begin(spark, "tokens")
+    prepare(spark)
     rows, name = _numbered(docs)
     rows = rows.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"))
     return bpe.encode_decode(rows, RANK_FILE, public_tokenizers.PATTERN)
@@ -105,11 +95,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     the next one is written, and so is all that a stage stored on the way."""
     docs = table(spark, sf_dir, "documents")
     work = Scratch(spark, "corpus-pipeline")
-    former, others = None, len(_stored)
+    former = None
     for name, stage in STAGES:
-        docs = work.cut(stage(spark, docs, sf_dir), name)
-        while len(_stored) > others:
-            _stored.pop().release()
+        with Owned() as stored:
+            docs = work.cut(stage(spark, docs, sf_dir), name)
+        stored.release()
         if former:
             work.drop(former)
         former = name
