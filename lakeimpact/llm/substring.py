@@ -1,13 +1,15 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring deduplication against indexed reference blocks.
+
+A stand-in for a relative Lempel-Ziv parse: phrases are looked up, not factored. A parse against every block
+would carry block, place and length of each factor, eight bytes and more per phrase where an answer here is one bit.
 
 1. Documents are packed into reference blocks of a few MB. A block is indexed by the hashes of its
    phrases (``least`` consecutive words); a phrase is listed once per block, by its first document.
 2. Index entries meet by phrase, in buckets of hash ranges. A block learns, one bit per entry,
    whether an earlier document of any block has the phrase.
-3. Each document is then factored greedily from the left: where the phrase at a word occurs in an
-   earlier document, the factor is extended word by word for as long as the phrase that ends there
-   occurs as well. A factor ends where that fails; the phrases that cross its boundary were looked up
-   too, so the next factor may start inside it, and factors that overlap become one span.
+3. Each document then becomes spans: runs of words at each of which a phrase starts that occurs in an earlier
+   document, with the phrases' own words. Runs that overlap become one span, which may so be made of phrases of several
+   earlier documents. Phrases are compared by 64-bit hashes, their words are not compared again.
 
 Texts travel once, for step 3. Index entries travel as packed arrays, eight bytes a phrase.
 """
@@ -136,8 +138,8 @@ def _per_document(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "key", "known", "found"])
 
 
-def factors(found: np.ndarray) -> list[tuple[int, int]]:
-    """Greedy factors as (first, last) phrase: maximal runs of phrases that occur earlier."""
+def runs(found: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of phrases that occur earlier, as (first, last) phrase."""
     edges = np.flatnonzero(np.diff(np.r_[False, found, False]))
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2])]
 
@@ -153,7 +155,7 @@ def _spans(body: bytes, known: bytes, found: bytes, least: int, buckets: int) ->
     by_hash = np.argsort(distinct)
     at = by_hash[np.searchsorted(distinct[by_hash], hashes)]
     spans: list[tuple[int, int]] = []
-    for a, b in factors(dup[at]):
+    for a, b in runs(dup[at]):
         if spans and a <= spans[-1][1]:  # starts inside the one before
             spans[-1] = (spans[-1][0], b + least)
         else:
