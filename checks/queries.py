@@ -222,7 +222,7 @@ def checkpoint_tables(spark, sf):
 def audit_summary(spark, sf):
     """Files that can't be read any more keep their former edges; intent is that of the time of the change."""
     diffs, sources = fx.diffs(spark, sf), fx.owned_sources_read(spark, sf)
-    unseen = blind.unseen_files(sources)
+    unseen = stored(blind.unseen_files(sources), "unseen")
     former = stored(fx.owned_edges(spark, sf), "former")
     return auditing.audit(
         former.join(unseen, "file_path", "left_anti").select(*former.columns),
