@@ -221,7 +221,8 @@ def checkpoint_tables(spark, sf):
 
 def audit_summary(spark, sf):
     """Files that can't be read any more keep their former edges; intent is that of the time of the change."""
-    diffs, sources = fx.diffs(spark, sf), fx.owned_sources_read(spark, sf)
+    # Sources are a table, as files that were read are; the texts are made once.
+    diffs, sources = fx.diffs(spark, sf), stored(fx.owned_sources_read(spark, sf), "sources")
     unseen = stored(blind.unseen_files(sources), "unseen")
     former = stored(fx.owned_edges(spark, sf), "former")
     return auditing.audit(
