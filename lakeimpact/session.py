@@ -54,7 +54,8 @@ def local_session(app: str, cores: int = 8, **conf: str) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, else one below the warehouse.
 
-    Both are places that every executor reaches; a folder of one machine is never taken.
+    Both are taken to be places that every executor reaches; what their paths mean is not checked, so a cluster
+    whose warehouse is a folder of the driver's machine needs ``spark.checkpoint.dir``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
