@@ -1,14 +1,12 @@
 """Quality rules: plain counts per text, and how far a text is from its language.
 
 Two histograms of a text, of character classes and of common words, are compared with those of its
-language by the Jensen-Shannon distance (in bits, 0 to 1, without the root). The languages' histograms are
+language by the Jensen-Shannon distance (in bits, 0 to 1). The languages' histograms are
 counted over all documents. Everything is a column expression; texts are never shuffled for it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import Scratch
@@ -23,7 +21,7 @@ NO_LANGUAGE = "und"
 COMMON = 32  # words in the histogram of a language
 LEAST_WORDS, LEAST_CHARACTERS = 100, 200  # a shorter text is not judged by that histogram
 LEAST_KNOWN = 1000  # words a language needs to be a reference
-MOST_WORD_DIVERGENCE, MOST_CLASS_DIVERGENCE = 0.2, 0.1
+MOST_WORD_DISTANCE, MOST_CLASS_DISTANCE = 0.45, 0.33
 
 
 def class_counts(text: Column) -> Column:
@@ -40,14 +38,15 @@ def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
 
 
-def divergence(p: Column, q: Column) -> Column:
+def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of shares of one length, in bits."""
 
     def part(a: Column, b: Column) -> Column:
         middle = (a + b) / 2
         return sum((F.when(x > 0, x * F.log2(x / middle)).otherwise(0.0) / 2 for x in (a, b)), F.lit(0.0))
 
-    return F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda total, one: total + one)
+    # Rounding can leave equal histograms a little below zero.
+    return F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda total, one: total + one), F.lit(0.0)))
 
 
 def references(docs: DataFrame, work: Scratch, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -143,15 +142,15 @@ def judge(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    most_words: float = MOST_WORD_DIVERGENCE,
-    most_classes: float = MOST_CLASS_DIVERGENCE,
+    most_words: float = MOST_WORD_DISTANCE,
+    most_classes: float = MOST_CLASS_DISTANCE,
 ) -> DataFrame:
     """One row per input row: doc_id, the counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words),
-    base_failed, word_divergence, class_divergence and kept.
+    base_failed, word_distance, class_distance and kept.
 
     Base rules: at least 50 words, at most half of them in three-word windows that the text has twice or more. Kept
     is what passes them and is not further from its language than ``most_words`` and ``most_classes``.
-    A divergence is null, and does not count, where the text has under 100 words of letters (200 characters
+    A distance is null, and does not count, where the text has under 100 words of letters (200 characters
     for the classes) or its language under 1,000 words in all documents. A null language is a language of its own
     (``und``), null texts are empty ones and fail the base rules, rows that repeat are rows of their own, and so
     are those of a null id. Texts are looked at whole, however long. Windows are compared by 64-bit hashes within
@@ -172,17 +171,17 @@ def judge(
     each = F.array(*[F.size("_found") - F.size(F.array_remove("_found", F.lit(k).cast("bigint"))) for k in range(1, COMMON + 1)])
     held = F.concat(F.slice(each, 1, F.size("common")), F.array(F.col("_n") - F.size("_found")))
     enough = (F.col("_n") >= LEAST_WORDS) & F.col("common").isNotNull()
-    by_words = F.when(enough, divergence(F.transform(held, lambda n: n / F.col("_n")), F.col("word_shares")))
+    by_words = F.when(enough, distance(F.transform(held, lambda n: n / F.col("_n")), F.col("word_shares")))
     enough = (F.col("_all") >= LEAST_CHARACTERS) & F.col("common").isNotNull()
-    by_classes = F.when(enough, divergence(F.transform("_classes", lambda n: n / F.col("_all")), F.col("class_shares")))
+    by_classes = F.when(enough, distance(F.transform("_classes", lambda n: n / F.col("_all")), F.col("class_shares")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = told.select(
         "doc_id",
         *counts,
         failed.alias("base_failed"),
-        F.round(by_words, 6).alias("word_divergence"),
-        F.round(by_classes, 6).alias("class_divergence"),
+        F.round(by_words, 6).alias("word_distance"),
+        F.round(by_classes, 6).alias("class_distance"),
     )
-    far = F.coalesce(F.col("word_divergence") > most_words, F.lit(False)) | F.coalesce(F.col("class_divergence") > most_classes, F.lit(False))
+    far = F.coalesce(F.col("word_distance") > most_words, F.lit(False)) | F.coalesce(F.col("class_distance") > most_classes, F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)

@@ -99,10 +99,10 @@ for _class in _CLASSES:
 _COUNTS = ", ".join([f"len({a}) - len({b})" for a, b in zip(_RESTS, _RESTS[1:])] + [f"len({_RESTS[-1]})"])
 
 
-def _divergence(p: str, q: str) -> str:
+def _distance(p: str, q: str) -> str:
     part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END / 2"
     a, b = f"{p}[i]", f"{q}[i]"
-    return f"list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(a, b)} + {part(b, a)}))"
+    return f"sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(a, b)} + {part(b, a)})), 0))"
 
 
 OP13 = rf"""
@@ -138,11 +138,11 @@ o AS (
          list_transform(list_append(found, n - list_sum(found)::BIGINT), lambda x: x / n) AS own_words, list_transform(classes, lambda x: x / n_all) AS own_classes
   FROM m),
 j AS (
-  SELECT *, CASE WHEN n >= 100 AND word_shares IS NOT NULL THEN round({_divergence("own_words", "word_shares")}, 6) END AS word_divergence,
-         CASE WHEN n_all >= 200 AND word_shares IS NOT NULL THEN round({_divergence("own_classes", "class_shares")}, 6) END AS class_divergence
+  SELECT *, CASE WHEN n >= 100 AND word_shares IS NOT NULL THEN round({_distance("own_words", "word_shares")}, 6) END AS word_distance,
+         CASE WHEN n_all >= 200 AND word_shares IS NOT NULL THEN round({_distance("own_classes", "class_shares")}, 6) END AS class_distance
   FROM o)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, word_divergence, class_divergence,
-       NOT base_failed AND coalesce(word_divergence, 0) <= 0.2 AND coalesce(class_divergence, 0) <= 0.1 AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, word_distance, class_distance,
+       NOT base_failed AND coalesce(word_distance, 0) <= 0.45 AND coalesce(class_distance, 0) <= 0.33 AS kept
 FROM j
 """
 
