@@ -21,6 +21,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from .common import give_back_memory
+
 _MASKS = [1 << b for b in range(256)]
 
 
@@ -220,6 +222,7 @@ def encode_decode(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         coder = _loaded(name, pattern)
         gc.disable()  # a million small tuples and no cycles
         try:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -72,5 +75,18 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back_memory() -> None:
+    """Return what earlier functions of this Python worker have freed to the system.
+
+    Workers live on from stage to stage, and the allocators keep freed memory. For functions that are about to
+    need much of it; where the C library has no such call, only Arrow's share is returned.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def wire(a: np.ndarray) -> bytes:
     return a.tobytes()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import Scratch
 from .bitfilter import bits_for, filter_from
-from .common import gram_hashes, mix, utf8, word_hashes
+from .common import give_back_memory, gram_hashes, mix, utf8, word_hashes
 from .components import components
 
 TREES, DEPTH, MINIMUM = 16, 8, 3  # minimum: values that candidates of one tree share at least
@@ -71,6 +71,7 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     schema = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for batch in batches:
             n, one, two, sigs = [], [], [], []
             for body in batch.column(1).to_pylist():
@@ -411,9 +412,7 @@ class Held:
             self.sets = more if self.sets is None else self.sets.union(more)
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, work: Scratch | None = None
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked when their sets of k-word shingles overlap by 75 % of the union or more;
@@ -421,9 +420,9 @@ def near_duplicates(
     the row's own. Null and empty texts have an empty set and are linked with nothing. Rows with
     a null doc_id take no part: they form their own group and are kept. doc_ids are taken to be
     unique; rows that repeat one are one node if their sets are equal. Other columns are ignored. The result is
-    a table, in ``work`` where it is given; what led to it is deleted.
+    a table; what led to it is deleted.
     """
-    work = work or Scratch(docs.sparkSession, "near-dup")
+    work = Scratch(docs.sparkSession, "near-dup")
     sketch = work.cut(_sketches(docs, doc_id, text, k), "sketch")
     real = sketch.filter("n > 0 and doc_id is not null")
     nodes = work.cut(real.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
