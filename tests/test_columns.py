@@ -11,6 +11,7 @@ from lakeimpact.operators.columns import (
     dropped_columns,
     in_scopes,
     reader_mentions,
+    word_blocks,
     word_lines,
 )
 from lakeimpact.session import Scratch
@@ -158,3 +159,24 @@ def test_breaks_name_each_reader_once(spark, rows):
     )
     got = rows(column_breaks(dropped, readers))
     assert got == [(1, "t", "a", "int", "x.py::f"), (1, "t", "a", "int", "y.sql")]
+
+
+def test_a_word_is_stored_once_for_all_its_lines_of_a_block(spark, rows):
+    """A row per block of 64 lines and word, not per line; scopes still end on the line."""
+    lines = ["use C1"] * 63 + ["use c2 c2"] * 2 + ["use c1"] * 80
+    sources = spark.createDataFrame([("f.py", "\n".join(lines))], "file_path string, text string")
+    names = catalog(spark, "t", ["c1", "c2"])
+    found = word_blocks(sources.select("file_path"), sources, names)
+    expected = {}
+    for at, line in enumerate(lines, 1):
+        for word in set(line.lower().split()) - {"use"}:
+            bits = expected.get((at // 64, word), 0) | 1 << at % 64
+            expected[at // 64, word] = bits
+    signed = lambda bits: bits - (1 << 64) if bits >> 63 else bits
+    assert rows(found) == sorted((("f.py", block, word, signed(bits)) for (block, word), bits in expected.items()), key=repr)
+    scopes = [(1, 63), (63, 63), (64, 64), (63, 64), (65, 65), (66, 66), (64, 127), (127, 128), (145, 145), (146, 200), (0, 0)]
+    edges = [(f"f.py::s{a}_{b}", "t", "READS_TABLE", "f.py", a, "literal", f"f.py::s{a}_{b}", f"s{a}_{b}", a, b) for a, b in scopes]
+    got = rows(reader_mentions(spark.createDataFrame(edges, EDGE), sources, names), "column_name", "consumer")
+    assert got == sorted(
+        {(c, f"f.py::s{a}_{b}") for a, b in scopes for c in ("c1", "c2") if any(c in x.lower() for x in lines[max(a, 1) - 1 : b])}, key=repr
+    )
