@@ -90,8 +90,8 @@ def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("language"),
     ).withColumns({"_words": F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)), "_classes": class_counts(body)})
 
-    def window(i: Column) -> Column:
-        return F.xxhash64(*[F.get("_words", i + j) for j in range(3)])
+    def window(word: Column, i: Column) -> Column:
+        return F.xxhash64(word, F.get("_words", i + 1), F.get("_words", i + 2))
 
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(WORDS))
     rows = rows.select(
@@ -103,7 +103,8 @@ def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         "_classes",
         F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         lines.alias("_lines"),
-        F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).alias("_hashes"),
+        # Over the words themselves; the last two begin no window.
+        F.when(n >= 3, F.slice(F.transform("_words", window), F.lit(1), n - 2)).alias("_hashes"),
     )
     # Most texts have no window twice; only the others have theirs sorted.
     placed = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
@@ -162,7 +163,7 @@ def judge(
     short = lambda t: F.octet_length(t) <= F.col("longest")  # noqa: E731  (most words are longer than all common ones)
     told = told.withColumns(
         {
-            "_found": F.filter(F.transform(F.filter("_tokens", short), lambda t: F.array_position("common", t)), lambda at: at > 0),
+            "_found": F.array_remove(F.transform(F.filter("_tokens", short), lambda t: F.array_position("common", t)), F.lit(0).cast("bigint")),
             "_n": F.size("_tokens"),
             "_all": F.aggregate("_classes", F.lit(0).cast("bigint"), lambda total, n: total + n),
         }

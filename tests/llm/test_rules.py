@@ -107,3 +107,12 @@ def test_junk_goes_and_prose_stays(documents):
     kept = {r.doc_id: r.kept for r in rules.judge(documents(rows)).collect()}
     assert not any(kept[i] for i in junk & set(kept))
     assert all(k for i, k in kept.items() if i is not None and i < 40)
+
+
+def test_windows_are_hashed_over_the_words_themselves(documents):
+    """No array of places is made for them, and the last window counts like the first."""
+    texts = ["a b c", "a b c a b c", "x a b c y a b c", "a b c x a b", "a a a a", "a b", ""]
+    docs = documents([(i, t, "en", "s") for i, t in enumerate(texts)])
+    counted = rules._counted(docs, "doc_id", "text", "lang")
+    assert [r["n_repeat_words"] for r in counted.orderBy("doc_id").collect()] == [0, 6, 6, 0, 4, 0, 0]
+    assert "sequence(" not in counted._jdf.queryExecution().optimizedPlan().toString()
