@@ -1,4 +1,4 @@
-"""Hashed byte n-grams of whole texts as dense vectors, and bounded labelled samples of them."""
+"""Hashed byte n-grams of whole texts as dense vectors, fits over all labelled ones, and bounded samples of them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import stored
+from ..session import Scratch, stored
+from .bitfilter import bits_for, filter_from
 
 _ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 _KNUTH = np.uint32(2654435761)
@@ -84,6 +85,77 @@ def labelled_sample(
     return x, y, held
 
 
+def labelled_vectors(
+    docs: DataFrame, known: DataFrame, label: str, doc_id: str, text: str, features: Callable[[bytes], np.ndarray], work: Scratch
+) -> DataFrame:
+    """(label, deal, vector) of every row of ``docs`` per row of ``known`` with its id, as a table of ``work``.
+
+    Vectors are made where texts are read, so no text is exchanged. Bits of the ids of ``known`` leave out most rows
+    without a label before that. ``deal`` is a hash of id and text, another one for each copy of a row.
+    """
+    known = work.cut(known.select(F.col(doc_id).alias("_id"), F.col(label).alias("label")), "known")
+    bits = bits_for(known.count())
+    filter_ = filter_from(known.select(F.shiftrightunsigned(F.xxhash64("_id"), 64 - bits).alias("place")), bits)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(doc_id).alias("_hash"), F.xxhash64(doc_id, text).alias("_key"), body.alias("_body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies: dict[int, int] = {}
+        for batch in batches:
+            wanted = filter_.has(batch.column(1).to_numpy().view(np.uint64))
+            some = pa.Table.from_batches([batch]).filter(pa.array(wanted)).combine_chunks()
+            for at in range(0, some.num_rows, 200):
+                part = some.slice(at, 200)
+                deals = []
+                for key in part.column(2).to_pylist():
+                    copies[key] = again = copies.get(key, -1) + 1
+                    deals.append((key + again * 0x9E3779B97F4A7C15) >> 1 & 0x3FFFFFFFFFFFFFFF)
+                vectors = [features(b).astype(np.float16).tobytes() for b in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).combine_chunks(), pa.array(deals, pa.int64()), pa.array(vectors, pa.binary())],
+                    names=["_id", "deal", "vector"],
+                )
+
+    found = rows.mapInArrow(run, f"_id {kind}, deal bigint, vector binary")
+    return work.cut(found.join(known, "_id").select("label", "deal", "vector"), "vectors")
+
+
+# Rows of a block, and the least number of each label among them where there are that many.
+BLOCK, LEAST = 4000, 50
+_UNIT = 2.0**32
+
+
+def fit_in_blocks(vectors: DataFrame, held: dict, fit: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The mean of the weights that ``fit`` finds in each block of about ``BLOCK`` vectors; all vectors are in one.
+
+    ``held`` has the number of vectors by label. Rows of a label that is rare go to as many blocks as it takes for each to have
+    some of it. The mean is taken by Spark in whole units, so that the order in which blocks end is of no consequence.
+    """
+    blocks = max(1, sum(held.values()) // BLOCK)
+    copies = F.lit(1)
+    for value, n in held.items():
+        if n < LEAST * blocks:
+            copies = F.when(F.col("label") == F.lit(value), min(blocks, -(-LEAST * blocks // n))).otherwise(copies)
+    dealt = vectors.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    dealt = dealt.select("label", "vector", F.pmod(F.col("deal") + F.col("copy"), F.lit(blocks)).alias("block"))
+
+    def run(table: pa.Table) -> pa.Table:
+        # Rows arrive in any order.
+        rows = sorted(zip(table.column("label").to_pylist(), table.column("vector").to_pylist()))
+        x = np.empty((len(rows), len(rows[0][1]) // 2), np.float32)
+        for i, (_, vector) in enumerate(rows):
+            x[i] = np.frombuffer(vector, np.float16)
+        w = fit(x, np.array([label for label, _ in rows], object)).astype(np.float64)
+        return pa.table({"weights": pa.array([w.tolist()], pa.list_(pa.float64()))})
+
+    found = dealt.groupBy("block").applyInArrow(run, "weights array<double>")
+    found = found.select(F.posexplode("weights").alias("at", "weight"))
+    found = found.groupBy("at").agg(F.sum(F.round(F.col("weight") * _UNIT).cast("bigint")).alias("sum"), F.count("weight").alias("n"))
+    mean = {r["at"]: r["sum"] / r["n"] / _UNIT for r in found.toLocalIterator()}
+    return np.array([mean[i] for i in range(len(mean))], np.float32)
+
+
 def descend(gradient: Callable[[np.ndarray], np.ndarray], w: np.ndarray, rate: float, steps: int) -> np.ndarray:
     """Gradient descent with Nesterov's momentum."""
     ahead, last = w, w

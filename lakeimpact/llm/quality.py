@@ -6,11 +6,15 @@ difference of their features; the threshold is a quantile of the scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ranking import rank_within
+from ..session import Owned, Scratch
 from . import grams
 from .common import crc_mod
 
@@ -61,28 +65,56 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    most_per_label: int = 4000,
     rivals: int = 8,
     steps: int = 300,
     penalty: float = 1e-5,
     seed: int = 11,
 ) -> QualityModel:
-    """Fit on at most ``most_per_label`` texts per label, each paired with ``rivals`` of the other.
+    """Fit on all labelled rows, in blocks whose weights are averaged: each row of the more frequent label of a block
+    is paired with ``rivals`` of the other, so that every row is in some pair.
 
-    The threshold is the score quantile at the share of label 0 among all labelled rows. Rows whose
+    The threshold is the score quantile at the share of label 0 among all labelled rows, from the scores of them all. Rows whose
     label is neither 0 nor 1 are ignored; with one label only, every score is the same.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(known, "_id")
-    x, y, held = grams.labelled_sample(rows, "_label", "_id", "_text", most_per_label, features)
-    if len(set(y)) < 2:
+    docs = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    with Owned() as mine:
+        work = Scratch(docs.sparkSession, "quality")
+        model = _fitted(docs, known, work, rivals, steps, penalty, seed)
+    mine.release()
+    return model
+
+
+def _fitted(docs: DataFrame, known: DataFrame, work: Scratch, rivals: int, steps: int, penalty: float, seed: int) -> QualityModel:
+    vectors = grams.labelled_vectors(docs, known, "_label", "_id", "_text", features, work)
+    held = {r["label"]: r["count"] for r in vectors.groupBy("label").count().take(2)}
+    if len(held) < 2:
         width = (1 << BITS) + len(_KINDS) + 5
         return QualityModel(np.zeros(width, np.float32), -1.0 if 1 in held else 1.0, 1.0)
+    w = grams.fit_in_blocks(vectors, held, lambda x, y: _fit(x, y, rivals, steps, penalty, seed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [float(np.frombuffer(v, np.float16).astype(np.float32) @ w) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], names=["label", "raw"])
+
+    scores = work.cut(vectors.select("label", "vector").mapInArrow(run, "label int, raw double"), "scores")
+    means = {r["label"]: r["mean"] for r in scores.groupBy("label").agg(F.avg("raw").alias("mean")).take(2)}
+    # The last score of the share of label 0, and the one after it.
+    placed = rank_within(scores.select(F.lit(0).alias("_all"), "raw"), ["_all"], ["raw"], "place", work)
+    at = [r["raw"] for r in placed.filter(F.col("place").isin(held[0], held[0] + 1)).take(2)]
+    return QualityModel(w, float(np.mean(at)), float(abs(means[1] - means[0])) or 1.0)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, rivals: int, steps: int, penalty: float, seed: int) -> np.ndarray:
+    """Weights of one block."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(good) or not len(bad):
+        return np.zeros(x.shape[1], np.float32)
     draw = np.random.default_rng(seed)
     pairs = max(len(good), len(bad)) * rivals
-    better = np.resize(draw.permutation(good), pairs)
-    worse = draw.choice(bad, pairs)
+    better, worse = np.resize(draw.permutation(good), pairs), np.resize(draw.permutation(bad), pairs)
+    draw.shuffle(worse)
 
     def gradient(w):
         score = x @ w
@@ -90,15 +122,7 @@ def train(
         pull = np.bincount(worse, wrong, len(x)) - np.bincount(better, wrong, len(x))
         return (x.T @ (pull / pairs).astype(np.float32)) + penalty * w
 
-    w = grams.descend(gradient, np.zeros(x.shape[1], np.float32), 4.0, steps).astype(np.float32)
-    score = x @ w
-    # Each row stands for the rows of its label that were not drawn.
-    mass = np.where(y == 1, held[1] / len(good), held[0] / len(bad))
-    order = np.argsort(score, kind="stable")
-    below = np.searchsorted(np.cumsum(mass[order]), held[0] - 1e-9)
-    here, above = score[order[min(below, len(order) - 1)]], score[order[min(below + 1, len(order) - 1)]]
-    spread = float(abs(score[good].mean() - score[bad].mean())) or 1.0
-    return QualityModel(w, float((here + above) / 2), spread)
+    return grams.descend(gradient, np.zeros(x.shape[1], np.float32), 4.0, steps).astype(np.float32)
 
 
 def judge(

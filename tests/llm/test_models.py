@@ -98,6 +98,34 @@ def test_quality_at_the_edges(spark, documents):
     assert quality.judge(none, model).collect() == []
 
 
+def test_quality_learns_from_every_labelled_row(spark, documents):
+    """The threshold is that of the scores of all rows, however many there are of a label."""
+    rows = [(i, f"w{i * 7919 % 1000} {'fine words of a text' if i % 3 else 'SHOUT !! 99'} v{i * 104729 % 977}", "en", "a") for i in range(13_000)]
+    docs = documents(rows)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 > 0 or doc_id % 21 = 0) AS quality")
+    model = quality.train(docs, labels)
+    scores = np.sort([model.raw(quality.features(t.encode()).astype(np.float16).astype(np.float32)) for _, t, _, _ in rows])
+    bad = sum(not (i % 3 or i % 21 == 0) for i in range(13_000))
+    assert bad == 3714
+    assert model.threshold == pytest.approx((scores[bad - 1] + scores[bad]) / 2, abs=1e-5)
+
+
+def test_vectors_and_blocks_hold_every_row(spark, documents, monkeypatch):
+    """Copies and ids with two labels count; each block has rows of the rare label."""
+    monkeypatch.setattr(grams, "BLOCK", 100)
+    monkeypatch.setattr(grams, "LEAST", 3)
+    docs = documents([(i, f"text {i}", None, None) for i in range(1000)] + [(5, "text 5", None, None)] * 500 + [(None, "x", None, None)])
+    known = spark.createDataFrame([(i, int(i >= 4)) for i in range(900)] + [(7, 0), (5000, 1)], "doc_id bigint, _label int")
+    work = Scratch(spark, "test")
+    vectors = grams.labelled_vectors(docs, known, "_label", "doc_id", "text", quality.features, work)
+    held = {r["label"]: r["count"] for r in vectors.groupBy("label").count().collect()}
+    assert held == {0: 5, 1: 1396}
+    # 14 blocks: the five rows of label 0 are in nine each.
+    assert grams.fit_in_blocks(vectors, held, lambda x, y: np.array([len(y), (y == 1).sum(), (y == 0).sum(), 1]))[:2] * 14 == pytest.approx([1396 + 45, 1396])
+    assert grams.fit_in_blocks(vectors, held, lambda x, y: np.array([min((y == 1).sum(), 50)]))[0] == 50
+    work.release()
+
+
 def test_odds_are_those_of_other_folds(spark):
     """A word that only one document has says nothing about that document's own label."""
     rows = [(i, "p", False, "c", "x", "word" if i < 40 else f"own{i}", "y", i % 2) for i in range(80)] + [(900, "p", True, "c", "x", "own50", "y", None)]
