@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lakeimpact.operators.overlay import build_edges, ref_owner, relation_records
 from lakeimpact.operators.graph import blast_radius, links, table_graph
+from lakeimpact.session import apply_settings
 
 SYMBOLS = "id string, name string, kind string, file_path string, start_line int, end_line int, ordinal int"
 
@@ -175,3 +178,15 @@ def test_relation_records(spark, tmp_path):
         "resolution": "inferred",
         "evidence": {"file_path": "etl/shelves.py", "line": 7},
     }
+
+
+def test_tasks_read_small_parts_of_an_exchange(spark):
+    """A task makes wide rows from what it reads, so its part must not grow with the input while there are partitions left."""
+    apply_settings(spark)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        dealt = spark.range(8_000_000).select(F.xxhash64("id").alias("key")).repartition("key")
+        assert dealt.groupBy(F.spark_partition_id()).count().count() >= 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
