@@ -216,8 +216,12 @@ def layered_edges(spark, sf) -> DataFrame:
     odd = n % 2 == 1
     layer = key % 6 + F.when(odd, 0).otherwise(1)
     name = text("L", layer, ".t", F.col("l_partkey"), "_", F.floor((n + 1) / 2))
+    # Made distinct before the texts are made: they name all three keys, and there is no name without all of them.
+    part = F.when(key.isNotNull() & n.isNotNull(), F.col("l_partkey")).alias("l_partkey")
     return (
         table(spark, sf, "lineitem")
+        .select("l_orderkey", "l_linenumber", part)
+        .distinct()
         .select(
             text("s", key).alias("from_id"),
             F.when(odd, READS).otherwise(WRITES).alias("type"),
@@ -225,7 +229,6 @@ def layered_edges(spark, sf) -> DataFrame:
             text("m", key, ".py").alias("file_path"),
             n.alias("line"),
         )
-        .distinct()
         .withColumn("resolution", F.lit("literal"))
     )
 
