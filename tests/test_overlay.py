@@ -190,3 +190,19 @@ def test_tasks_read_small_parts_of_an_exchange(spark):
         assert dealt.groupBy(F.spark_partition_id()).count().count() >= 9
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_references_are_read_once_and_not_multiplied(spark):
+    """A reference meets one row per size of blocks, however many symbols enclose it."""
+    symbols = spark.createDataFrame(
+        [(f"s{i}", f"n{i}", "a.py", 1, 9000 + i) for i in range(5)] + [("in", "in", "a.py", 4000, 4200)],
+        "id string, name string, file_path string, start_line int, end_line int",
+    )
+    lines = spark.range(10_000).selectExpr("'a.py' AS file_path", "CAST(id AS int) AS line", "id % 3 AS other")
+    found = ref_owner(lines, symbols)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and "Generate" not in plan
+    owners = {r["line"]: r["owner_id"] for r in found.collect()}
+    assert owners == {
+        n: None if n == 0 or n > 9004 else "in" if 4000 <= n <= 4200 else f"s{max(0, n - 9000)}" for n in range(10_000)
+    }
