@@ -180,3 +180,24 @@ def test_a_word_is_stored_once_for_all_its_lines_of_a_block(spark, rows):
     assert got == sorted(
         {(c, f"f.py::s{a}_{b}") for a, b in scopes for c in ("c1", "c2") if any(c in x.lower() for x in lines[max(a, 1) - 1 : b])}, key=repr
     )
+
+
+def test_a_use_is_one_row_whatever_its_table_is_wide(spark, rows):
+    """Columns become rows after the last join; names keep their case, and those listed twice stay two."""
+    from lakeimpact.operators.columns import scope_mentions
+
+    uses = spark.createDataFrame(
+        [("t", "a.py", 1, 2), ("t", "a.py", -1, -1), ("u", "a.py", 2, 3), ("none", "a.py", 1, 3)],
+        "table_name string, file_path string, start int, end int",
+    )
+    catalog = spark.createDataFrame(
+        [("t", "One"), ("t", "two"), ("t", "two"), ("u", "three"), ("u", "one"), (None, "one")],
+        "table_name string, column_name string",
+    )
+    sources = spark.createDataFrame([("a.py", "use one\nTWO\nthree")], "file_path string, text string")
+    found = scope_mentions(uses, sources, catalog)
+    assert rows(found, "table_name", "start", "column_name") == sorted(
+        [("t", s, c) for s in (1, -1) for c in ("One", "two", "two")] + [("u", 2, "three")], key=repr
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")
