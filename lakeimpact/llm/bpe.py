@@ -21,16 +21,19 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from .common import give_back_memory
+from .common import give_back_memory, hold_between_tasks
 
 _MASKS = [1 << b for b in range(256)]
+# A match of so many bytes at most has its positions in one small number.
+SHORT = 64
+_AFTER, _BEFORE = [*range(1, SHORT + 1)], [*range(-1, SHORT - 1)]
 
 
 class Bpe:
     """Encoder and decoder for one rank file and splitting pattern."""
 
-    # Distinct units and matches kept per worker; a full memory starts anew, which costs time only.
-    # What is longer than LONG hardly comes back.
+    # Distinct units and matches kept per worker, of which those not met for long go first; one of many tokens counts as
+    # several. A smaller number costs time only. What is longer than LONG hardly comes back.
     REMEMBERED = 1_000_000
     LONG = 64
 
@@ -45,6 +48,16 @@ class Bpe:
             if token[:i] in ranks and token[i:] in ranks
         }
         self.single = [ranks[bytes([b])] for b in range(256)]
+        # The same by the left token, then the right one, and for two bytes.
+        none: dict[int, int] = {}
+        self.joined_to = [none] * (max(self.tokens) + 1)
+        for key, rank in self.joined.items():
+            if not self.joined_to[key >> 32]:
+                self.joined_to[key >> 32] = {}
+            self.joined_to[key >> 32][key & 0xFFFFFFFF] = rank
+        self.joined_bytes = {(*token,): rank for token, rank in ranks.items() if len(token) == 2}.get
+        self.no_words = [0] * ((max(self.tokens) >> 8) + 1)
+        self.masks = [1 << b for b in range(max(256, len(self.no_words)))]
         self.decimal = {rank: str(rank) for rank in self.tokens}
         self.split = regex.compile(pattern)
         # White space as the pattern means it (Unicode's property, without U+001C to U+001F).
@@ -53,6 +66,8 @@ class Bpe:
         # can be cut there, and each unit be split and merged once.
         self.units = re.compile(f"[{space}]*[^{space}]+|[{space}]+")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.former: dict[str, tuple[int, ...]] = {}
+        self.weight = 0  # of what is in known
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match: lowest rank first, leftmost first.
@@ -63,6 +78,8 @@ class Bpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) <= SHORT:
+            return self._merge_short(piece)
         rank_of, masks, n = self.joined.get, _MASKS, len(piece)
         ids = [*map(self.single.__getitem__, piece)]  # of the token that starts at i
         after = list(range(1, n + 1))  # where the next token starts
@@ -150,26 +167,105 @@ class Bpe:
             i = after[i]
         return out
 
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """The same queue for a match of at most SHORT bytes: a bucket is a bitmap of its positions, whose lowest bit is
+        the next one, ``low`` is a list of all words, and it ends with the last pair that is not stale."""
+        joined, n = self.joined_to, len(piece)
+        ids = [*map(self.single.__getitem__, piece)]  # of the token that starts at i, None inside of one
+        after, before = _AFTER[:n], _BEFORE[:n]
+        pair = [*map(self.joined_bytes, zip(piece, piece[1:])), None]  # as last seen
+        buckets: dict[int, int] = {}
+        low = self.no_words.copy()
+        top = 0
+        masks = self.masks
+        for rank, place in zip(pair, masks):
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank] |= place
+                else:
+                    buckets[rank] = place
+                    low[rank >> 8] |= masks[rank & 255]
+                    top |= masks[rank >> 8]
+        open_pairs = n - pair.count(None)
+        while open_pairs:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            places = buckets.pop(rank)
+            i = (places & -places).bit_length() - 1
+            places &= places - 1
+            if places:
+                buckets[rank] = places
+            else:
+                low[word] = bits = bits & bits - 1
+                if not bits:
+                    top &= top - 1
+            if pair[i] != rank:  # stale
+                continue
+            open_pairs -= 1
+            middle = after[i]
+            ids[i] = rank
+            ids[middle] = None
+            end = after[i] = after[middle]
+            if end < n:
+                before[end] = i
+                if pair[middle] is not None:
+                    pair[middle] = None
+                    open_pairs -= 1
+                new = pair[i] = joined[rank].get(ids[end])
+                if new is not None:
+                    open_pairs += 1
+                    if new in buckets:
+                        buckets[new] |= masks[i]
+                    else:
+                        buckets[new] = masks[i]
+                        low[new >> 8] |= masks[new & 255]
+                        top |= masks[new >> 8]
+            else:
+                pair[i] = None
+            if i:
+                left = before[i]
+                if pair[left] is not None:
+                    open_pairs -= 1
+                new = pair[left] = joined[ids[left]].get(rank)
+                if new is not None:
+                    open_pairs += 1
+                    if new in buckets:
+                        buckets[new] |= masks[left]
+                    else:
+                        buckets[new] = masks[left]
+                        low[new >> 8] |= masks[new & 255]
+                        top |= masks[new >> 8]
+        return [rank for rank in ids if rank is not None]
+
+    def _keep(self, unit: str, found: tuple[int, ...]) -> None:
+        """Remember a unit. When half of what may be kept is new, what was not met since the half before goes."""
+        self.weight += 1 + len(found) // 16
+        if self.weight > self.REMEMBERED // 2:
+            self.former = self.known.copy()
+            self.known.clear()
+            self.weight = 1
+        self.known[unit] = found
+
     def _unit(self, unit: str) -> tuple[int, ...]:
         """Ids of a unit not met before, or not for long."""
-        known = self.known
-        matches = self.split.findall(unit)
-        if len(matches) == 1:
-            found = tuple(self.merge(unit.encode()))
-        else:
-            ids: list[int] = []
-            for match in matches:
-                part = known.get(match)
-                if part is None:
-                    part = tuple(self.merge(match.encode()))
-                    if len(match) <= self.LONG:
-                        known[match] = part
-                ids += part
-            found = tuple(ids)
+        found = self.former.pop(unit, None)
+        if found is None:
+            matches = self.split.findall(unit)
+            if len(matches) == 1:
+                found = tuple(self.merge(unit.encode()))
+            else:
+                ids: list[int] = []
+                for match in matches:
+                    part = self.known.get(match) or self.former.get(match)
+                    if part is None:
+                        part = tuple(self.merge(match.encode()))
+                        if len(match) <= self.LONG:
+                            self._keep(match, part)
+                    ids += part
+                found = tuple(ids)
         if len(unit) <= self.LONG:
-            if len(known) >= self.REMEMBERED:
-                known.clear()
-            known[unit] = found
+            self._keep(unit, found)
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -193,9 +289,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _loaded(name: str, pattern: str) -> Bpe:
+def _loaded(name: str, pattern: str, remembered: int) -> Bpe:
     """One coder per Python worker, kept between tasks."""
-    return Bpe(read_ranks(SparkFiles.get(name)), pattern)
+    coder = Bpe(read_ranks(SparkFiles.get(name)), pattern)
+    coder.REMEMBERED = remembered
+    return coder
 
 
 def encode_decode(
@@ -205,13 +303,15 @@ def encode_decode(
     doc_id: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
+    remembered: int = Bpe.REMEMBERED,
 ) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes[, ids, decoded].
 
     Encodes each whole text (null: empty, no tokens) without special tokens, then decodes
     the ids. The digests are those of the ids in decimal joined by commas and of the decoded
     bytes; ``with_ids`` adds the ids and decoded text. Repeated rows, null ids and
-    further columns are of no consequence. The rank file is shipped to every executor by Spark.
+    further columns are of no consequence. ``remembered`` bounds the memory of matches of a worker (some 280 MB
+    for a million) and is of no consequence but for time. The rank file is shipped to every executor by Spark.
     """
     docs.sparkSession.sparkContext.addFile(rank_file)
     name = rank_file.rsplit("/", 1)[-1]
@@ -222,8 +322,9 @@ def encode_decode(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back_memory()
-        coder = _loaded(name, pattern)
+        give_back_memory("bpe")
+        coder = _loaded(name, pattern, remembered)
+        hold_between_tasks("bpe", _loaded.cache_clear)
         gc.disable()  # a million small tuples and no cycles
         try:
             yield from coded(coder, batches)

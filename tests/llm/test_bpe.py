@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from lakeimpact.llm import bpe
+from lakeimpact.llm import bpe, common
 
 FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -69,6 +69,35 @@ def test_forgetting_changes_nothing(coder, library):
     assert small.encode(text) == library.encode_ordinary(text)
 
 
+def test_the_memory_keeps_what_comes_back(coder, library):
+    """Words that are met again and again are merged once, however many others there are."""
+    small = bpe.Bpe(coder.ranks, public_tokenizers.PATTERN)
+    small.REMEMBERED = 400
+    text = " ".join(f"wxq{'abcdefghij'[i % 10]}zk yqv{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}j" for i in range(5000))
+    merged, merge = [], small.merge
+    small.merge = lambda piece: merged.append(piece) or merge(piece)
+    assert small.encode(text) == library.encode_ordinary(text)
+    assert len(merged) <= 5000 + 11 and len(small.known) + len(small.former) <= 400
+
+
+@pytest.mark.parametrize("size", [2, 3, 17, 63, 64, 65, 66, 200])
+def test_short_and_long_matches_merge_alike(coder, library, size):
+    draw = random.Random(size)
+    for letters in ("ab", "etaoinshrdlu", "éßñ東京"):
+        text = "".join(draw.choice(letters) for _ in range(size))
+        assert coder.encode(text) == library.encode_ordinary(text)
+
+
+def test_what_a_worker_holds_goes_when_another_function_begins():
+    gone = []
+    common.hold_between_tasks("one", lambda: gone.append("one"))
+    common.give_back_memory("one")
+    assert not gone
+    common.give_back_memory("other")
+    common.give_back_memory()
+    assert gone == ["one"]
+
+
 def test_a_vocabulary_without_all_bytes_is_refused(tmp_path):
     (tmp_path / "few.tiktoken").write_bytes(base64.b64encode(b"a") + b" 0\n")
     with pytest.raises(ValueError):
