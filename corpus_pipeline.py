@@ -15,6 +15,10 @@ from lakeimpact.llm.common import prepare, table
 from lakeimpact.llm.registry import RANK_FILE, public_tokenizers
 from lakeimpact.session import Owned, Scratch
 
+# Matches that a worker of the last stage remembers: there, the executor still holds what earlier stages took.
+REMEMBERED = 400_000
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The documents with columns _c0, _c1, .., which clash with no other name, and the number of each name."""
     numbered = [f"_c{i}" for i in range(len(docs.columns))]
@@ -75,7 +79,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     rows, name = _numbered(docs)
     rows = rows.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"))
-    return bpe.encode_decode(rows, RANK_FILE, public_tokenizers.PATTERN)
+    return bpe.encode_decode(rows, RANK_FILE, public_tokenizers.PATTERN, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import Scratch, stored
 from .bitfilter import bits_for, filter_from
+from .common import give_back_memory
 
 _ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 _KNUTH = np.uint32(2654435761)
@@ -177,6 +178,7 @@ def per_text(
     out, types = zip(*(part.strip().rsplit(" ", 1) for part in schema.split(",")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
@@ -185,5 +187,6 @@ def per_text(
                     [*(some.column(i) for i in range(len(names))), *(pa.array(c, _ARROW[t]) for c, t in zip(said, types))],
                     names=[*names, *out],
                 )
+        give_back_memory()
 
     return chosen.mapInArrow(run, f"doc_id {kind}, {kept + ', ' if kept else ''}{schema}")

@@ -84,6 +84,7 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n", "fp1", "fp2", "sig"],
             )
+        give_back_memory()
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("body")).mapInArrow(run, schema)
 
@@ -182,6 +183,8 @@ def _candidates(rows: DataFrame, work: Scratch, name: str, across: bool, least:
             tail = frame.tail(WINDOW)
         if tail is not None:
             yield edge(tail, part + 1, 0)
+        tail = frame = batch = None
+        give_back_memory()
 
     def at_border(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["late", "place"]).reset_index(drop=True)
@@ -388,6 +391,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, rows: int, doc_id: str, text: str,
             some = batch.filter(pa.array(known.at(batch.column(2).to_numpy())))
             found = [shingle_set(b, k).tobytes() for b in some.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], names=["node", "members"])
+        some = found = None
+        give_back_memory()
 
     bodies = docs.select(F.col(doc_id).cast("bigint").alias("node"), utf8(text).alias("body")).filter("node is not null")
     found = bodies.select("node", "body", place).mapInArrow(run, "node bigint, members binary")

@@ -84,3 +84,11 @@ def test_only_the_result_stays_in_the_shared_folder(spark, documents, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     (left,) = set(root.iterdir()) - before
     assert [p.name for p in left.iterdir()] == ["bpe"] and out.count() > 0
+
+
+def test_the_last_stage_remembers_fewer_matches(spark, documents, monkeypatch):
+    """Its workers share the executor with what earlier stages took."""
+    given = {}
+    monkeypatch.setattr(bpe, "encode_decode", lambda *args, **named: given.update(named))
+    corpus_pipeline.tokens(spark, documents([(1, "a", "en", "s")]), "")
+    assert given["remembered"] <= bpe.Bpe.REMEMBERED // 2
