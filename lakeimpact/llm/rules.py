@@ -24,13 +24,18 @@ LEAST_KNOWN = 1000  # words a language needs to be a reference
 MOST_WORD_DISTANCE, MOST_CLASS_DISTANCE = 0.45, 0.33
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, and of none. What a class took is gone for the next one, so only
+def class_rests(text: Column) -> list[Column]:
+    """The text, and what is left of it after each class. What a class took is gone for the next one, so only
     the first passes see the whole text."""
     rests = [text]
     for pattern in CLASSES:
         rests.append(F.regexp_replace(rests[-1], pattern, ""))
-    sizes = [F.length(r).cast("bigint") for r in rests]
+    return rests
+
+
+def class_counts(text: Column) -> Column:
+    """Characters of each class, and of none."""
+    sizes = [F.length(r).cast("bigint") for r in class_rests(text)]
     return F.array(*[a - b for a, b in zip(sizes, sizes[1:])], sizes[-1])
 
 
@@ -84,11 +89,13 @@ def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     """The plain counts. A column that a later expression looks into element by element is named twice there,
     so that it is computed once per text."""
     body, n = F.col("_text"), F.size("_words")
+    # No class takes a symbol, so all of them are in the little that the classes leave.
+    symbols = F.regexp_count(class_rests(body)[-1], F.lit(SYMBOLS)).cast("bigint")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("language"),
-    ).withColumns({"_words": F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)), "_classes": class_counts(body)})
+    ).withColumns({"_words": F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)), "_classes": class_counts(body), "_symbols": symbols})
 
     def window(word: Column, i: Column) -> Column:
         return F.xxhash64(word, F.get("_words", i + 1), F.get("_words", i + 2))
@@ -101,7 +108,7 @@ def _counted(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         n.cast("bigint").alias("n_words"),
         (F.length(body) - F.col("_classes")[CLASSES.index(SPACES)]).alias("word_chars"),
         "_classes",
-        F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+        F.col("_symbols").alias("n_symbols"),
         lines.alias("_lines"),
         # Over the words themselves; the last two begin no window.
         F.when(n >= 3, F.slice(F.transform("_words", window), F.lit(1), n - 2)).alias("_hashes"),

@@ -116,3 +116,12 @@ def test_windows_are_hashed_over_the_words_themselves(documents):
     counted = rules._counted(docs, "doc_id", "text", "lang")
     assert [r["n_repeat_words"] for r in counted.orderBy("doc_id").collect()] == [0, 6, 6, 0, 4, 0, 0]
     assert "sequence(" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_symbols_are_counted_in_what_the_classes_leave(documents):
+    """No pass over the whole text for them, and none lost to a class that stands next to them."""
+    texts = ["#a*B$1%.,&-|(<)>é", "x" * 300 + "&&\n\t||", "no sign", "日#本 ½%", "", None]
+    counted = rules._counted(documents([(i, t, "en", "s") for i, t in enumerate(texts)]), "doc_id", "text", "lang")
+    assert [r["n_symbols"] for r in counted.orderBy("doc_id").collect()] == [8, 4, 0, 2, 0, 0]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert rules.SYMBOLS in plan and not re.search(r"\(_text#\d+, " + re.escape(rules.SYMBOLS), plan)
