@@ -5,9 +5,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from lakeimpact.functions import text as tx
 from lakeimpact.operators.columns import (
     column_breaks,
     columns_mentioned,
+    dropped_by_files,
     dropped_columns,
     in_scopes,
     reader_mentions,
@@ -201,3 +203,29 @@ def test_a_use_is_one_row_whatever_its_table_is_wide(spark, rows):
     )
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join")
+
+
+def test_the_columns_of_a_written_table_are_compared_in_one_row(spark, rows):
+    """Listed twice they go twice, and no join asks for columns one by one."""
+    write = lambda table, path: (path, table, "WRITES_TABLE", path, 1, "literal", None, None, None, None)
+    edges = spark.createDataFrame(
+        [write("t", "a.py"), write("t", "a.py"), write("t", "b.py"), write("u", "lost.py"), write("v", "a.py"), write(None, "a.py")], EDGE
+    )
+    written = spark.createDataFrame([(1, "t"), (2, "t"), (1, "u"), (1, "bare")], "change_id int, table_name string")
+    sources = spark.createDataFrame([("a.py", "use ONE"), ("a.py", "use a-b"), ("b.py", "six"), (None, "two")], "file_path string, text string")
+    live = [("t", "One", "int", 0), ("t", "two", "int", 1), ("t", "two", "string", 1), ("t", "two", "string", 1)]
+    live += [("t", "a-b", "int", 3), ("t", "six", "int", 4), ("u", "one", "int", 0), ("v", "two", "int", 0), (None, "two", "int", 0)]
+    found = dropped_by_files(written, edges, sources, spark.createDataFrame(live, CATALOG))
+    two = ("t", "two", "string", 1)
+    assert rows(found) == sorted([("t", "two", "int", 1), two, two, ("u", "one", "int", 0)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
+
+
+def test_lines_end_at_every_break(spark):
+    """With newlines alone a text is cut without a pattern, to the same lines."""
+    texts = ["a\nb", "a\r\nb\rc\n", "\n\n", "", "x", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i\nj", "\r\n", "a\n\rb", None]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").select("text", tx.lines(F.col("text")).alias("cut"))
+    expected = {x: x if x is None else re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", x) for x in texts}
+    assert {r["text"]: r["cut"] for r in df.collect()} == expected
+    assert "split(text#" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and ", \n, -1)" in plan
